@@ -7,12 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, toxicity
+from . import html_text, mixing, toxicity, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule = url_filter.Rule
+    rules = [rule("com", "/", False), rule("example.com", "/en/", True), rule("www.example.com", "/en/", False), rule("net", "/es/", True), rule("net", "/fr/", True)]
+    return url_filter.judge(table(spark, sf_dir, "pages"), rules)
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extract(pages, html_text.fit(pages))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -25,6 +36,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_url_filters": op3_url_filters,
+        "op7_html_text": op7_html_text,
         "op9_mixing": op9_mixing,
         "op10_toxicity": op10_toxicity,
     }
@@ -32,5 +45,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_url_filters": op3_url_filters,
+        "op7_html_text": op7_html_text,
         "op9_mixing": mixing.ORACLE_SQL.format(documents="documents"),
     }
