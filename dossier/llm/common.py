@@ -146,3 +146,59 @@ def as_bytes(column) -> list[bytes]:
     import pyarrow as pa
 
     return [b if b is not None else b"" for b in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays in one binary value."""
+    return np.array([a.nbytes for a in arrays], np.uint32).tobytes() + b"".join(a.tobytes() for a in arrays)
+
+
+def unpack(blobs: list[bytes], *kinds) -> list[np.ndarray]:
+    """The arrays of many packed values, each joined to one."""
+    parts: list[list[np.ndarray]] = [[np.zeros(0, k)] for k in kinds]
+    for blob in blobs:
+        at = 4 * len(kinds)
+        for part, kind, n in zip(parts, kinds, np.frombuffer(blob, np.uint32, len(kinds)), strict=True):
+            part.append(np.frombuffer(blob, kind, n // np.dtype(kind).itemsize, at))
+            at += n
+    return [np.concatenate(p) for p in parts]
+
+
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The whole numbers of all ranges, one range after another."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def by_bucket(bucket: np.ndarray):
+    """Buckets in order, each with the places of its entries."""
+    order = np.argsort(bucket, kind="stable")
+    found = bucket[order]
+    edges = np.concatenate([[0], np.flatnonzero(found[1:] != found[:-1]) + 1, [len(found)]]) if len(found) else np.zeros(1, int)
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        yield int(found[a]), order[a:b]
+
+
+def row_key():
+    """A key of a row of documents: a hash of its id and text. Only rows alike in both share it."""
+    from pyspark.sql import functions as F
+
+    return F.xxhash64("doc_id", F.col("text").cast("string"))
+
+
+def batched(batches, most: int):
+    """Joins Arrow batches to ones of about so many bytes, and splits larger ones by rows."""
+    import pyarrow as pa
+
+    held, size = [], 0
+    for batch in batches:
+        step = max(1, int(batch.num_rows * most / max(batch.nbytes, 1)))
+        for at in range(0, batch.num_rows, step):
+            part = batch.slice(at, step)
+            held.append(part)
+            size += batch.nbytes * part.num_rows // max(batch.num_rows, 1)
+            if size >= most:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, mixing, toxicity, url_filter
+from . import html_text, mixing, substring_dedup, toxicity, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,10 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return html_text.extract(pages, html_text.fit(pages))
@@ -37,6 +41,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op3_url_filters": op3_url_filters,
+        "op6_substring_dedup": op6_substring_dedup,
         "op7_html_text": op7_html_text,
         "op9_mixing": op9_mixing,
         "op10_toxicity": op10_toxicity,
@@ -46,6 +51,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_url_filters": op3_url_filters,
+        "op6_substring_dedup": op6_substring_dedup,
         "op7_html_text": op7_html_text,
         "op9_mixing": mixing.ORACLE_SQL.format(documents="documents"),
     }
