@@ -32,10 +32,10 @@ class Params:
     max_positive: int = 4000  #: documents, at most, that training takes of the confirmed toxic ones
     max_unlabelled: int = 8000  #: and of the others; both are chosen by a hash of the id
     max_words: int = 4096  #: words with a weight
-    min_z: float = 3.0  #: how far a word's rate among positives must stand from that among the unlabelled
+    min_z: float = 3.5  #: how far a word's rate among positives must stand from that among the unlabelled
     epochs: int = 400
     rate: float = 0.05
-    l2: float = 1e-4
+    l2: float = 3e-4
 
 
 @dataclass
@@ -69,20 +69,21 @@ def _hits(texts: list[bytes], words: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return pair // len(words), pair % len(words)
 
 
-def _sample(docs: DataFrame, most: int) -> list[np.ndarray]:
-    """The distinct word hashes of at most so many documents, chosen by a hash of the id."""
-    n = docs.count()
-    if not n:
-        return []
-    if n > most:
-        docs = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 1.1 * most / n))).limit(most)
+def _few(df: DataFrame, most: int) -> DataFrame:
+    """About so many of the rows (all, if there are no more), chosen by a hash of doc_id."""
+    n = df.count()
+    return df if n <= most else df.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * most / n))
+
+
+def _word_sets(docs: DataFrame, most: int) -> list[np.ndarray]:
+    """The distinct word hashes of the documents, of at most so many."""
 
     def words(batches):
         for batch in batches:
             h, o = hash_words(as_bytes(batch.column(0)), lower=True, breaks=BREAKS)
             yield pa.record_batch([pa.array([np.unique(h[x:y]).tobytes() for x, y in zip(o[:-1], o[1:], strict=True)], pa.binary())], ["words"])
 
-    return [np.frombuffer(r[0], np.uint64) for r in docs.select(F.col("text").cast("string")).mapInArrow(words, "words binary").collect()]
+    return [np.frombuffer(r[0], np.uint64) for r in docs.select(F.col("text").cast("string")).mapInArrow(words, "words binary").limit(most).collect()]
 
 
 def nnpu(xp: tuple, xu: tuple, n_words: int, prior: float, p: Params) -> tuple[np.ndarray, float]:
@@ -121,8 +122,9 @@ def fit(documents: DataFrame, labels: DataFrame, params: Params | None = None) -
     counts = marks.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     prior = (counts[1] + 1) / (counts[0] + 2)
     toxic = marks.where("toxic = 1").select("doc_id")
-    pos = _sample(docs.join(toxic, "doc_id", "left_semi"), p.max_positive)
-    unl = _sample(docs.join(toxic, "doc_id", "left_anti"), p.max_unlabelled)
+    chosen = _few(toxic, p.max_positive).limit(2 * p.max_positive)  # ids only, so few that they are broadcast
+    pos = _word_sets(docs.join(F.broadcast(chosen), "doc_id", "left_semi"), p.max_positive)
+    unl = _word_sets(_few(docs, p.max_unlabelled).join(toxic, "doc_id", "left_anti"), p.max_unlabelled)
     bias_only = Model(bias=float(np.log(prior / (1 - prior))))
     if not pos or not unl:
         return bias_only
