@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, mixing, substring_dedup, toxicity, url_filter
+from . import html_text, jaccard_join, mixing, substring_dedup, toxicity, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule = url_filter.Rule
     rules = [rule("com", "/", False), rule("example.com", "/en/", True), rule("www.example.com", "/en/", False), rule("net", "/es/", True), rule("net", "/fr/", True)]
@@ -40,6 +44,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_jaccard_join": op1_jaccard_join,
         "op3_url_filters": op3_url_filters,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_html_text": op7_html_text,
@@ -50,6 +55,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_jaccard_join": op1_jaccard_join,
         "op3_url_filters": op3_url_filters,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_html_text": op7_html_text,
