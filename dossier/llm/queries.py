@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, jaccard_join, mixing, substring_dedup, toxicity, url_filter
+from . import decontamination, html_text, jaccard_join, mixing, substring_dedup, toxicity, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(pages, html_text.fit(pages))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def queries() -> dict[str, Query]:
         "op3_url_filters": op3_url_filters,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_html_text": op7_html_text,
+        "op8_decontamination": op8_decontamination,
         "op9_mixing": op9_mixing,
         "op10_toxicity": op10_toxicity,
     }
