@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, jaccard_join, mixing, substring_dedup, toxicity, url_filter
+from . import decontamination, html_text, jaccard_join, language_id, mixing, substring_dedup, toxicity, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,13 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = toxicity.held_out(F.col("doc_id"), 4, 2)
+    model = language_id.fit(docs.where(~held_out))
+    return language_id.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(table(spark, sf_dir, "documents"))
 
@@ -50,6 +57,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_jaccard_join": op1_jaccard_join,
         "op3_url_filters": op3_url_filters,
+        "op5_language_id": op5_language_id,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_html_text": op7_html_text,
         "op8_decontamination": op8_decontamination,
@@ -62,6 +70,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_jaccard_join": op1_jaccard_join,
         "op3_url_filters": op3_url_filters,
+        "op5_language_id": op5_language_id,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_html_text": op7_html_text,
         "op9_mixing": mixing.ORACLE_SQL.format(documents="documents"),
