@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, jaccard_join, language_id, mixing, substring_dedup, toxicity, url_filter
+from . import decontamination, html_text, jaccard_join, language_id, mixing, nearest, substring_dedup, toxicity, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,11 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest.search(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = toxicity.held_out(F.col("doc_id"), 4, 2)
@@ -57,6 +62,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_jaccard_join": op1_jaccard_join,
         "op3_url_filters": op3_url_filters,
+        "op4_nearest": op4_nearest,
         "op5_language_id": op5_language_id,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_html_text": op7_html_text,
@@ -70,6 +76,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_jaccard_join": op1_jaccard_join,
         "op3_url_filters": op3_url_filters,
+        "op4_nearest": op4_nearest,
         "op5_language_id": op5_language_id,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_html_text": op7_html_text,
