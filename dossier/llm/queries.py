@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, jaccard_join, language_id, mixing, nearest, substring_dedup, toxicity, url_filter
+from . import decontamination, html_text, jaccard_join, language_id, license_scan, mixing, nearest, substring_dedup, toxicity, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,11 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_scan.scan(docs, license_scan.fit(docs))
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule = url_filter.Rule
     rules = [rule("com", "/", False), rule("example.com", "/en/", True), rule("www.example.com", "/en/", False), rule("net", "/es/", True), rule("net", "/fr/", True)]
@@ -61,6 +66,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_jaccard_join": op1_jaccard_join,
+        "op2_license_scan": op2_license_scan,
         "op3_url_filters": op3_url_filters,
         "op4_nearest": op4_nearest,
         "op5_language_id": op5_language_id,
@@ -75,6 +81,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_jaccard_join": op1_jaccard_join,
+        "op2_license_scan": op2_license_scan,
         "op3_url_filters": op3_url_filters,
         "op4_nearest": op4_nearest,
         "op5_language_id": op5_language_id,
