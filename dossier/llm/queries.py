@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import decontamination, html_text, jaccard_join, language_id, license_scan, mixing, nearest, substring_dedup, toxicity, url_filter
 from .common import table
 
@@ -65,6 +67,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_jaccard_join": op1_jaccard_join,
         "op2_license_scan": op2_license_scan,
         "op3_url_filters": op3_url_filters,
@@ -80,6 +83,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_jaccard_join": op1_jaccard_join,
         "op2_license_scan": op2_license_scan,
         "op3_url_filters": op3_url_filters,

@@ -158,7 +158,8 @@ def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     Texts without repeats stay as they are; a row that loses all its words goes.
     """
-    at = docs.columns.index("text")
+    names = docs.columns
+    at = names.index("text")
 
     def run(batches):
         for batch in batches:
@@ -169,7 +170,7 @@ def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 keep.append(not s or texts[i] != "")
             columns = list(batch.columns[:-1])
             columns[at] = pa.array(texts, pa.string())
-            yield pa.record_batch(columns, names=docs.columns).filter(pa.array(keep, pa.bool_()))
+            yield pa.record_batch(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
     out = _with_repeats(docs, window).mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

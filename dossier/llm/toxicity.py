@@ -32,6 +32,7 @@ class Params:
     max_positive: int = 4000  #: documents, at most, that training takes of the confirmed toxic ones
     max_unlabelled: int = 8000  #: and of the others; both are chosen by a hash of the id
     max_words: int = 4096  #: words with a weight
+    min_documents: int = 3  #: confirmed toxic documents that must hold a word
     min_z: float = 3.5  #: how far a word's rate among positives must stand from that among the unlabelled
     epochs: int = 400
     rate: float = 0.05
@@ -134,7 +135,7 @@ def fit(documents: DataFrame, labels: DataFrame, params: Params | None = None) -
     in_u = np.where(seen_u[at] == seen_p, n_u[at], 0) if len(seen_u) else np.zeros(len(seen_p))
     rate = (n_p + in_u + 1) / (len(pos) + len(unl) + 2)
     gap = (n_p / len(pos) - in_u / len(unl)) / np.sqrt(rate * (1 - rate) * (1 / len(pos) + 1 / len(unl)))
-    keep = np.flatnonzero((n_p >= 3) & (gap >= p.min_z))
+    keep = np.flatnonzero((n_p >= p.min_documents) & (gap >= p.min_z))
     keep = np.sort(keep[np.argsort(-gap[keep], kind="stable")[: p.max_words]])
     if not len(keep):
         return bias_only
