@@ -33,10 +33,10 @@ class Params:
     max_unlabelled: int = 8000  #: and of the others; both are chosen by a hash of the id
     max_words: int = 4096  #: words with a weight
     min_documents: int = 3  #: confirmed toxic documents that must hold a word
-    min_z: float = 3.5  #: how far a word's rate among positives must stand from that among the unlabelled
+    min_z: float = 4.0  #: how far a word's rate among positives must stand from that among the unlabelled
     epochs: int = 400
     rate: float = 0.05
-    l2: float = 3e-4
+    l2: float = 1e-5
 
 
 @dataclass
@@ -88,7 +88,8 @@ def _word_sets(docs: DataFrame, most: int) -> list[np.ndarray]:
 
 
 def nnpu(xp: tuple, xu: tuple, n_words: int, prior: float, p: Params) -> tuple[np.ndarray, float]:
-    """Weights and bias by full-batch Adam on the non-negative risk with the logistic loss. xp, xu: (document, word, number of documents)."""
+    """Weights and bias by full-batch Adam on the non-negative risk with the sigmoid loss, whose bound keeps a wrong prior from
+    pulling unlabelled documents over. xp, xu: (document, word, number of documents)."""
     theta = np.zeros(n_words + 1)
     theta[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
@@ -102,9 +103,9 @@ def nnpu(xp: tuple, xu: tuple, n_words: int, prior: float, p: Params) -> tuple[n
     for t in range(1, p.epochs + 1):
         zp, zu = z(xp), z(xu)
         sp, su = _sigmoid(zp), _sigmoid(zu)
-        negative = np.mean(np.logaddexp(0, zu)) - prior * np.mean(np.logaddexp(0, zp))
-        g = gradient(xp, prior * (sp - 1) / xp[2])
-        from_negative = gradient(xu, su / xu[2]) - gradient(xp, prior * sp / xp[2])
+        negative = np.mean(su) - prior * np.mean(sp)
+        toward_p = gradient(xp, prior * sp * (1 - sp) / xp[2])
+        g, from_negative = -toward_p, gradient(xu, su * (1 - su) / xu[2]) - toward_p
         g = g + from_negative if negative >= 0 else -from_negative
         g[:-1] += p.l2 * theta[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g

@@ -47,13 +47,13 @@ class Params:
 
 def host_of(url: Column) -> Column:
     """Between the first :// and the next /, ?, # or the end, A-Z lower-cased; otherwise empty."""
-    host = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
+    host = F.regexp_extract(url, r"(?s)^(?:(?!://).)*://([^/?#]*)", 1)
     return F.coalesce(F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
 
 
 def path_of(url: Column) -> Column:
     """What follows the host up to ?, # or the end; otherwise empty."""
-    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1), F.lit(""))
+    return F.coalesce(F.regexp_extract(url, r"(?s)^(?:(?!://).)*+://[^/?#]*+(/[^?#]*)", 1), F.lit(""))
 
 
 def longest_rule(rules: list[Rule], host: Column, path: Column) -> tuple[Column, Column]:
