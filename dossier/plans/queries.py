@@ -586,7 +586,7 @@ def _values(values, column="raw"):
 
 def expected(cases) -> str:
     """SQL of (case_id, expected): what the cases say themselves."""
-    lit = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
+    lit = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else f"CAST({v} AS DOUBLE)" if isinstance(v, float) else str(v)
     return "SELECT * FROM (VALUES " + ", ".join(f"({i}, {lit(v)})" for i, (_, v) in enumerate(cases)) + ") t(case_id, expected)"
 
 
