@@ -98,3 +98,10 @@ def conflicts(ledger: DataFrame, least: float = 0.5) -> DataFrame:
     sized = ledger.withColumn("group_size", F.count("*").over(W.partitionBy("detected_group")))
     rows = sized.withColumns({"says": named, "similarity": F.round(C.char_similarity(named, F.coalesce("detected_company", F.lit(""))), 6)})
     return rows.where(F.col("says").isNotNull() & (F.col("similarity") < least)).select("pos", F.col("detected_group").alias("group_name"), "group_size", "file_name", "says", "similarity")
+
+
+def misplaced_files(files: DataFrame, keywords: DataFrame) -> DataFrame:
+    """Files (group_name, file_name) that hold none of their group's keywords (group_name, keyword); groups without keywords pass."""
+    words = keywords.groupBy("group_name").agg(F.collect_set(F.lower("keyword")).alias("words"))
+    both = files.join(words, "group_name")
+    return both.where(~F.exists("words", lambda w: F.lower(F.col("file_name")).contains(w))).select("group_name", "file_name")

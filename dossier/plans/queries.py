@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dossier import rules
 from dossier.functions import columns as C
-from dossier.operators import candidates, merge, pages, quality, repair, report, resolve, sinks
+from dossier.operators import candidates, extract, merge, pages, quality, repair, report, resolve, sinks
 from dossier.sources import ledger as source
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -572,6 +572,83 @@ def tax_candidates(spark, d):
     return candidates.tax_rates(_notes(spark, d))
 
 
+# -- fields and sentences ---------------------------------------------------------------------------------------------
+
+_FORMS = """SELECT o_orderkey AS doc_id, CASE o_orderkey % 7 WHEN 0 THEN 'CONTRACT' WHEN 1 THEN 'SRF' WHEN 2 THEN 'PURCHASE_ORDER' WHEN 3 THEN 'QUOTE' WHEN 4 THEN 'PROPOSAL' WHEN 5 THEN 'PAYMENT_NOTICE' ELSE 'ATTACHMENT' END AS doc_type,
+concat('甲方：示例机械', CAST(o_custkey AS string), '有限公司', NL, '乙方：范例软件有限公司', NL, '合同编号：HT-', CAST(o_orderkey AS string), '-01', NL, '客户：示例客户有限公司', NL, '致：示例收件有限公司', NL, 'SRF-No: S', CAST(o_orderkey + 1000 AS string), NL, '订单号 P', CAST(o_orderkey + 1000 AS string), NL, '报价单编号：Q', CAST(o_orderkey + 1000 AS string), NL,
+'服务期间：', CAST(CAST(o_orderdate AS date) AS string), '至2030-12-31', NL, '年度维护费：', CAST(o_orderkey AS string), '元', NL, '交货期：2020-05-06', NL, '合计 ', CAST(o_orderkey + 7 AS string), NL, '有效期：30天', NL, '项目名称：示例平台建设', NL, '验收：2021-02-03', NL, '应付：', CAST(o_orderkey AS string), '元', NL, '1. first', NL, '2. second', NL, '安装地点：青岛厂区，二楼', NL, 'total USD') AS text FROM orders"""
+
+
+def _forms(spark, d):
+    return spark.sql(_FORMS.replace("FROM orders", "FROM {orders}").replace("NL", "char(10)"), orders=table(spark, d, "orders"))
+
+
+def _field_sql():
+    parts = []
+    for kind, fields in rules.FIELDS.items():
+        for name, patterns in fields.items():
+            tries = [f"trim(nullif(regexp_extract(text, '{p}', 1), ''))" for p, _ in patterns]
+            level = "CASE " + " ".join(f"WHEN {t} IS NOT NULL THEN {c}::DOUBLE" for t, (_, c) in zip(tries, patterns, strict=True)) + " END"
+            parts.append(f"SELECT doc_id, '{name}' AS field, coalesce({', '.join(tries)}) AS value, {level} AS confidence FROM t WHERE doc_type = '{kind}'")
+    return f"WITH t AS ({_FORMS.replace('NL', 'chr(10)')}), f AS (SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE value IS NOT NULL)"
+
+
+@query(f"{_field_sql()} SELECT * FROM f")
+def field_values(spark, d):
+    return extract.fields(_forms(spark, d))
+
+
+@query(f"{_field_sql()} SELECT doc_id, round(avg(confidence), 4) AS confidence, count(*) AS n_fields FROM f GROUP BY 1")
+def field_confidence(spark, d):
+    return extract.confidence(extract.fields(_forms(spark, d)))
+
+
+@query("SELECT o_orderkey AS doc_id, 'USD' AS currency, 2 AS n_items, '青岛厂区' AS place, 'SRF' AS legacy_type, '其他附件' AS attachment FROM orders")
+def form_details(spark, d):
+    t = F.col("text")
+    return _forms(spark, d).select("doc_id", extract.currency(t).alias("currency"), extract.line_items(t)["n"].alias("n_items"), extract.installation_place(t).alias("place"), extract.legacy_type(t, F.lit("x.pdf")).alias("legacy_type"), extract.attachment_kind(t, F.lit("x.pdf")).alias("attachment"))
+
+
+_MONEY = "coalesce(nullif(annual_maintenance_fee, 0), nullif(contract_total_amount, 0), nullif(tax_included_amount, 0))"
+_PARTS = f"""SELECT pos, doc_type, CASE WHEN trim(detected_company) IN ('', 'nan') THEN '未知公司' ELSE coalesce(detected_company, '未知公司') END AS c, coalesce(CAST(report_year AS VARCHAR), '') AS y, CASE WHEN detected_group <> '' THEN '[' || detected_group || '] ' ELSE '' END AS p,
+CASE WHEN {_MONEY} IS NOT NULL THEN '¥' || format('{{:,.2f}}', {_MONEY}) END AS m, CASE WHEN nullif(service_period_start, '') IS NOT NULL AND service_period_end IS NOT NULL THEN '，服务期 ' || service_period_start || ' 至 ' || service_period_end WHEN nullif(service_period_start, '') IS NOT NULL THEN '，服务期自 ' || service_period_start ELSE '' END AS s FROM ledger"""
+
+
+@query(f"""WITH {LEDGER}, x AS ({_PARTS}) SELECT pos, CASE doc_type WHEN 'CONTRACT' THEN p || '与' || c || '签订的' || y || '年度服务合同' || coalesce('，年度维护费 ' || m, '') || s WHEN 'PURCHASE_ORDER' THEN p || y || '年 ' || c || ' 采购订单' || coalesce('，总金额 ' || m, '')
+WHEN 'QUOTE' THEN p || '向 ' || c || ' 提供的' || y || '年报价单' || coalesce('，总额 ' || m, '') WHEN 'SRF' THEN p || c || ' 的' || y || '年服务需求表' ELSE '' END AS summary FROM x""")
+def summary_text(spark, d):
+    return ledger(spark, d).select("pos", extract.summary().alias("summary"))
+
+
+_SCORED = "SELECT pos, pos % 100 AS score, CAST(report_year AS string) AS y, service_period_end AS dt, CASE WHEN pos % 4 = 0 THEN '其他' ELSE 'SRF' END AS k, detected_group AS g, detected_company AS c, summary AS t FROM ledger"
+
+
+@query(f"""WITH {LEDGER}, x AS ({_SCORED}), z AS (SELECT *, least(least(score, 90) + CASE WHEN y IS NOT NULL THEN 5 ELSE 0 END + CASE WHEN dt IS NOT NULL THEN 3 ELSE 0 END + CASE WHEN k <> '其他' THEN 2 ELSE 0 END + CASE WHEN g <> '' THEN 3 ELSE 0 END, 100) AS confidence FROM x)
+SELECT pos, CAST(confidence AS BIGINT) AS confidence, concat_ws('；', CASE WHEN c = '' THEN '未识别公司名' END, CASE WHEN c <> '' AND g = '' THEN '未匹配到集团' END, CASE WHEN y IS NULL THEN '未识别年份' END, CASE WHEN confidence < 78 THEN '置信度偏低' END, CASE WHEN length(trim(t)) < 20 THEN '文本提取不足' END) AS reason FROM z""")
+def legacy_confidence(spark, d):
+    rows = ledger(spark, d).selectExpr("pos", "pos % 100 AS score", "CAST(report_year AS string) AS y", "service_period_end AS dt", "CASE WHEN pos % 4 = 0 THEN '其他' ELSE 'SRF' END AS k", "detected_group AS g", "detected_company AS c", "summary AS t")
+    rows = rows.withColumn("confidence", extract.legacy_confidence(F.col("score"), F.col("y"), F.col("dt"), F.col("k"), F.col("g")).cast("long"))
+    return rows.select("pos", "confidence", extract.review_reason(F.col("c"), F.col("g"), F.col("y"), F.col("confidence"), F.col("t")).alias("reason"))
+
+
+@query("SELECT o_orderkey AS doc_id, 'HT-' || o_orderkey || '-01' AS number, printf('%.2f', CAST(o_orderkey AS DOUBLE)) AS fee FROM orders")
+def legacy_fields(spark, d):
+    return _forms(spark, d).select("doc_id", extract.legacy_number(F.col("text"), F.lit("x.pdf")).alias("number"), extract.legacy_fee(F.col("text")).alias("fee"))
+
+
+@query("SELECT o_orderkey AS doc_id, 'buyer' AS role, '示例机械' || o_custkey AS name FROM orders UNION ALL SELECT o_orderkey, 'seller', '范例软件' FROM orders")
+def company_roles(spark, d):
+    forms = _forms(spark, d)
+    named = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.explode(F.array(F.concat(F.lit("示例机械"), F.col("o_custkey").cast("string")), F.lit("范例软件"))).alias("name"))
+    return extract.roles(forms, named)
+
+
+@query(f"WITH {LEDGER}, k(g, w) AS (VALUES ('NATION_1', 'srf'), ('NATION_1', '0012'), ('NATION_2', '合同')) SELECT DISTINCT detected_group AS group_name, file_name FROM ledger WHERE detected_group IN (SELECT g FROM k) AND NOT EXISTS (SELECT 1 FROM k WHERE g = detected_group AND contains(lower(file_name), w))")
+def misplaced_files(spark, d):
+    words = spark.createDataFrame([("NATION_1", "SRF"), ("NATION_1", "0012"), ("NATION_2", "合同")], "group_name string, keyword string")
+    return quality.misplaced_files(ledger(spark, d).select(F.col("detected_group").alias("group_name"), "file_name").distinct(), words)
+
+
 # -- fixtures: functions on literal cases -----------------------------------------------------------------------------
 
 
@@ -630,3 +707,9 @@ SAFE_CASES = [('a<b>:"c/d\\e|f?*', "a_b___c_d_e_f__"), ("", "未命名"), (None,
 fixture("safe_folder_name", SAFE_CASES, C.safe_name)
 SIMILAR_CASES = [("abca|abd", 0.5), ("甲（乙）|甲(乙)", 1.0), ("|x", 0.0)]
 fixture("char_similarity", SIMILAR_CASES, lambda c: C.char_similarity(F.split_part(c, F.lit("|"), F.lit(1)), F.split_part(c, F.lit("|"), F.lit(2))))
+NAME_TEXTS = [("甲方：示例机械有限公司，范例集团", "示例机械有限公司|范例集团"), ("nothing here", ""), ("Sold to Example Power Tools Co., Ltd. today", "Sold to Example Power Tools Co., Ltd."), ("Buyer Example Tools Limited", "")]
+fixture("company_names", NAME_TEXTS, lambda c: F.array_join(extract.company_names(c), "|"))
+DISTINCT_CASES = [("a|B|A|b|c", "a|B|c"), ("x", "x")]
+fixture("distinct_in_order", DISTINCT_CASES, lambda c: F.array_join(extract.distinct_in_order(F.split(c, "[|]")), "|"))
+OCR_CASES = [("8OOO", "8000"), ("l5", "l5"), ("1l", "11"), ("5SB", "55B"), ("Il2", "I12"), ("oO", "00")]
+fixture("ocr_digits", OCR_CASES, C.ocr_digits)
