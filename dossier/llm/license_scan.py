@@ -73,18 +73,19 @@ def grams_of(paragraph: str) -> list[str]:
     return list(dict.fromkeys(w + [f"{a} {b}" for a, b in zip(w, w[1:])]))
 
 
-def coverage(paragraph: str, family: str) -> float:
-    own, best = set(grams_of(paragraph)), 0.0
-    for t in TEMPLATES.get(family, []):
-        pairs = [g for g in grams_of(t) if " " in g]
-        best = max(best, sum(g in own for g in pairs) / len(pairs))
-    return best
+PAIRS = {family: [frozenset(g for g in grams_of(t) if " " in g) for t in texts] for family, texts in TEMPLATES.items()}
+
+
+def coverage(paragraph: str, *families: str) -> float:
+    """The largest share of the word pairs of a template of these families that the paragraph holds."""
+    own = set(grams_of(paragraph))
+    return max((len(pairs & own) / len(pairs) for f in families for pairs in PAIRS.get(f, [])), default=0.0)
 
 
 def train(unknown: list[str], p: Params) -> Model:
     """unknown: paragraphs of the corpus; those that a template covers are left out."""
     rng = random.Random(p.seed)
-    unknown = [u for u in unknown if max(coverage(u, f) for f in TEMPLATES) < 0.4] + OTHER * 5
+    unknown = [u for u in unknown if coverage(u, *TEMPLATES) < 0.4] + OTHER * 5
     filler = sorted({w for u in unknown[:300] for w in words_of(u)})
     examples = [(u, UNKNOWN) for u in unknown]
     for family, texts in TEMPLATES.items():
@@ -103,12 +104,11 @@ def train(unknown: list[str], p: Params) -> Model:
     y = np.array([families.index(f) for _, f in examples])
     held = np.arange(len(examples)) % 5 == 0
     w, b = np.zeros((len(vocabulary), len(families))), np.zeros(len(families))
-    rows, goal = np.flatnonzero(~held), np.eye(len(families))[y]
+    seen, goal = x[~held], np.eye(len(families))[y[~held]]
     for step in range(p.steps):
-        z = x[rows] @ w + b
-        d = (_softmax(z) - goal[rows]) / len(rows)
+        d = (_softmax(seen @ w + b) - goal) / len(seen)
         rate = 20 * p.rate / (1 + step / 100)
-        w -= rate * (x[rows].T @ d + p.l2 * w)
+        w -= rate * (seen.T @ d + p.l2 * w)
         b -= rate * d.sum(axis=0)
     z = x[held] @ w + b
     loss = lambda t: -np.log(_softmax(z / t)[np.arange(len(z)), y[held]] + 1e-12).mean()
