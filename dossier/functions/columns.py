@@ -100,8 +100,8 @@ def safe_name(name: Column, otherwise: str = "未命名") -> Column:
 
 def version_of(file_name: Column) -> Column:
     """A software version named in a file name, as digits."""
-    short = group(file_name, r"(?i)(?:^|[^0-9A-Za-z_一-龥])FW([0-9]{2})(?:$|[^0-9A-Za-z_一-龥])")
-    return F.coalesce(group(file_name, r"(?i)F(?:ormwa?re?|W)\s*([0-9]+\.[0-9]+)"), F.when(short.isNotNull(), F.concat(F.substring(short, 1, 1), F.lit("."), F.substring(short, 2, 1))), group(file_name, r"([0-9]+\.[0-9]+)(?:升级|版本)"))
+    short = group(file_name, rf"(?i)(?:^|[^0-9A-Za-z_一-龥]){rules.PRODUCT_CODE}([0-9]{{2}})(?:$|[^0-9A-Za-z_一-龥])")
+    return F.coalesce(group(file_name, rf"(?i)(?:{rules.PRODUCT}|{rules.PRODUCT_CODE})\s*([0-9]+\.[0-9]+)"), F.when(short.isNotNull(), F.concat(F.substring(short, 1, 1), F.lit("."), F.substring(short, 2, 1))), group(file_name, r"([0-9]+\.[0-9]+)(?:升级|版本)"))
 
 
 # -- amounts ----------------------------------------------------------------------------------------------------------

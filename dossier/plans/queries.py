@@ -674,7 +674,7 @@ RATE_CASES = [("13%", True), ("6%", True), ("13", True), ("13.0%", True), ("", F
 RATE_FORMS = [("13", "13%"), (".13", "13%"), ("13%", "13%"), ("6.5 %", "6.5%"), ("abc", "abc"), ("0.06", "6%")]
 NAME_CASES = [("青岛示例流体连接件有限公司", "示例流体连接件有限公司"), ("示例流体连接件(青岛)有限公司", "示例流体连接件有限公司"), ("示例流体连接件（青岛）有限公司", "示例流体连接件有限公司"), ("示例机械有限公司", "示例机械有限公司"), ("上海公司", "上海公司"), ("青岛示例（中国）有限公司", "示例(中国)有限公司"), ("  示例  有限公司  ", "示例 有限公司")]
 CLEAN_CASES = [("示例机械有限公司", True), ("有限公司", False), ("X集团", False), ("根据示例有限公司", False), ("Example Tools Ltd", True), ("", False), ("示例", False), (None, False), ("（无锡）有限公司", False)]
-VERSION_CASES = [("Formware6.0.pdf", "6.0"), ("FW50 x.pdf", "5.0"), ("FW50_x.pdf", None), ("财务8.0升级.pdf", "8.0"), ("none.pdf", None), ("维护FW50.pdf", None)]
+VERSION_CASES = [("Sampleware6.0.pdf", "6.0"), ("FW50 x.pdf", "5.0"), ("FW50_x.pdf", None), ("财务8.0升级.pdf", "8.0"), ("none.pdf", None), ("维护FW50.pdf", None)]
 PERIOD_CASES = [("a20110201至20120131", "2011-02-01 2012-01-31"), ("2013年4月1日至2014年3月31日", "2013-04-01 2014-03-31"), ("2015.7.1-2016.6.30", "2015-07-01 2016-06-30"), ("20111301至20120131", None), ("x", None)]
 YEAR_CASES = [("2021-03-15|2020-01-01|2019-01-01|c_2018.pdf", 2021), ("|2020-06-01|2019-01-01|c.pdf", 2020), ("||2019-07-01|c.pdf", 2019), ("|||c_2022_x.pdf", 2022), ("|||c.pdf", None), ("2015-06-30||2018-01-01|c.pdf", 2018)]
 LABEL_CASES = [("2020-01-01|2020-12-31", "一年"), ("2020-01-01|2022-12-31", "3年"), ("2020-01-01|2020-03-16", "2个月"), ("2020-01-01|2020-03-31", "3个月")]
