@@ -7,13 +7,11 @@
    gram; pairs pass the length and positional filters there.
 4. Each pair that is left is verified once, on whole texts.
 
-Large groups: a gram with more than SMALL nodes doesn't give all pairs. Its nodes are paired with one hub, the least of them, and become
-members of the hub's group (many grams of a family of near copies have one hub, so the family is one group). Links join nodes to components.
-Within a group only nodes of different components can still matter: those outside the group's largest component meet all others, in
-blocks of BLOCK nodes, by the suffix filter: the grams' 16-bit fingerprints bound the overlap from above, almost exactly. What passes is
-not sent whole: each block gives the edges of a spanning forest over its components, which are verified; this is repeated on the joined
-components until no pair passes, and if edges fail, all pairs that pass are verified. So no link between components is lost, and a group of
-near copies costs about as many pairs as it has members.
+Large groups: a gram with more than SMALL nodes doesn't give pairs. Its nodes become members of the group of one hub, the least of them (many
+grams of a family of near copies have one hub, so the family is one group). A group is cut into blocks of about BLOCK nodes and BLOCK_GRAMS grams,
+and every two blocks (and every block with itself) meet in one task, on whole texts: the sets' exact intersections give all links there. A task sends
+each node's number of links, and a spanning forest of them for the components, not the pairs. A pair of nodes that are in several
+groups counts in that of the least hub only, and one that is in any isn't verified as a pair besides, so each link counts once.
 Grams so frequent that one task shouldn't hold their entries are dealt to several buckets, and get their hub afterwards.
 
 Defined cases: with fewer than 5 words the whole sequence is the one gram; without words (null and empty texts, white space only) the set is empty, linked with
@@ -28,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batched, by_bucket, discard, gram_hash, hash_words, mix, pack, row_key, shuffle_parts, stored, unpack
+from .common import as_bytes, batched, by_bucket, discard, gram_hash, hash_words, mix, pack, ranges, row_key, shuffle_parts, stored, unpack
 
 GRAM = 5
 NUMERATOR, DENOMINATOR = 3, 4  #: of the threshold, 0.75
@@ -36,9 +34,11 @@ TABLE_BITS, TABLE_PARTS = 20, 64  #: of the counting table
 SMALL = 12  #: nodes of a gram that are paired directly
 HOT = 100_000  #: entries of a gram from which it is dealt to several buckets
 FEW = 500_000  #: ids, so many of which are broadcast to pick texts, a few tens of MB; more are joined by shuffling
-BLOCK = 2000  #: nodes of a group that others meet in one task
+BLOCK = 2000  #: nodes of a block of a group, about; a task holds two blocks
+BLOCK_GRAMS = 1 << 20  #: grams of a block, about
 BATCH_BYTES = 6 << 20
 PAIR, MEMBER, HOT_GRAM = 0, 1, 2
+EDGE, DEGREE = 0, 1
 ENTRY = (np.uint64, np.int64, np.uint32, np.uint32, np.uint8)
 
 
@@ -103,7 +103,7 @@ def prefix(grams: np.ndarray, table: np.ndarray) -> np.ndarray:
     return grams[np.lexsort((grams, table[_cell(grams)]))[:keep]]
 
 
-def index(texts: list[bytes], table: np.ndarray, buckets: int):
+def index(texts: list[bytes], table: np.ndarray, buckets: int, most: int = HOT):
     """Packed index entries by bucket: gram, node, set size, place in the order, and whether the gram is hot."""
     sets = {}
     for s in sets_of(texts):
@@ -118,8 +118,8 @@ def index(texts: list[bytes], table: np.ndarray, buckets: int):
     size = np.repeat(np.array([len(s) for s in sets.values()], np.uint32), sizes)
     place = np.concatenate([np.arange(n, dtype=np.uint32) for n in sizes])
     count = table[_cell(gram)]
-    hot = count >= HOT
-    salt = np.where(hot, node.astype(np.uint64) % np.maximum(count // HOT * 2, 1).astype(np.uint64), 0).astype(np.uint64)
+    hot = count >= most
+    salt = np.where(hot, node.astype(np.uint64) % np.maximum(count // most * 2, 1).astype(np.uint64), 0).astype(np.uint64)
     bucket = (mix(gram + salt) % np.uint64(buckets)).astype(np.int64)
     for b, mine in by_bucket(bucket):
         yield b, pack(gram[mine], node[mine], size[mine], place[mine], hot[mine].astype(np.uint8))
@@ -132,7 +132,7 @@ def fits(na, nb, ia, ib):
     return (DENOMINATOR * small >= NUMERATOR * large) & (1 + np.minimum(na - ia - 1, nb - ib - 1) >= need)
 
 
-def probe(blobs: list[bytes]) -> dict[str, np.ndarray]:
+def probe(blobs: list[bytes], few: int = SMALL) -> dict[str, np.ndarray]:
     """What a bucket's entries give: pairs (kind PAIR), nodes of hubs' groups (MEMBER: hub, node) and nodes of hot grams (HOT_GRAM: gram, node)."""
     gram, node, size, place, hot = unpack(blobs, *ENTRY)
     order = np.lexsort((node, gram))
@@ -143,19 +143,16 @@ def probe(blobs: list[bytes]) -> dict[str, np.ndarray]:
     start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, int)
     count = np.diff(np.append(start, len(gram)))
     mine, rank = np.repeat(np.arange(len(start)), count), np.arange(len(gram)) - np.repeat(start, count)
-    many = count[mine] > SMALL
+    many = count[mine] > few
     a, b = [np.zeros(0, int)], [np.zeros(0, int)]
-    for gap in range(1, SMALL):  # all pairs of small groups
-        at = np.flatnonzero(~many & (rank + gap < count[mine]))
+    for gap in range(1, few):  # all pairs of small groups
+        at = np.flatnonzero(~many & ~hot & (rank + gap < count[mine]))
         a.append(at)
         b.append(at + gap)
-    at = np.flatnonzero(many & (rank > 0))  # one hub for large ones: the least node
-    a.append(start[mine[at]])
-    b.append(at)
     a, b = np.concatenate(a), np.concatenate(b)
     ok = fits(size[a], size[b], place[a], place[b])
     pair = np.unique(np.stack([node[a[ok]], node[b[ok]]], axis=1), axis=0)
-    at = np.flatnonzero(many & ~hot)
+    at = np.flatnonzero(many & ~hot)  # one hub for large ones: the least node
     member = np.unique(np.stack([node[start[mine[at]]], node[at]], axis=1), axis=0)
     kept = np.stack([gram[hot].view(np.int64), node[hot]], axis=1)
     every = np.concatenate([pair, member, kept])
@@ -199,70 +196,62 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return stored(both.mapInArrow(run, "a long, b long"), "jaccard-links")
 
 
-def prints_of(texts: DataFrame) -> DataFrame:
-    """node and prints (the 16-bit fingerprints of its grams) of texts (node, text)."""
+def meet(node: np.ndarray, left: np.ndarray, right: np.ndarray, sets: list[np.ndarray], lower: list[list[int]]) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """A spanning forest of the links between left and right nodes, and every node's number of these links.
 
-    def run(batches):
-        for t in batched(batches, BATCH_BYTES):
-            sets = sets_of(as_bytes(t.column(1)))
-            yield pa.record_batch([_one(t.column(0)), pa.array([(s & np.uint64(0xFFFF)).astype(np.uint16).tobytes() for s in sets], pa.binary())], ["node", "prints"])
-
-    return stored(texts.select("node", "text").mapInArrow(run, "node long, prints binary"), "jaccard-prints")
-
-
-def meet(node: np.ndarray, comp: np.ndarray, out: np.ndarray, prints: list[bytes], forest: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of an outside node (out) and another one of a block that pass the length and suffix filters, from different components; or a forest of them."""
-    each = [np.frombuffer(p, np.uint16) for p in prints]
-    size = np.array([len(p) for p in each], np.int64)
-    inner = np.flatnonzero(~out)
-    flat, owner = np.concatenate([each[i] for i in inner]) if len(inner) else np.zeros(0, np.uint16), np.repeat(np.arange(len(inner)), size[inner])
-    a, b, share = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0)]
-    for i in np.flatnonzero(out).tolist():
-        has = np.zeros(1 << 16, bool)
-        has[each[i]] = True
-        room = np.minimum(np.bincount(owner[has[flat]], minlength=len(inner)), size[i])
-        total = size[i] + size[inner]
-        ok = (comp[inner] != comp[i]) & (room * (NUMERATOR + DENOMINATOR) >= NUMERATOR * total)
-        ok &= DENOMINATOR * np.minimum(size[i], size[inner]) >= NUMERATOR * np.maximum(size[i], size[inner])
-        at = np.flatnonzero(ok)
-        a.append(np.full(len(at), i))
-        b.append(inner[at])
-        share.append(room[at] / np.maximum(total[at] - room[at], 1))
-    a, b, share = np.concatenate(a), np.concatenate(b), np.concatenate(share)
-    if forest:
-        root: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while root.get(x, x) != x:
-                root[x] = root.get(root[x], root[x])
-                x = root[x]
-            return x
-
-        keep = []
-        for k in np.argsort(-share, kind="stable").tolist():
-            x, y = find(int(comp[a[k]])), find(int(comp[b[k]]))
-            if x != y:
-                root[x] = y
-                keep.append(k)
-        a, b = a[keep], b[keep]
-    return np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
-
-
-def across(members: DataFrame, comp: DataFrame, prints: DataFrame, forest: bool) -> DataFrame:
-    """Pairs (a, b) of members (hub, node) of one group, from different components, that may be similar; or forests of them."""
-    known = members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    sizes = known.groupBy("hub", "comp").agg(F.count("*").alias("n"))
-    groups = sizes.groupBy("hub").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("n")).where("comps > 1")
-    known = known.join(groups.select("hub", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "hub")
-    inner = known.select("hub", "node", "comp", F.lit(False).alias("out"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    outer = known.where("comp <> main").select("hub", "node", "comp", F.lit(True).alias("out"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    rows = inner.unionByName(outer).join(prints, "node")
+    Where all are both left and right, each pair counts once. lower: a node's other hubs under the group's; pairs that share one count there.
+    """
+    n, size = len(node), np.array([len(x) for x in sets], np.int64)
+    at = np.concatenate([[0], np.cumsum(size)])
+    _, gram = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
+    held, count = np.repeat(np.arange(n), size)[np.argsort(gram, kind="stable")], np.bincount(gram)
+    first = np.cumsum(count) - count
+    holders: dict[int, list[int]] = {}
+    for i, hubs in enumerate(lower):
+        for h in hubs:
+            holders.setdefault(h, []).append(i)
+    elsewhere = {h: np.array(x) for h, x in holders.items()}
+    degree, comp, forest = np.zeros(n, np.int64), np.arange(n), []
+    for i in np.flatnonzero(left).tolist():
+        own = gram[at[i] : at[i + 1]]
+        share = np.bincount(held[ranges(first[own], count[own])], minlength=n)
+        ok = right & (share * (NUMERATOR + DENOMINATOR) >= NUMERATOR * (size[i] + size))
+        ok &= np.arange(n) > i if right[i] else True
+        if not ok.any():
+            continue
+        for h in lower[i]:
+            ok[elsewhere[h]] = False
+        near = np.flatnonzero(ok)
+        degree[i] += len(near)
+        degree[near] += 1
+        for j in near[comp[near] != comp[i]].tolist():
+            if comp[j] != comp[i]:
+                forest.append((i, j))
+                comp[comp == comp[j]] = comp[i]
+    return [(int(min(node[i], node[j])), int(max(node[i], node[j]))) for i, j in forest], degree
+
+
+def blocks(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """hub, node, x, y and mine of all members (hub, node): a row for every two blocks x <= y that the node meets others in; its own is mine."""
+    known = members.join(sizes, "node")
+    groups = known.groupBy("hub").agg(F.count("*").alias("many"), F.sum("n").alias("grams")).where("many > 1")
+    groups = groups.select("hub", F.ceil(F.greatest(F.col("many") / BLOCK, F.col("grams") / BLOCK_GRAMS)).cast("int").alias("blocks"))
+    dealt = known.join(groups, "hub").select("hub", "node", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("mine"), "blocks")
+    return dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("hub", "node", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine")
+
+
+def within(members: DataFrame, hubs: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
+    """All links within groups of members (hub, node): a forest of them (kind EDGE: a, b) and numbers of links (DEGREE: node, number)."""
+    rows = blocks(members, sizes).join(hubs, "node").withColumn("hubs", F.expr("filter(hubs, h -> h < hub)")).join(texts, "node")
 
     def run(group: pa.Table) -> pa.Table:
-        a, b = meet(group.column("node").to_numpy(), group.column("comp").to_numpy(), group.column("out").to_numpy(), group.column("prints").to_pylist(), forest)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        node, x, y, mine = (group.column(c).to_numpy() for c in ("node", "x", "y", "mine"))
+        forest, degree = meet(node, mine == x, mine == y, sets_of(as_bytes(group.column("text"))), group.column("hubs").to_pylist())
+        some = np.flatnonzero(degree)
+        a, b = [e[0] for e in forest] + node[some].tolist(), [e[1] for e in forest] + degree[some].tolist()
+        return pa.table({"kind": pa.array([EDGE] * len(forest) + [DEGREE] * len(some), pa.int32()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.groupBy("hub", "block").applyInArrow(run, "a long, b long").distinct()
+    return stored(rows.groupBy("hub", "x", "y").applyInArrow(run, "kind int, a long, b long"), "jaccard-within")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -288,47 +277,36 @@ def classes(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(row_key().alias("rkey"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     every = stored(nodes(docs), "jaccard-nodes")
-    node_table = every.where("node is not null").groupBy("node").agg(F.min("rkey").alias("rkey"), F.min("doc_id").alias("least"))
+    node_table = every.where("node is not null").groupBy("node").agg(F.min("rkey").alias("rkey"), F.min("doc_id").alias("least"), F.max("n").alias("n"))
+    few, most = SMALL, HOT
     table, buckets = frequencies(docs), 4 * shuffle_parts(spark)
     shared = spark.sparkContext.broadcast(table)
 
     def send(batches):
         for t in batched(batches, BATCH_BYTES):
-            got = list(index(as_bytes(t.column(0)), shared.value, buckets))
+            got = list(index(as_bytes(t.column(0)), shared.value, buckets, most))
             yield pa.record_batch([pa.array([b for b, _ in got], pa.int32()), pa.array([x for _, x in got], pa.binary())], ["bucket", "data"])
 
     def deal(group: pa.Table) -> pa.Table:
-        return pa.table(probe(group.column("data").to_pylist()))
+        return pa.table(probe(group.column("data").to_pylist(), few))
 
     sent = docs.select("text").where("text is not null").mapInArrow(send, "bucket int, data binary")
     found = stored(sent.groupBy("bucket").applyInArrow(deal, "kind int, a long, b long"), "jaccard-found")
     hot = found.where(f"kind = {HOT_GRAM}").select("a", F.col("b").alias("node"))
     hot = hot.join(hot.groupBy("a").agg(F.min("node").alias("hub")), "a").select("hub", "node")
     members = stored(found.where(f"kind = {MEMBER}").select(F.col("a").alias("hub"), F.col("b").alias("node")).unionByName(hot).distinct(), "jaccard-members")
-    pairs = found.where(f"kind = {PAIR}").select("a", "b").unionByName(hot.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")))
-    pairs = stored(pairs.distinct(), "jaccard-pairs")
+    hubs = stored(members.groupBy("node").agg(F.collect_set("hub").alias("hubs")), "jaccard-hubs")
+    of_a, of_b = (hubs.select(F.col("node").alias(x), F.col("hubs").alias(f"h{x}")) for x in "ab")
+    pairs = found.where(f"kind = {PAIR}").select("a", "b").distinct().join(of_a, "a", "left").join(of_b, "b", "left")
+    pairs = stored(pairs.where("not coalesce(arrays_overlap(ha, hb), false)").select("a", "b"), "jaccard-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select("node")).distinct()
     wanted = stored(wanted.join(node_table.select("node", "rkey"), "node"), "jaccard-wanted")
     texts = stored(docs.join(F.broadcast(wanted) if wanted.count() <= FEW else wanted, "rkey").groupBy("node").agg(F.any_value("text").alias("text")), "jaccard-texts")
-    links, tried = verify(pairs, texts), pairs
-    comp = components(links)
-    if not members.isEmpty():
-        prints = prints_of(texts.join(members.select("node").distinct(), "node", "left_semi"))
-        forest = True
-        while True:
-            more = stored(across(members, comp, prints, forest), "jaccard-more")
-            if more.isEmpty():
-                break
-            fresh = stored(more.join(tried, ["a", "b"], "left_anti"), "jaccard-fresh")
-            new = verify(fresh, texts)
-            if not new.isEmpty():
-                links, tried = links.unionByName(new), tried.unionByName(fresh)
-                comp = components(links)
-            if not forest:
-                break
-            forest = not new.isEmpty()
-        discard(prints)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    links = verify(pairs, texts)
+    groups = within(members, hubs, node_table.select("node", "n"), texts)
+    comp = components(links.unionByName(groups.where(f"kind = {EDGE}").select("a", "b")))
+    ends = links.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("long").alias("n")).unionByName(groups.where(f"kind = {DEGREE}").select(F.col("a").alias("node"), F.col("b").alias("n")))
+    degree = ends.groupBy("node").agg(F.sum("n").alias("n_links"))
     named = node_table.select("node", "least").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     lowest = named.groupBy("comp").agg(F.min("least").alias("component_id"))
     by_node = stored(named.join(lowest, "comp").join(degree, "node", "left").select("node", "comp", "component_id", "n_links"), "jaccard-classes")
@@ -338,7 +316,7 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least id that links reach) and n_links (different sets that its own was found linked to) of every row of docs."""
+    """doc_id, n_shingles, component_id (the least id that links reach) and n_links (different sets that its own is linked to, all of them) of every row of docs."""
     return classes(docs).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
 
 

@@ -94,6 +94,23 @@ def test_jaccard_join_is_brute_force(spark, monkeypatch, small, hot, block):
     assert sorted(((r[0], r[1], r[2]) for r in got), key=str) == components(rows)
 
 
+@pytest.mark.parametrize("small,hot,block,grams", [(12, 100_000, 2000, 1 << 20), (2, 100_000, 3, 1 << 20), (2, 2, 2000, 100)])
+def test_jaccard_join_counts_every_link(spark, monkeypatch, small, hot, block, grams):
+    for k, v in (("SMALL", small), ("HOT", hot), ("BLOCK", block), ("BLOCK_GRAMS", grams)):
+        monkeypatch.setattr(jaccard_join, k, v)
+    rows, base = corpus(11), [f"b{i}" for i in range(60)]
+    for i in range(45):  # one family whose members are mostly linked, in groups of several hubs
+        w = list(base)
+        for k in range(i % 3):
+            w[(7 * i + 23 * k) % len(w)] = f"x{i}{k}"
+        rows.append((2000 + i, " ".join(w), "en", "s0", 1))
+    sets = [frozenset(shingles(r[1])) for r in rows]
+    links = {a: sum(a != b and 100 * len(a & b) >= 75 * len(a | b) for b in set(sets) if b) if a else 0 for a in set(sets)}
+    got = jaccard_join.join(frame(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.n_links) for r in got), key=str) == sorted(((r[0], len(s), links[s]) for r, s in zip(rows, sets, strict=True)), key=str)
+    assert max(links.values()) > 12
+
+
 def test_jaccard_join_of_nothing_and_one_of_each(spark):
     empty = frame(spark, [])
     assert jaccard_join.join(empty).count() == 0 and jaccard_join.one_of_each(empty).count() == 0
