@@ -94,11 +94,26 @@ def lcs_ratio(a: str, b: str) -> float:
     return 200.0 * row[-1] / (len(a) + len(b))
 
 
-def fuzzy_match(names: DataFrame, candidates: DataFrame, threshold: float = 80.0, width: int = 2) -> DataFrame:
-    """name with the best candidate of its block (first characters) at or over the threshold, the first by pos on ties. The ratio runs in Arrow batches."""
+def may_match(names: DataFrame, candidates: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (name, pos, candidate) that can reach the threshold, none lost: by length, then by the characters that both have.
+
+    A ratio of t needs 2 * lcs >= t * (n + m); the lcs has at most the shorter's length, and no character of name that candidate lacks.
+    """
+    t = min(max(threshold / 100 - 1e-9, 0.0), 1.0)
+    left = names.select("name").where("name is not null").distinct().withColumn("n", F.length("name"))
+    right = candidates.select("pos", F.col("name").alias("candidate"), F.length("name").alias("m")).where("candidate is not null")
+    lengths = left.select("n").distinct().crossJoin(right.select("m").distinct()).where(2 * F.least("n", "m") >= t * (F.col("n") + F.col("m")))
+    pairs = left.join(lengths, "n").join(right, "m")
+    chars = lambda c: F.array_remove(F.split(F.col(c), ""), "")
+    missing = F.size(F.array_except(chars("name"), chars("candidate")))
+    return pairs.where(2 * F.least(F.col("n") - missing, F.col("m")) >= t * (F.col("n") + F.col("m"))).select("name", "pos", "candidate")
+
+
+def fuzzy_match(names: DataFrame, candidates: DataFrame, threshold: float = 80.0) -> DataFrame:
+    """name with the best of all candidates at or over the threshold, the first by pos on ties. The ratio runs in Arrow batches."""
     import pyarrow as pa
 
-    pairs = names.select("name").distinct().withColumn("k", F.substring("name", 1, width)).join(candidates.select("pos", F.col("name").alias("candidate"), F.substring("name", 1, width).alias("k")), "k").select("name", "pos", "candidate")
+    pairs = may_match(names, candidates, threshold)
 
     def run(batches):
         for batch in batches:

@@ -400,7 +400,7 @@ def jaccard_match(spark, d):
 @query()
 def fuzzy_ratio(spark, d):
     supplier = table(spark, d, "supplier").select(F.col("s_suppkey").alias("pos"), F.col("s_name").alias("name"))
-    return resolve.fuzzy_match(supplier.select(F.concat("name", F.lit("x")).alias("name")), supplier, 80.0, 9)
+    return resolve.fuzzy_match(supplier.select(F.concat("name", F.lit("x")).alias("name")), supplier, 80.0)
 
 
 # -- repairs and merges -----------------------------------------------------------------------------------------------

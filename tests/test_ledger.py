@@ -80,6 +80,18 @@ def test_matches_and_ties(spark):
     assert resolve.lcs_ratio("abc", "abd") == pytest.approx(200 * 2 / 6) and resolve.lcs_ratio("", "") == 100
 
 
+def test_fuzzy_match_is_every_pair(spark):
+    asked = ["Xupplier#0001", "上海 Acme Trading", "Acme Tradinq", "q", "", None, "zzzz", "Xcme Trading"]
+    known = ["Supplier#0001", "Supplier#0002", "Acme Trading", "Beta", "q", "Acme Trading"]
+    got = {r.name: (r.candidate, r.ratio) for r in resolve.fuzzy_match(spark.createDataFrame([(a,) for a in asked], "name string"), spark.createDataFrame(list(enumerate(known)), "pos long, name string")).collect()}
+    assert got.keys() == set(asked)
+    for a in asked:
+        best = max(known, key=lambda b: resolve.lcs_ratio(a or "", b))
+        ratio = resolve.lcs_ratio(a or "", best)
+        assert got[a] == ((best, pytest.approx(ratio, abs=1e-6)) if ratio >= 80 else (None, None)), a
+    assert got["Xupplier#0001"][0] == "Supplier#0001" and got["上海 Acme Trading"][0] == "Acme Trading"
+
+
 def test_names_that_clash_and_passes(spark):
     rows = spark.createDataFrame([(1, "f", "a.pdf"), (2, "f", "a.pdf"), (3, "f", "b"), (4, "f", "b")], "pos long, folder string, file_name string")
     assert [r.target for r in repair.unique_names(rows).orderBy("pos").collect()] == ["a.pdf", "a_1.pdf", "b", "b_1"]
