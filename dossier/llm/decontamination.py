@@ -8,7 +8,8 @@ longest item has, one every item length, so that every place where an item can s
 than 1 needs no search. In the others WAND finds the items, skipping by the group's and the blocks' maxima.
 
 Verification: at least OVERLAP of the item's word 5-grams stand in the passage, and at least PART of those of its question and of its
-answer (split at the last question mark, or in the middle).
+answer (split at the last question mark, or in the middle). The answer's grams are those of its own words, whether the question has them too or not;
+an answer of fewer than 5 words is a single gram.
 
 Words are lower-cased (A-Z) and parted by white space and ASCII punctuation. Defined cases: an item without words matches nothing; one of fewer than
 5 words is a single gram; null and empty texts match nothing; repeated rows match alike; items alike match each. Repeated item
@@ -45,7 +46,8 @@ class Index:
     most: np.ndarray  #: largest impact of each term in each group
     groups: list[int]  #: first item of each group, and the number of items
     postings: list[tuple[list[int], list[float], list[float], list[int]]]  #: items, impacts, block maxima, last items of blocks
-    grams: list[tuple[np.ndarray, np.ndarray, int]]  #: of each item: question's and answer's grams, words of a gram
+    grams: list[tuple[np.ndarray, np.ndarray, int]]  #: of each item: grams that start in the question, the others, words of a gram
+    answers: list[tuple[np.ndarray, int]]  #: of each item: grams of the answer's own words, words of a gram
     longest: int
 
 
@@ -67,7 +69,7 @@ def build(items: list[tuple[int, bytes]]) -> Index:
     idf = np.log(1 + (len(each) - df + 0.5) / (df + 0.5))
     mean = np.mean([len(w) for w in each]) if each else 1
     lists: list[list[tuple[int, float]]] = [[] for _ in vocabulary]
-    grams = []
+    grams, answers = [], []
     for i, ((terms, tf), w, text) in enumerate(zip(counts, each, texts, strict=True)):
         impact = idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / mean))
         missing = int((1 - OVERLAP) * max(len(w) - GRAM + 1, 1))
@@ -83,6 +85,7 @@ def build(items: list[tuple[int, bytes]]) -> Index:
         n = len(w) - k + 1
         first = np.unique(gram_hash(w, k)[: max(1, min(cut, n - 1))]) if n > 1 else whole
         grams.append((first, np.setdiff1d(whole, first) if n > 1 else whole, k))
+        answers.append(_grams(w[cut:]))
     size = max(GROUP, -(-len(each) // MAX_GROUPS))
     groups = [*range(0, len(each), size), len(each)]
     postings, most = [], np.zeros((len(lists), max(1, len(groups) - 1)), np.float32)
@@ -91,7 +94,7 @@ def build(items: list[tuple[int, bytes]]) -> Index:
         postings.append(([i for i, _ in one], [x for _, x in one], [max(x for _, x in b) for b in blocks], [b[-1][0] for b in blocks]))
         for i, x in one:
             most[t, i // size] = max(most[t, i // size], np.nextafter(np.float32(x), np.float32(np.inf)))
-    return Index(ids, vocabulary, most, groups, postings, grams, max(map(len, each), default=1))
+    return Index(ids, vocabulary, most, groups, postings, grams, answers, max(map(len, each), default=1))
 
 
 def wand(index: Index, terms: list[int], group: int = 0) -> list[tuple[int, float]]:
@@ -185,13 +188,14 @@ def search(index: Index, texts: list[bytes]) -> list[tuple[int, int, float, floa
         here = words[start : min(start + 2 * step, int(offsets[d + 1]))]
         known: dict[int, np.ndarray] = {}
         for item, score in found:
-            question, answer, k = index.grams[item]
-            if k not in known:
-                known[k] = gram_hash(here, k)
-            q, a = (np.isin(x, known[k]) for x in (question, answer))
-            share = (q.sum() + a.sum()) / (len(q) + len(a))
-            if share >= OVERLAP and q.mean() >= PART and a.mean() >= PART:
-                best[d, item] = max(best.get((d, item), (0.0, 0.0, 0.0)), (float(score), float(q.mean()), float(a.mean())))
+            (question, rest, k), (answer, ka) = index.grams[item], index.answers[item]
+            for n_words in {k, ka} - known.keys():
+                known[n_words] = gram_hash(here, n_words)
+            q, r, a = np.isin(question, known[k]), np.isin(rest, known[k]), np.isin(answer, known[ka])
+            share = (q.sum() + r.sum()) / (len(q) + len(r))
+            in_answer = float(a.mean()) if len(a) else 1.0  # an empty part is fulfilled
+            if share >= OVERLAP and q.mean() >= PART and in_answer >= PART:
+                best[d, item] = max(best.get((d, item), (0.0, 0.0, 0.0)), (float(score), float(q.mean()), in_answer))
     return [(d, item, *x) for (d, item), x in best.items()]
 
 

@@ -183,6 +183,17 @@ def test_decontamination_finds_whole_items_only(spark):
     assert decontamination.matches(docs, frame(spark, [], "item_id long, text string")).count() == 0
 
 
+def test_decontamination_of_quoted_and_short_answers():
+    quoted = "the river Montone flows past the old town of Forli . Which river flows past it ? the river Montone flows past the old town of Forli"
+    short = "Which river of the north flows past the old town of Forli in the plain ? The Montone"
+    twice = "one two three four five six one two three four five six"
+    index = decontamination.build([(i, t.encode()) for i, t in enumerate((quoted, short, twice))])
+    parted = short.replace("?", "? Answer:")
+    texts = [f"so {quoted} so", f"so {short} so", f"Question: {parted} so", f"so {twice} so", short.replace("The Montone", "no idea"), "nothing of it"]
+    got = {(d, index.ids[i]) for d, i, *_ in decontamination.search(index, [t.encode() for t in texts])}
+    assert got == {(0, 0), (1, 1), (2, 1), (3, 2)}
+
+
 def test_wand_is_exhaustive_scoring():
     rng = random.Random(5)
     items = [(i, " ".join(f"v{int(rng.paretovariate(0.7)) % 300}" for _ in range(rng.randrange(3, 40))).encode()) for i in range(300)]
