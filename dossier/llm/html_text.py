@@ -3,7 +3,7 @@
 A linear scan over a page's words and tags finds the run with the largest sum (Kadane). A word counts WORD; a tag counts
 what was learned from labelled pages, those that mark their own content with one <article> or <main>: minus the log of how much larger
 its share of the tags is outside the content than inside. Elements that never hold content (navigation, forms, scripts, adverts by class or role,
-reader comments and the like) count as one tag and give no text.
+reader comments and the like) count as one tag and give no text. Within marked content, headings, headers and sections aren't judged by id or class.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are joined by one newline.
 
@@ -29,7 +29,7 @@ PLAIN, LEAST, MOST = -0.2, -6.0, -0.05
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
 RAW = re.compile(r"<(script|style|noscript|template|iframe|svg|textarea|title|xmp|noembed|noframes)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 BOILERPLATE = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|share|sharing|social|sidebar|side|widget|related|recommended|recommendations|breadcrumbs?|menu|nav|navbar|navigation|footer|header|masthead|topbar|comments?|commentlist|discussion|replies|disqus|respond|login|search|toolbar|pagination|pager|copyright|legal|disclaimer|skip)(?:$|[\s_-])",
     re.I,
@@ -37,6 +37,10 @@ BOILERPLATE = re.compile(
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
 NEVER = {"nav", "footer", "aside", "form", "button", "select", "option", "head", "dialog", "menu", "object", "embed", "audio", "video", "canvas", "fieldset", "datalist", "label"}
 CONTENT = {"article", "main"}
+#: Within content these are the article's own, whatever their id or class says: generated anchors of headings, the article's header.
+OWN = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "header", "section"}
+#: Within content a name of several words with one of these is a part of the article, as entry-header.
+HEADER = re.compile(r"(?<=[_-])header(?![\w-])", re.I)
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "frameset", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -80,6 +84,8 @@ def _boilerplate(name: str, attributes: str, inside_content: bool) -> bool:
         return False
     for key, *values in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), next((v for v in values if v), "")
+        if inside_content and key in ("class", "id"):
+            value = "" if name in OWN else HEADER.sub("", value)
         if key in ("class", "id") and BOILERPLATE.search(value) or key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
     return False

@@ -330,6 +330,15 @@ def test_html_text(spark):
     assert html_text.fit(pages.limit(0)).tags.keys() == {"<article", "</article", "<main", "</main"}
 
 
+def test_html_text_keeps_the_articles_own_parts():
+    own = '<h2 id="related-work">Related work</h2><section id="discussion"><p>We discuss it</p></section><header class="entry-header"><h1 class="header">Title here</h1></header><div class="entry-header">Lead text</div>'
+    links = '<p>See <a href="/hidden-lake">hidden lake</a> <a href="/x?id=search">one</a> <a href=/x?id=search>two</a> <b title="A hidden gem" data-id="menu">gem</b></p>'
+    out = '<div class="comments"><p>said</p></div><p hidden>secret</p><p ID = menu>links</p><div class="x ad">buy</div><p style=\'display: none\'>gone</p>'
+    page = f'<body><div class="header">site</div><section class="related">more</section><article>{own}{links}{out}</article></body>'
+    text = html_text.learn(html_text.counts_of(page)).text(page)
+    assert text == "Related work\nWe discuss it\nTitle here\nLead text\nSee hidden lake one two gem"
+
+
 def test_licence_scan_confirms_templates(spark):
     rows = corpus(10, 40) + [(5000, "Some words\nReleased under the MIT License.\nmore", "en", "s", 0), (5001, "Licensed under the Apache License, Version 2.0.\nLicensed under CC BY-NC 4.0.", "en", "s", 0), (5002, "He lost his license.\nthe license fee was paid", "en", "s", 0)]
     docs = frame(spark, rows).selectExpr("*", "1 as family")
