@@ -1,16 +1,17 @@
 """Licence scans: a trained paragraph classifier names the licence family, and templates confirm it.
 
-Paragraphs are a text's lines. A multinomial logistic regression over sparse word n-grams (1 and 2 words, present or not) gives each
+Paragraphs are a text's lines; besides, each line is scored with the words that follow it up to a blank line (at most WRAP words, twice the longest
+template's), so that notices wrapped over several lines are found. A multinomial logistic regression over sparse word n-grams (1 and 2 words, present or not) gives each
 family and the unknown class a probability; the temperature that divides its logits is set on held-out examples, so that
 probabilities can be read as such. A prediction stands if its probability is at least MIN_PROBABILITY and the paragraph holds at least MIN_COVERAGE of
-the word pairs of one template of that family; otherwise the paragraph is unknown. Every template holds a trigger, so paragraphs
-without any can't be confirmed and aren't scored.
+the word pairs of one template of that family; otherwise the paragraph is unknown. Of every template, the pairs that hold no trigger are
+fewer than MIN_COVERAGE, so paragraphs without any can't be confirmed and aren't scored.
 
 Training runs on the driver, over the templates with words dropped and added, and a bounded sample of the corpus's own paragraphs as unknown.
 Scanning is one projection of built-in functions over whole texts: no shuffle, no Python on executors.
 
 Defined cases: a null or empty text has no paragraphs and no licence; family is null where nothing was confirmed; of several confirmed paragraphs the
-one with the largest probability counts, ties to the first; repeated rows give the same.
+one with the largest probability counts, single lines before wrapped ones, ties to the first; repeated rows give the same.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ TEMPLATES = {
 UNKNOWN = "unknown"
 #: Notices that name no family, and mentions that are none.
 OTHER = ["he lost his driving license last year", "the license fee was paid in march", "copyright law is a wide field", "she asked for permission to leave the room", "the warranty and the license of the shop ran out", "a dog license is needed in this town", "all rights were reserved for the members", "the band released a record under a new name", "the terms of the contract were published", "this file is a list of public places", "free of charge for any person under ten", "the public domain is discussed here"]
-TRIGGER = r"(?i)licen[cs]|copyright|copying|all rights|permission|permitted|redistribut|public domain|creative commons|\bcc0\b|free software"
+BASE_TRIGGER = r"(?i)licen[cs]|copyright|copying|all rights|permission|permitted|redistribut|public domain|creative commons|\bcc0\b|free software"
 WORD = r"[a-z0-9]+(?:[.\-][a-z0-9]+)*"
 MIN_PROBABILITY, MIN_COVERAGE = 0.5, 0.6
 
@@ -82,6 +83,23 @@ def coverage(paragraph: str, *families: str) -> float:
     return max((len(pairs & own) / len(pairs) for f in families for pairs in PAIRS.get(f, [])), default=0.0)
 
 
+def _trigger() -> str:
+    """BASE_TRIGGER with so many words of the templates, longest first, that no paragraph without any covers MIN_COVERAGE of a template."""
+    out = BASE_TRIGGER
+    for template in (x for f in PAIRS.values() for x in f):
+        words = sorted({w for g in template for w in g.split()}, key=lambda w: (w in ("cc",), len(w), w))
+        while sum(not re.search(out, g) for g in template) >= MIN_COVERAGE * len(template) - 1e-9:
+            word = words.pop()
+            out += "" if re.search(out, word) else rf"|\b{re.escape(word)}\b"
+    return out
+
+
+TRIGGER = _trigger()
+WRAP = 2 * max(len(words_of(t)) for texts in TEMPLATES.values() for t in texts)
+#: Words, at most WRAP, up to a blank line.
+FOLLOWING = r"^[^\S\n]*(?:\S+[^\S\n]*\n?[^\S\n]*){0,%d}" % WRAP
+
+
 def train(unknown: list[str], p: Params) -> Model:
     """unknown: paragraphs of the corpus; those that a template covers are left out."""
     rng = random.Random(p.seed)
@@ -158,26 +176,30 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
         return out
 
     text = F.col("text").cast("string")
-    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("paragraph"), x.alias("text")))
+    single = lambda all_lines: F.transform(all_lines, lambda x, i: F.struct(F.lit(True).alias("single"), i.alias("paragraph"), x.alias("text")))
+    after = lambda all_lines, i: F.regexp_extract(F.array_join(F.slice(all_lines, i + 2, F.lit(WRAP)), "\n"), FOLLOWING, 0)
+    wrapped = lambda all_lines: F.transform(all_lines, lambda x, i: F.struct(F.lit(False).alias("single"), i.alias("paragraph"), F.when(F.trim(x) != "", F.concat(x, F.lit("\n"), after(all_lines, i))).otherwise("").alias("text")))
+    # an array of one, so that the lines are split once
+    lines = F.flatten(F.transform(F.array(F.split(text, "\n")), lambda all_lines: F.concat(single(all_lines), wrapped(all_lines))))
     found = F.filter(lines, lambda x: x["text"].rlike(TRIGGER))
     rows = docs.select(F.col("doc_id"), F.when(text.rlike(TRIGGER), found).alias("lines"))
-    step = F.transform("lines", lambda x: F.struct(x["paragraph"].alias("paragraph"), F.array_intersect(_grams(x["text"]), known).alias("grams")))
+    step = F.transform("lines", lambda x: F.struct(x["single"].alias("single"), x["paragraph"].alias("paragraph"), F.array_intersect(_grams(x["text"]), known).alias("grams")))
     rows = rows.select("doc_id", step.alias("lines"))
 
     def logits(own: Column) -> Column:
         sums = F.aggregate(own, doubles(model.bias), lambda acc, g: F.zip_with(acc, F.element_at(table, g), lambda a, b: a + b))
         return F.transform(sums, lambda z: z / F.lit(model.temperature))
 
-    step = F.transform("lines", lambda x: F.struct(x["paragraph"].alias("paragraph"), x["grams"].alias("grams"), logits(x["grams"]).alias("z")))
+    step = F.transform("lines", lambda x: F.struct(x["single"].alias("single"), x["paragraph"].alias("paragraph"), x["grams"].alias("grams"), logits(x["grams"]).alias("z")))
     rows = rows.select("doc_id", step.alias("lines"))
 
     def likely(z: Column) -> Column:
         top = F.array_max(z)
         return F.lit(1.0) / F.aggregate(z, F.lit(0.0), lambda acc, v: acc + F.exp(v - top))
 
-    step = F.transform("lines", lambda x: F.struct(x["paragraph"].alias("paragraph"), x["grams"].alias("grams"), F.element_at(named, F.array_position(x["z"], F.array_max(x["z"])).cast("int")).alias("family"), likely(x["z"]).alias("probability")))
+    step = F.transform("lines", lambda x: F.struct(x["single"].alias("single"), x["paragraph"].alias("paragraph"), x["grams"].alias("grams"), F.element_at(named, F.array_position(x["z"], F.array_max(x["z"])).cast("int")).alias("family"), likely(x["z"]).alias("probability")))
     rows = rows.select("doc_id", step.alias("lines"))
-    step = F.transform("lines", lambda x: F.struct(x["probability"].alias("probability"), (-x["paragraph"]).alias("before"), x["family"].alias("family"), covers(x["grams"], x["family"]).alias("coverage")))
+    step = F.transform("lines", lambda x: F.struct(x["single"].alias("single"), x["probability"].alias("probability"), (-x["paragraph"]).alias("before"), x["family"].alias("family"), covers(x["grams"], x["family"]).alias("coverage")))
     rows = rows.select("doc_id", F.filter(step, lambda x: (x["family"] != UNKNOWN) & (x["probability"] >= MIN_PROBABILITY) & (x["coverage"] >= MIN_COVERAGE)).alias("lines"))
     best = F.array_max("lines")
     confirmed = F.coalesce(F.array_sort(F.array_distinct(F.transform("lines", lambda x: x["family"]))), F.array().cast("array<string>"))
@@ -186,13 +208,14 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
 
 def scan_text(text: str | None, model: Model) -> tuple[str | None, float | None, int | None]:
     """What scan() gives for one text, by plain Python; for tests."""
-    best = None
-    for i, line in enumerate((text or "").split("\n")):
-        if not re.search(TRIGGER, line):
+    best, all_lines = None, (text or "").split("\n")
+    following = [x + "\n" + re.match(FOLLOWING, "\n".join(all_lines[i + 1 : i + 1 + WRAP]), re.A)[0] if x.strip(" ") else "" for i, x in enumerate(all_lines)]
+    for single, i, line in [(True, i, x) for i, x in enumerate(all_lines)] + [(False, i, x) for i, x in enumerate(following)]:
+        if best and best[0] and not single or not re.search(TRIGGER, line):
             continue
         z = np.array(model.bias) + sum((np.array(model.weights[g]) for g in grams_of(line) if g in model.weights), np.zeros(len(model.bias)))
         p = _softmax((z / model.temperature)[None])[0]
         family = model.families[int(p.argmax())]
-        if family != UNKNOWN and p.max() >= MIN_PROBABILITY and coverage(line, family) >= MIN_COVERAGE and (best is None or p.max() > best[1] + 1e-12):
-            best = (family, float(p.max()), i)
-    return best or (None, None, None)
+        if family != UNKNOWN and p.max() >= MIN_PROBABILITY and coverage(line, family) >= MIN_COVERAGE and (best is None or p.max() > best[2] + 1e-12):
+            best = (single, family, float(p.max()), i)
+    return best[1:] if best else (None, None, None)

@@ -352,3 +352,19 @@ def test_licence_scan_confirms_templates(spark):
     assert license_scan.scan(docs.limit(0), model).count() == 0
     for family, texts in license_scan.TEMPLATES.items():
         assert all(re.search(license_scan.TRIGGER, t) for t in texts), family
+
+
+def test_licence_scan_finds_wrapped_notices(spark):
+    notices = {
+        "GPL": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+        "LGPL": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.",
+        "BSD": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:",
+        "CC-BY-SA": "Text available under CC BY-SA 4.0",
+    }
+    rows = [(i, f"Some words here\n\n{t}\n\nmore of it", "en", "s", 0) for i, t in enumerate(notices.values())] + [(9, "This program is free software: you can redistribute it and/or modify\n\nnothing", "en", "s", 0)]
+    model = license_scan.fit(frame(spark, corpus(10, 40)))
+    got = {r.doc_id: r for r in license_scan.scan(frame(spark, rows), model).collect()}
+    assert [got[i].family for i in range(4)] == list(notices) and got[9].family is None
+    assert all((got[i].family, got[i].paragraph) == license_scan.scan_text(t, model)[::2] for i, t, *_ in rows)
+    for texts in license_scan.PAIRS.values():
+        assert all(sum(not re.search(license_scan.TRIGGER, g) for g in pairs) / len(pairs) < license_scan.MIN_COVERAGE for pairs in texts)
