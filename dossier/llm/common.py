@@ -5,12 +5,15 @@ Words are maximal runs of bytes other than space and \\x09-\\x0D of the UTF-8 te
 
 from __future__ import annotations
 
+import math
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on: its arrays stay in a processor's cache.
 CHUNK_BYTES = 1 << 17
@@ -27,30 +30,60 @@ _powers = np.ones(1, np.uint64)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where the session names none, as in tests."""
+    """The folder that driver and executors share. Where the session names none, as in tests, a new one, but only if all runs on one machine."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="dossier-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it again, so that lost executors cost no more than one step."""
+    """Writes df as Parquet in the shared folder and reads it again, so that lost executors cost no more than one step.
+
+    What discard() hasn't deleted before goes when the application ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     back = spark.read.schema(df.schema).parquet(path)
     back._stored_at = path
     return back
 
 
-def discard(df: DataFrame) -> None:
+def discard(*frames: DataFrame) -> None:
     """Deletes what stored() wrote, once nothing reads it any more."""
-    spark, path = df.sparkSession, getattr(df, "_stored_at", None)
-    if path:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    for df in frames:
+        spark, path = df.sparkSession, getattr(df, "_stored_at", None)
+        if path:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def place_of(*key: str | Column) -> Column:
+    """A row's place in a random order: 63 bits of a hash of its key."""
+    return F.xxhash64(*key).bitwiseAND(F.lit(2**63 - 1))
+
+
+def bound(n: int, k: int, least: int | None = None) -> int:
+    """A place below which k of n rows lie, with so much room that fewer are as good as impossible; above the least place that there is."""
+    room = k + 8 * math.sqrt(k) + 16
+    return max(2**63 - 1 if n <= room else int(2**63 * (room / n)), (least if least is not None else -1) + 1)
+
+
+def least(df: DataFrame, k: int, *key: str) -> DataFrame:
+    """The k rows of the least places, ties by key: a random sample that doesn't depend on partitions, empty only if df is.
+
+    Rows are filtered by place first, so no task sorts more than about k.
+    """
+    place = place_of(*key)
+    n, low = df.agg(F.count("*"), F.min(place)).first()
+    some = df if n <= k else df.where(place < bound(n, k, low))
+    return some.orderBy(place, *key).limit(k)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -170,20 +203,10 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def by_bucket(bucket: np.ndarray):
-    """Buckets in order, each with the places of its entries."""
-    order = np.argsort(bucket, kind="stable")
-    found = bucket[order]
-    edges = np.concatenate([[0], np.flatnonzero(found[1:] != found[:-1]) + 1, [len(found)]]) if len(found) else np.zeros(1, int)
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        yield int(found[a]), order[a:b]
-
-
-def row_key():
-    """A key of a row of documents: a hash of its id and text. Only rows alike in both share it."""
-    from pyspark.sql import functions as F
-
-    return F.xxhash64("doc_id", F.col("text").cast("string"))
+def text_keys(text: str | Column = "text") -> list[Column]:
+    """Two columns, k1 and k2, that name a text by 128 bits of its hash; null where it is null."""
+    t = (F.col(text) if isinstance(text, str) else text).cast("string")
+    return [F.when(t.isNotNull(), F.xxhash64(*seed, t)).alias(name) for name, seed in (("k1", []), ("k2", [F.lit(7), F.length(t)]))]
 
 
 def batched(batches, most: int):
@@ -202,3 +225,64 @@ def batched(batches, most: int):
                 held, size = [], 0
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+
+
+def whole_groups(batches, most: int):
+    """Arrow tables of about so many bytes whose rows come sorted by the first column; rows with one value of it are never parted."""
+    import pyarrow as pa
+
+    held = None
+    for t in batched(batches, most):
+        t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
+        first = t.column(0).to_numpy()
+        other = np.flatnonzero(first != first[-1])
+        end = int(other[-1]) + 1 if len(other) else 0
+        if end:
+            yield t.slice(0, end)
+        held = t.slice(end)
+    if held is not None:
+        yield held
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with so many underscores before it that df has no such column."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name = "_" + name
+    return name
+
+
+def row_keys(df: DataFrame) -> list[Column]:
+    """Two columns, r1 and r2, that name a row by 128 bits of a hash of all its columns. Only rows alike in all of them share it."""
+    every = [F.col(f"`{c}`") for c in df.columns]
+    nulls = F.concat_ws("", *[F.when(c.isNull(), "0").otherwise("1") for c in every])
+    return [F.xxhash64(*seed, nulls, *every).alias(name) for name, seed in (("r1", []), ("r2", [F.lit(11)]))]
+
+
+#: Bits of a member table for each key that it holds; its size at most, 16 MB.
+KEY_BITS, MOST_KEY_BITS = 16, 1 << 27
+
+
+def members(keys: DataFrame, n: int) -> Column:
+    """A condition on k1 and k2 that holds for all of the n keys (k1, k2) and for few others: a Bloom filter of at most MOST_KEY_BITS bits.
+
+    It is bounded, so with very many keys it lets more others through; what follows must join exactly.
+    """
+    import pandas as pd
+
+    m = 1 << min(max(16, (n * KEY_BITS).bit_length()), MOST_KEY_BITS.bit_length() - 1)
+    places = F.array(*[F.pmod(F.xxhash64("k1", "k2", F.lit(i)), F.lit(m)) for i in range(4)])
+    words = keys.select(F.explode(places).alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
+    got = words.toArrow()
+    table = np.zeros(m >> 6, np.uint64)
+    table[got.column("w").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    shared = keys.sparkSession.sparkContext.broadcast(table)
+
+    def may_be(a, b, c, d):
+        found = np.ones(len(a), bool)
+        for p in (a, b, c, d):
+            x = p.to_numpy()
+            found &= (shared.value[x >> 6] >> (x & 63).astype(np.uint64)) & np.uint64(1) > 0
+        return pd.Series(found)
+
+    may_be.__annotations__ = dict.fromkeys(("a", "b", "c", "d", "return"), pd.Series)
+    return F.pandas_udf(may_be, "boolean")(*[F.pmod(F.xxhash64("k1", "k2", F.lit(i)), F.lit(m)) for i in range(4)])
