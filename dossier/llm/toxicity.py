@@ -6,7 +6,7 @@ from bounded samples; scores are worked out in Arrow batches over whole texts.
 
 Defined cases: a null or empty text has no words and gets the score of the bias; repeated ids in labels count once, as
 toxic if any row says so; without a confirmed toxic document every score is the prior. Rows are scored one by one, so repeated rows
-and further columns change nothing.
+and further columns change nothing; of a very long text all words count for its score, though training leaves it out.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _SPACE, as_bytes, chunks, hash_words
+from .common import _SPACE, as_bytes, chunks, hash_words, least
 
 #: Bytes that part words here: white space, digits and ASCII punctuation.
 BREAKS = _SPACE.copy()
@@ -30,7 +30,8 @@ BREAKS[123:128] = True
 @dataclass
 class Params:
     max_positive: int = 4000  #: documents, at most, that training takes of the confirmed toxic ones
-    max_unlabelled: int = 8000  #: and of the others; both are chosen by a hash of the id
+    max_unlabelled: int = 8000  #: and of the others; both are those with the least hashes of the id
+    max_chars: int = 20_000  #: of a document that training takes, so that the driver holds a bounded number of words
     max_words: int = 4096  #: words with a weight
     min_documents: int = 3  #: confirmed toxic documents that must hold a word
     min_z: float = 4.0  #: how far a word's rate among positives must stand from that among the unlabelled
@@ -70,21 +71,16 @@ def _hits(texts: list[bytes], words: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return pair // len(words), pair % len(words)
 
 
-def _few(df: DataFrame, most: int) -> DataFrame:
-    """About so many of the rows (all, if there are no more), chosen by a hash of doc_id."""
-    n = df.count()
-    return df if n <= most else df.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * most / n))
-
-
-def _word_sets(docs: DataFrame, most: int) -> list[np.ndarray]:
-    """The distinct word hashes of the documents, of at most so many."""
+def _word_sets(docs: DataFrame, ids: DataFrame, most: int, p: Params) -> list[np.ndarray]:
+    """The distinct word hashes of the documents with these ids, of at most so many that aren't longer than p.max_chars."""
 
     def words(batches):
         for batch in batches:
             h, o = hash_words(as_bytes(batch.column(0)), lower=True, breaks=BREAKS)
             yield pa.record_batch([pa.array([np.unique(h[x:y]).tobytes() for x, y in zip(o[:-1], o[1:], strict=True)], pa.binary())], ["words"])
 
-    return [np.frombuffer(r[0], np.uint64) for r in docs.select(F.col("text").cast("string")).mapInArrow(words, "words binary").limit(most).collect()]
+    short = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= p.max_chars).join(F.broadcast(ids.distinct()), "doc_id", "left_semi")
+    return [np.frombuffer(x, np.uint64) for x in sorted(bytes(r[0]) for r in least(short, most, "doc_id", "text").select("text").mapInArrow(words, "words binary").collect())]
 
 
 def nnpu(xp: tuple, xu: tuple, n_words: int, prior: float, p: Params) -> tuple[np.ndarray, float]:
@@ -119,14 +115,13 @@ def fit(documents: DataFrame, labels: DataFrame, params: Params | None = None) -
     The prior is the share of toxic among the labelled.
     """
     p = params or Params()
-    docs = documents.select("doc_id", "text")
+    docs = documents.select("doc_id", F.col("text").cast("string").alias("text"))
     marks = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("doc_id is not null and toxic is not null")
     counts = marks.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     prior = (counts[1] + 1) / (counts[0] + 2)
     toxic = marks.where("toxic = 1").select("doc_id")
-    chosen = _few(toxic, p.max_positive).limit(2 * p.max_positive)  # ids only, so few that they are broadcast
-    pos = _word_sets(docs.join(F.broadcast(chosen), "doc_id", "left_semi"), p.max_positive)
-    unl = _word_sets(_few(docs, p.max_unlabelled).join(toxic, "doc_id", "left_anti"), p.max_unlabelled)
+    pos = _word_sets(docs, least(toxic, p.max_positive, "doc_id"), p.max_positive, p)
+    unl = _word_sets(docs, least(docs.select("doc_id").join(toxic, "doc_id", "left_anti"), p.max_unlabelled, "doc_id"), p.max_unlabelled, p)
     bias_only = Model(bias=float(np.log(prior / (1 - prior))))
     if not pos or not unl:
         return bias_only
