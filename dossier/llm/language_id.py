@@ -3,11 +3,11 @@
 A text's UTF-8 bytes are read in windows of WINDOW bytes, all of them. In each window one network runs forwards and one backwards; a softmax
 over both states labels every byte with language probabilities, and a document's probabilities are their means over all its bytes.
 
-Training takes a bounded sample: of each language at most Params.per_language documents, chosen by a hash of the id, and from each a few
+Training takes a bounded sample: of each language the Params.per_language documents of the least hashes, and from each a few
 windows spread over the whole text.
 
 Defined cases: `und` with score 0 for a null text, one without a letter, or if nothing was learned; with one learned language it is always that.
-Ties go to the language first in code-point order. Rows are judged one by one, so repeated rows change nothing.
+Ties go to the language first in code-point order. Rows are judged one by one, whole, however long, so repeated rows and further columns change nothing.
 """
 
 from __future__ import annotations
@@ -17,9 +17,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import as_bytes
+from .common import as_bytes, bound, place_of
 
 WINDOW = 128
 BATCH = 512  #: windows that are read at once
@@ -147,10 +148,11 @@ def fit(documents: DataFrame, params: Params | None = None) -> Model:
     """documents (doc_id, text, lang) to learn from; rows without text or lang are left out."""
     p = params or Params()
     rows = documents.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null and text rlike '\\\\p{L}'")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    share = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(int((1 << 20) * min(1.0, p.per_language / n)))).otherwise(share)
+    place = place_of("doc_id", "text")
+    share = F.lit(0).cast("long")
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(place).alias("low")).collect()
+    for r in counts:
+        share = F.when(F.col("lang") == r["lang"], F.lit(bound(r["n"], p.per_language, r["low"]))).otherwise(share)
 
     def cut(batches):
         for batch in batches:
@@ -162,9 +164,9 @@ def fit(documents: DataFrame, params: Params | None = None) -> Model:
                     out.append((lang, text[at : at + p.length]))
             yield pa.record_batch([pa.array([x for x, _ in out], pa.string()), pa.array([b for _, b in out], pa.binary())], ["lang", "window"])
 
-    picked = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share).select("text", "lang").mapInArrow(cut, "lang string, window binary")
-    most = len(counts) * p.per_language * p.windows * 2
-    return train(sorted((r[0], bytes(r[1])) for r in picked.limit(max(most, 1)).collect()), p)
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("place", "doc_id", "text"))
+    picked = rows.where(place < share).withColumn("place", place).withColumn("rank", rank).where(F.col("rank") <= p.per_language)
+    return train(sorted((r[0], bytes(r[1])) for r in picked.select("text", "lang").mapInArrow(cut, "lang string, window binary").collect()), p)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
