@@ -1,11 +1,14 @@
 """URL filters: rules by host and path first, gradient-boosted trees on lexical features for the rest.
 
-Features of a URL: lengths, depth, digit ratio, character entropy, numbers of parameters, labels, hyphens and capitals, and
-how often URLs of the same suffix (last host label) were blocked among the labelled ones. The trees are grown in numpy on the driver
-from a bounded sample of labelled URLs, with the logistic loss, over quantile bins.
+Features of a URL: lengths, depth, digit ratio, character entropy, numbers of parameters, labels, hyphens and capitals, and statistics of its
+suffix (last host label): how often its labelled URLs were blocked. The trees are grown in numpy on the driver
+from a bounded sample of labelled URLs, with the logistic loss, over quantile bins; each class is sampled by itself and weighted to its share.
 
-Defined cases: a null URL and one without `://` have an empty host and path, fit no rule and get the trees' verdict; with labels of one class
-only, or none, the trees are a constant (the class, or allow). URLs are judged one by one, so repeated rows change nothing.
+Labels: a table of (url, blocked) if there is one. Otherwise URLs are labelled weakly, by UNWANTED: those with one of its words as a part of a host label are bad, the others
+good. The trees don't see words, only the features, so they also block hosts of other names that look alike. Rules are policy, not labels: they allow bad hosts too.
+
+Defined cases: a null URL and one without `://` have an empty host and path, fit no rule and get the trees' verdict (a null URL that of the empty one); with labels of one class
+only, or none, the trees are a constant (the class, or allow). URLs are judged one by one and whole, however long, so repeated rows and further columns change nothing; of a URL's labels the largest counts.
 """
 
 from __future__ import annotations
@@ -20,6 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import least
+
+# Words of host names that weak labels take for unwanted.
+UNWANTED = ["casino", "bet", "bets", "betting", "poker", "pills", "pharma", "viagra", "adult", "porn", "xxx", "sex", "escort", "spam", "ads", "adserver", "track", "tracker", "clickbait", "warez", "crack", "keygen", "phishing", "malware"]
 FEATURES = ("url length", "host length", "path length", "depth", "digit ratio", "entropy", "parameters", "host labels", "hyphens", "capitals", "fragment", "suffix rate")
 
 
@@ -36,7 +43,8 @@ class Rule:
 
 @dataclass
 class Params:
-    max_labelled: int = 20_000  #: URLs, at most, that training takes, chosen by their hash
+    max_labelled: int = 10_000  #: URLs of each class that training takes, those with the least hashes
+    held_out: int = 0  #: of 5 parts of the host names (by crc32 of the label before the suffix's), how many training leaves out
     trees: int = 40
     depth: int = 3
     bins: int = 32
@@ -65,6 +73,16 @@ def longest_rule(rules: list[Rule], host: Column, path: Column) -> tuple[Column,
     return text, block
 
 
+def weak_label(host: Column) -> Column:
+    """1 for a host with an unwanted word between dots and hyphens, else 0."""
+    return host.rlike(r"(?:^|[.-])(?:" + "|".join(UNWANTED) + r")(?:[.-]|$)").cast("int")
+
+
+def name_fold(host: Column) -> Column:
+    """One of 5 folds of host names, alike for all hosts under the same three last labels, so that a name is wholly in one fold."""
+    return F.crc32(F.substring_index(host, ".", -3).cast("binary")) % 5
+
+
 def _suffix(url: str) -> str:
     host = re.match(r"(?s)^.*?://([^/?#]*)", url)
     return host[1].lower().rpartition(".")[2] if host else ""
@@ -112,9 +130,14 @@ class Model:
         return z
 
 
-def fit_arrays(urls: list[str], blocked: np.ndarray, p: Params) -> Model:
-    n, total = Counter(map(_suffix, urls)), blocked.mean() if len(blocked) else 0.0
-    hits = Counter(_suffix(u) for u, b in zip(urls, blocked, strict=True) if b)
+def fit_arrays(urls: list[str], blocked: np.ndarray, p: Params, weight: np.ndarray | None = None) -> Model:
+    """weight: of each URL, 1 by default."""
+    w = np.ones(len(urls)) if weight is None else weight
+    total = float((blocked * w).sum() / w.sum()) if len(urls) else 0.0
+    n, hits = Counter(), Counter()
+    for u, b, one in zip(urls, blocked.tolist(), w.tolist(), strict=True):
+        n[_suffix(u)] += one
+        hits[_suffix(u)] += one * b
     rate = {s: (hits[s] + total) / (n[s] + 1) for s in n}
     if not len(urls) or blocked.min() == blocked.max():
         return Model(rate, total, 10.0 if len(urls) and blocked.all() else -10.0)
@@ -125,7 +148,7 @@ def fit_arrays(urls: list[str], blocked: np.ndarray, p: Params) -> Model:
     z = np.full(len(x), model.bias)
     for _ in range(p.trees):
         q = 1 / (1 + np.exp(-z))
-        g, h = q - y, np.maximum(q * (1 - q), 1e-6)
+        g, h = w * (q - y), w * np.maximum(q * (1 - q), 1e-6)
         size = 2 ** (p.depth + 1) - 1
         feature, cut, value = np.full(size, -1), np.zeros(size), np.zeros(size)
         node = np.zeros(len(x), np.int64)
@@ -159,26 +182,38 @@ def _split(binned, g, h, cuts, p: Params) -> tuple[int, int] | None:
 
 
 def fit(labelled: DataFrame, params: Params | None = None) -> Model:
-    """labelled: (url, blocked). Distinct URLs, at most params.max_labelled, chosen by hash."""
+    """labelled: (url, blocked). Of each class the params.max_labelled rows with the least hashes, weighted to the class's share of all."""
+    p = params or Params()
+    rows = labelled.select(F.col("url").cast("string").alias("url"), F.col("blocked").cast("int").alias("blocked")).where("url is not null and blocked is not null")
+    n = {r["blocked"]: r["n"] for r in rows.groupBy("blocked").agg(F.count("*").alias("n")).collect()}
+    label: dict[str, int] = {}
+    for c in sorted(n):
+        label |= {r.url: c for r in least(rows.where(F.col("blocked") == c), p.max_labelled, "url").collect()}
+    urls = sorted(label)
+    taken = Counter(label.values())
+    share = {c: n[c] / taken[c] for c in taken}
+    scale = sum(taken.values()) / max(sum(n.values()), 1)
+    return fit_arrays(urls, np.array([label[u] for u in urls], bool), p, np.array([share[label[u]] * scale for u in urls]))
+
+
+def fit_weakly(pages: DataFrame, params: Params | None = None) -> Model:
+    """A model from the URLs of pages (url) and weak labels of their hosts."""
     p = params or Params()
-    rows = labelled.where("url is not null and blocked is not null").groupBy("url").agg(F.max("blocked").alias("blocked"))
-    n = rows.count()
-    if n > p.max_labelled:
-        rows = rows.where(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < int((1 << 20) * p.max_labelled / n)).limit(p.max_labelled)
-    got = sorted((r.url, r.blocked) for r in rows.collect())
-    return fit_arrays([u for u, _ in got], np.array([b for _, b in got], bool), p)
+    host = host_of(F.col("url").cast("string"))
+    rows = pages.select(F.col("url").cast("string").alias("url"), host.alias("host")).where("host <> ''")
+    return fit(rows.where(name_fold(F.col("host")) >= p.held_out).select("url", weak_label(F.col("host")).alias("blocked")), p)
 
 
 def judge(pages: DataFrame, rules: list[Rule], model: Model | None = None, params: Params | None = None) -> DataFrame:
-    """page_id, host, path, rule, verdict and probability (of blocking, by the trees; null under a rule) of every row of pages (page_id, url).
+    """page_id, host, path, rule, verdict and probability (that the URL is bad, by the trees; null under a rule) of every row of pages (page_id, url).
 
-    Without a model the trees learn from the URLs that a rule decides.
+    Without a model the trees learn from weak labels of these URLs.
     """
     url = F.col("url").cast("string")
     split = pages.select("page_id", url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"))
     rule, block = longest_rule(rules, F.col("host"), F.col("path"))
     split = split.withColumns({"rule": rule, "blocked": block})
-    model = model or fit(split.where("blocked is not null").select("url", F.col("blocked").cast("int").alias("blocked")), params)
+    model = model or fit_weakly(pages, params)
 
     def run(batches):
         for batch in batches:
