@@ -1,14 +1,19 @@
 """Main text of web pages: the maximum-scoring contiguous run of tokens, where words score positive and tags negative.
 
-A linear scan over a page's words and tags finds the run with the largest sum (Kadane). A word counts WORD; a tag counts
-what was learned from labelled pages, those that mark their own content with one <article> or <main>: minus the log of how much larger
-its share of the tags is outside the content than inside. Elements that never hold content (navigation, forms, scripts, adverts by class or role,
-reader comments and the like) count as one tag and give no text. Within marked content, headings, headers and sections aren't judged by id or class.
+A linear scan over a page's words and tags finds the run with the largest sum (Kadane). A word counts WORD. An opening tag counts
+what was learned from labelled pages, those that mark their own content with one <article> or <main>, for its name and for the words of its class and id:
+minus the log of how much larger their share is outside the content than inside. Where a page marks one content element, a run that crosses its edge loses EDGE.
+
+Elements that by structure hold no content (navigation, forms, scripts, hidden ones) count as one tag and give no text. So do those with a
+word of class or id that was learned to stand outside content: its odds, with the word lists below as prior counts, reach SKIP. Words are compared whole, so
+`page-header` isn't `header`. An element that marks content, and an article's own headings and sections, are kept whatever their words say; but reader
+comments in them go.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are joined by one newline.
 
 Defined cases: a null or empty page, and one without words, gives an empty text. Unclosed elements end with their parent, so broken
-markup hides nothing that follows it. Pages are read one by one, so repeated rows change nothing.
+markup hides nothing that follows it. Pages are read one by one and whole, however long, so repeated rows and further columns change nothing. Of runs with equal scores the one
+that ends last counts. Without labelled pages all tags count PLAIN and the word lists alone decide.
 """
 
 from __future__ import annotations
@@ -17,30 +22,43 @@ import html as _html
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import least
+
 WORD = 1.0
-#: Score of a tag without a learned one; the bounds of learned ones.
-PLAIN, LEAST, MOST = -0.2, -6.0, -0.05
+#: Score of a tag without a learned one; the bounds of learned ones; what crossing the edge of marked content costs.
+PLAIN, LEAST, MOST, EDGE = -0.2, -6.0, -0.05, -1e6
+SKIP = 2.5  #: log odds of standing outside content from which a class or id hides its element
+PRIOR = 20  #: pages that the word lists count for
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
-RAW = re.compile(r"<(script|style|noscript|template|iframe|svg|textarea|title|xmp|noembed|noframes)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+TOKEN = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</(?![a-zA-Z])[^>]*(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
+    re.S,
+)
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|share|sharing|social|sidebar|side|widget|related|recommended|recommendations|breadcrumbs?|menu|nav|navbar|navigation|footer|header|masthead|topbar|comments?|commentlist|discussion|replies|disqus|respond|login|search|toolbar|pagination|pager|copyright|legal|disclaimer|skip)(?:$|[\s_-])",
-    re.I,
+CLOSED = re.compile(r"(?:^|[\s\"'])/\s*$")
+# Names of classes and ids that usually mark what is no content, and those of reader comments.
+COMMENTS = set("comment comments comment-list commentlist comments-area comments-section comment-section comment-body comment-respond respond disqus disqus_thread".split())
+OUTSIDE = COMMENTS | set(
+    "ad ads adsbygoogle ad-slot ad-container ad-banner advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies cookie-banner cookie-notice"
+    " cookie-consent consent gdpr notice notices site-notice alert popup modal overlay newsletter newsletter-signup subscribe subscription signup share sharing share-buttons social social-links"
+    " social-share sidebar side-bar sidebar-left sidebar-right widget widgets widget-area related related-posts related-articles recommended recommendations breadcrumb breadcrumbs menu"
+    " main-menu nav navbar nav-menu navigation site-nav footer site-footer header site-header page-footer masthead topbar login search search-form searchbox toolbar pagination pager copyright"
+    " legal disclaimer skip-link".split()
 )
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
+RAW = {"script", "style", "noscript", "template", "iframe", "svg", "textarea", "title", "xmp", "noembed", "noframes", "math"}
 NEVER = {"nav", "footer", "aside", "form", "button", "select", "option", "head", "dialog", "menu", "object", "embed", "audio", "video", "canvas", "fieldset", "datalist", "label"}
 CONTENT = {"article", "main"}
-#: Within content these are the article's own, whatever their id or class says: generated anchors of headings, the article's header.
-OWN = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "header", "section"}
-#: Within content a name of several words with one of these is a part of the article, as entry-header.
-HEADER = re.compile(r"(?<=[_-])header(?![\w-])", re.I)
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "header"}
+IN_HEAD = {"title", "meta", "link", "script", "style", "base", "noscript", "template"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "frameset", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -48,120 +66,184 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 
 @dataclass
 class Params:
-    max_pages: int = 2000  #: labelled pages, at most, that training takes, chosen by a hash of the id
+    max_pages: int = 2000  #: labelled pages that training takes, those with the least hashes of the id
+
+
+@dataclass
+class Token:
+    kind: str  #: text, open, close, skipped, enter or leave (the edges of outermost content)
+    value: str  #: decoded text, or a tag as `<p` and `</p`
+    breaks: bool = False  #: whether it parts blocks
+    names: tuple[str, ...] = ()  #: of class and id, as `.ad`
+    around: tuple[tuple[str, ...], ...] = ()  #: of enter: the keys of the elements around it
 
 
 @dataclass
 class Model:
-    tags: dict[str, float] = field(default_factory=dict)
+    weights: dict[str, float] = field(default_factory=dict)  #: of tags, as `<p`, and of names, as `.ad`
+    hides: frozenset[str] = frozenset(f".{w}" for w in OUTSIDE)
+
+    def scores(self, tokens: list[Token]) -> list[float]:
+        edge = EDGE if sum(t.kind == "enter" for t in tokens) == 1 else MOST
+        out = []
+        for t in tokens:
+            if t.kind == "text":
+                out.append(WORD * len(t.value.split()))
+            elif t.kind in ("enter", "leave"):
+                out.append(edge)
+            else:
+                out.append(max(LEAST, self.weights.get(t.value, PLAIN) + sum(self.weights.get(n, 0.0) for n in t.names)))
+        return out
 
     def text(self, page: str | None) -> str:
-        best, start, running, at = 0.0, 0, 0.0, (0, 0)
-        tokens = list(tokens_of(page or ""))
-        for i, (kind, value, _) in enumerate(tokens):
-            running += WORD * len(value.split()) if kind == "text" else self.tags.get(value, PLAIN)
-            if running <= 0:
-                running, start = 0.0, i + 1
-            elif running >= best:
-                best, at = running, (start, i + 1)
+        tokens = list(tokens_of(page or "", self.hides))
+        a, b = best_run(self.scores(tokens))
         blocks, block = [], []
-        for kind, value, breaks in tokens[at[0] : at[1]]:
-            if kind == "text":
-                block.append(value)
-            elif breaks:
+        for t in tokens[a:b]:
+            if t.kind == "text":
+                block.append(t.value)
+            elif t.breaks:
                 blocks.append(block)
                 block = []
-            elif value in ("<br", "<wbr"):
+            elif t.value in ("<br", "<wbr"):
                 block.append(" ")
         blocks.append(block)
         return "\n".join(x for x in (" ".join("".join(b).split()) for b in blocks) if x)
 
 
-def _boilerplate(name: str, attributes: str, inside_content: bool) -> bool:
-    if name in NEVER or name == "header" and not inside_content:
-        return True
-    if not attributes or name in ("html", "body") or name in CONTENT:
-        return False
-    for key, *values in ATTRIBUTE.findall(attributes):
+def best_run(scores: list[float]) -> tuple[int, int]:
+    """Start and end of the contiguous run with the largest positive sum; of equal ones that which ends last, and (0, 0) without any."""
+    best, start, running, at = 0.0, 0, 0.0, (0, 0)
+    for i, s in enumerate(scores):
+        running += s
+        if running <= 0:
+            running, start = 0.0, i + 1
+        elif running >= best:
+            best, at = running, (start, i + 1)
+    return at
+
+
+def _judged(name: str, attributes: str, inside: bool, hides: frozenset[str]) -> tuple[bool, tuple[str, ...]]:
+    """Whether an element holds no content, and the names of its class and id. inside: it stands within marked content."""
+    skip, names, comments = name in NEVER or name == "header" and not inside, [], False
+    for key, *values in ATTRIBUTE.findall(attributes) if attributes else ():
         key, value = key.lower(), next((v for v in values if v), "")
-        if inside_content and key in ("class", "id"):
-            value = "" if name in OWN else HEADER.sub("", value)
-        if key in ("class", "id") and BOILERPLATE.search(value) or key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-    return False
-
-
-def tokens_of(page: str):
-    """Triples of kind (text, open, close or skipped), decoded text or tag, and whether a tag breaks blocks. Boilerplate is one token."""
-    page = RAW.sub("<x-raw/>", page)
-    stack: list[tuple[str, bool]] = []  # names of open elements and whether each starts boilerplate
-    hidden, at = 0, 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at and not hidden:
-            yield "text", _html.unescape(page[at : m.start()]), False
-        at = m.end()
-        if not m[2]:
+        if key in ("class", "id"):
+            words = value.lower().split()
+            names += [f".{w}" for w in words]
+            comments = comments or key == "class" and not COMMENTS.isdisjoint(words) or key == "id" and name in ("div", "section", "ol", "ul", "article") and not COMMENTS.isdisjoint(words)
+        elif key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
+            skip = skip or name not in ("html", "body")
+    own = name in ("html", "body") or name in CONTENT or inside and (name in HEADINGS or name == "section")
+    if inside and comments and name not in HEADINGS or not own and any(n in hides for n in names):
+        skip = True
+    return skip, tuple(names)
+
+
+def tokens_of(page: str, hides: frozenset[str] = frozenset()) -> Iterator[Token]:
+    """The tokens of a page. An element that holds no content is one token, skipped."""
+    stack: list[tuple[str, bool, tuple[str, ...]]] = []  # names of open elements, whether each is skipped, their keys
+    hidden = depth = at = 0  # skipped and content elements that are open; how far the page was read
+
+    def pop() -> str:
+        nonlocal hidden, depth
+        name, skipped, _ = stack.pop()
+        hidden -= skipped
+        depth -= name in CONTENT
+        return name
+
+    def leave(before: int) -> Iterator[Token]:
+        if before and not depth and not hidden:
+            yield Token("leave", "</content", True)
+
+    while at < len(page):
+        m = TOKEN.search(page, at)
+        end = m.start() if m else len(page)
+        if end > at and not hidden:
+            yield Token("text", _html.unescape(page[at:end]))
+        if not m:
+            break
+        at, was = m.end(), depth
+        closing, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        if not name:
             continue
-        name = m[2].lower()
-        if m[1]:
-            if any(x == name for x, _ in stack):
-                while stack:
-                    x, skipped = stack.pop()
-                    hidden -= skipped
-                    if x == name:
-                        break
+        name = name.lower()
+        if closing:
+            if any(x == name for x, _, _ in stack):
+                while pop() != name:
+                    pass
+                yield from leave(was)
             if not hidden:
-                yield "close", f"</{name}", name in BLOCKS
+                yield Token("close", f"</{name}", name in BLOCKS)
             continue
+        if name in RAW:
+            if not CLOSED.search(attributes) or name not in ("svg", "math"):
+                done = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+                at = done.end() if done else len(page)
+            continue
+        if stack and stack[-1][0] == "head" and name not in IN_HEAD:
+            pop()
         ends = CLOSES.get(name, {"p"} if name in BLOCKS else ())
         while stack and (stack[-1][0] in ends or stack[-1][0] == "p" and name in BLOCKS):
-            hidden -= stack.pop()[1]
-        if name in BLOCKS and name != "p" and any(x == "p" for x, _ in stack) and not hidden:
-            while stack and stack.pop()[0] != "p":
+            pop()
+        if name in BLOCKS and name != "p" and any(x == "p" for x, _, _ in stack) and not hidden:
+            while stack and pop() != "p":
                 pass
-        if name in CONTENT or name == "body":  # nothing unclosed before it hides it
+        if name == "body" or name in CONTENT and not depth:  # nothing unclosed before it hides it
             while hidden and stack:
-                hidden -= stack.pop()[1]
-        if hidden and name in VOID or name in ("input", "x-raw"):
+                pop()
+        yield from leave(was)
+        if name == "input" or hidden and name in VOID:
+            continue
+        if name in VOID:
+            yield Token("open", f"<{name}", name in BLOCKS)
             continue
-        skipped = name not in VOID and _boilerplate(name, m[3], any(x in CONTENT for x, _ in stack))
-        if not hidden:
-            yield ("skipped", f"<{name}", True) if skipped else ("open", f"<{name}", name in BLOCKS)
-        if name not in VOID and not m[3].endswith("/"):
-            stack.append((name, skipped))
+        skipped, names = _judged(name, attributes, depth > 0, hides)
+        if name in CONTENT and not depth:
+            skipped = False
+        if not hidden and name in CONTENT and not depth:
+            yield Token("enter", "<content", True, (), tuple(keys for _, _, keys in stack))
+        elif not hidden:
+            yield Token("skipped" if skipped else "open", f"<{name}", skipped or name in BLOCKS, names)
+        if not CLOSED.search(attributes):
+            stack.append((name, skipped, (f"<{name}", *names)))
             hidden += skipped
-    if not hidden and at < len(page):
-        yield "text", _html.unescape(page[at:]), False
+            depth += name in CONTENT
+    was, depth = depth, 0
+    yield from leave(was)
 
 
 def counts_of(page: str) -> Counter:
-    """Times that each tag stands inside (1) and outside (0) the content that a labelled page marks."""
+    """Times that each tag and name stands inside (1) and outside (0) the content that a labelled page marks; what is around the content isn't counted."""
     out, inside = Counter(), 0
-    for kind, value, _ in tokens_of(page):
-        if value[1:] in CONTENT:
-            inside = 1
-        elif kind == "close" and value[2:] in CONTENT:
-            inside = 0
-        elif kind != "text":
-            out[value, inside] += 1
-    return out
+    for t in tokens_of(page):
+        if t.kind in ("enter", "leave"):
+            inside = int(t.kind == "enter")
+            for keys in t.around:
+                out.subtract((k, 0) for k in keys)
+        elif t.kind != "text":
+            out.update((k, inside) for k in (t.value, *t.names))
+    return +out
 
 
 def learn(counts: Counter) -> Model:
-    """Tag scores from the sums of counts_of()."""
-    tags = {t for t, _ in counts if t}
+    """Scores from the sums of counts_of()."""
+    tags, names = ({k for k, _ in counts if k[:1] == "<"}, {k for k, _ in counts if k[:1] == "."})
     total = [sum(counts[t, i] + 1 for t in tags) for i in (0, 1)]
-    odds = {t: math.log(((counts[t, 0] + 1) / total[0]) / ((counts[t, 1] + 1) / total[1])) for t in tags}
-    return Model({t: min(MOST, max(LEAST, -x)) for t, x in odds.items()} | {f"{o}{c}": MOST for o in ("<", "</") for c in CONTENT})
+    weights = {t: min(MOST, max(LEAST, -math.log(((counts[t, 0] + 1) / max(total[0], 1)) / ((counts[t, 1] + 1) / max(total[1], 1))))) for t in tags}
+    odds = {f".{w}": math.log(PRIOR + 1) for w in OUTSIDE}
+    for n in names:
+        odds[n] = math.log((counts[n, 0] + 1 + PRIOR * (n[1:] in OUTSIDE)) / (counts[n, 1] + 1))
+    return Model(weights | {n: min(0.0, max(LEAST, -x)) for n, x in odds.items()}, frozenset(n for n, x in odds.items() if x >= SKIP))
 
 
 def fit(pages: DataFrame, params: Params | None = None) -> Model:
-    """pages: (page_id, html). Without labelled pages all tags count PLAIN."""
+    """pages: (page_id, html). Those with one <article> or <main> are labelled."""
     p = params or Params()
-    labelled = pages.where(F.size(F.regexp_extract_all("html", F.lit("(?i)<(?:article|main)[ >]"), 0)) == 1)
-    n = labelled.count()
-    if n > p.max_pages:
-        labelled = labelled.where(F.pmod(F.xxhash64("page_id"), F.lit(1 << 20)) < int((1 << 20) * p.max_pages / n)).limit(p.max_pages)
+    pages = pages.select("page_id", F.col("html").cast("string").alias("html"))
+    labelled = pages.where(F.regexp_count("html", F.lit("(?i)<(?:article|main)[\\s>]")) == 1)
+    chosen = least(labelled.select("page_id", F.xxhash64("html").alias("h")), p.max_pages, "page_id", "h").distinct()
+    some = labelled.join(F.broadcast(chosen), (labelled["page_id"].eqNullSafe(chosen["page_id"])) & (F.xxhash64("html") == chosen["h"]), "left_semi")
 
     def count(batches):
         for batch in batches:
@@ -170,7 +252,7 @@ def fit(pages: DataFrame, params: Params | None = None) -> Model:
                 total.update(counts_of(page))
             yield pa.record_batch([pa.array([t for t, _ in total], pa.string()), pa.array([i for _, i in total], pa.int32()), pa.array(list(total.values()), pa.int64())], ["tag", "inside", "n"])
 
-    sums = labelled.select(F.col("html").cast("string")).mapInArrow(count, "tag string, inside int, n long").groupBy("tag", "inside").agg(F.sum("n").alias("n"))
+    sums = some.select("html").mapInArrow(count, "tag string, inside int, n long").groupBy("tag", "inside").agg(F.sum("n").alias("n"))
     return learn(Counter({(r.tag, r.inside): r.n for r in sums.collect()}))
 
 
