@@ -1,17 +1,20 @@
 """Licence scans: a trained paragraph classifier names the licence family, and templates confirm it.
 
-Paragraphs are a text's lines; besides, each line is scored with the words that follow it up to a blank line (at most WRAP words, twice the longest
-template's), so that notices wrapped over several lines are found. A multinomial logistic regression over sparse word n-grams (1 and 2 words, present or not) gives each
-family and the unknown class a probability; the temperature that divides its logits is set on held-out examples, so that
-probabilities can be read as such. A prediction stands if its probability is at least MIN_PROBABILITY and the paragraph holds at least MIN_COVERAGE of
-the word pairs of one template of that family; otherwise the paragraph is unknown. Of every template, the pairs that hold no trigger are
-fewer than MIN_COVERAGE, so paragraphs without any can't be confirmed and aren't scored.
-
-Training runs on the driver, over the templates with words dropped and added, and a bounded sample of the corpus's own paragraphs as unknown.
+Paragraphs are parted by blank lines, so notices wrapped over lines are whole. Each is scored in windows of 2 * STEP words, one every STEP words, so that whatever is no longer than
+the longest template lies within one, and besides each of its lines by itself. A multinomial logistic regression over sparse word n-grams (1 and 2 words,
+present or not) gives each family and the unknown class a probability; the temperature that divides its logits is set on held-out examples, so that
+probabilities can be read as such. A prediction stands if its probability is at least MIN_PROBABILITY and the window holds at least MIN_COVERAGE of
+the word pairs of one template of that family; otherwise the family is unknown.
+
+TRIGGER follows from this: it is built from the templates until, of every template, the pairs without any trigger word are fewer than MIN_COVERAGE. A window without
+one can't be confirmed, whatever its probability, so it isn't scored; nothing is lost.
+
+Training runs on the driver, over the templates with words dropped and added, and a bounded sample of the corpus's own lines as unknown.
 Scanning is one projection of built-in functions over whole texts: no shuffle, no Python on executors.
 
-Defined cases: a null or empty text has no paragraphs and no licence; family is null where nothing was confirmed; of several confirmed paragraphs the
-one with the largest probability counts, single lines before wrapped ones, ties to the first; repeated rows give the same.
+Defined cases: a null or empty text has no paragraphs and no licence; family is null where nothing was confirmed; of several confirmed windows the
+one with the largest probability counts, lines before windows, ties to the first; repeated rows give the same; very long texts and lines are
+windows like others; further columns change nothing.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import least
+
 # How notices of each family are usually worded.
 TEMPLATES = {
     "AGPL": ["licensed under the GNU Affero General Public License version 3", "This program is free software you can redistribute it and or modify it under the terms of the GNU Affero General Public License"],
@@ -42,14 +47,18 @@ TEMPLATES = {
 UNKNOWN = "unknown"
 #: Notices that name no family, and mentions that are none.
 OTHER = ["he lost his driving license last year", "the license fee was paid in march", "copyright law is a wide field", "she asked for permission to leave the room", "the warranty and the license of the shop ran out", "a dog license is needed in this town", "all rights were reserved for the members", "the band released a record under a new name", "the terms of the contract were published", "this file is a list of public places", "free of charge for any person under ten", "the public domain is discussed here"]
-BASE_TRIGGER = r"(?i)licen[cs]|copyright|copying|all rights|permission|permitted|redistribut|public domain|creative commons|\bcc0\b|free software"
+#: Beginnings of words, and whole words, by which notices are told first.
+STEMS, WHOLE = ["licen", "copyright", "permission", "permitted", "redistribut"], ["cc0"]
 WORD = r"[a-z0-9]+(?:[.\-][a-z0-9]+)*"
 MIN_PROBABILITY, MIN_COVERAGE = 0.5, 0.6
+#: What parts paragraphs.
+BLANK = r"\n[ \t\r\f\x0B]*\n"
 
 
 @dataclass
 class Params:
-    unknown: int = 1500  #: paragraphs of the corpus, at most, that training takes, chosen by a hash of the id
+    unknown: int = 1500  #: documents, those with the least hashes, of each of which training takes one line as an example of no licence
+    max_words: int = 200  #: words that such a line is cut to
     copies: int = 30  #: of each template, with words dropped and added
     steps: int = 300
     rate: float = 0.5
@@ -83,21 +92,28 @@ def coverage(paragraph: str, *families: str) -> float:
     return max((len(pairs & own) / len(pairs) for f in families for pairs in PAIRS.get(f, [])), default=0.0)
 
 
+def _pattern(stems: list[str], whole: list[str]) -> str:
+    """A regexp for lower-cased texts with a word of these beginnings or one of these whole words, grouped by first letter so that it runs fast."""
+    first: dict[str, list[str]] = {}
+    for rest in [re.escape(x) for x in stems] + [re.escape(x) + "(?![a-z0-9])" for x in whole]:
+        first.setdefault(rest[0], []).append(rest[1:])
+    return "(?<![a-z0-9])(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in sorted(first.items())) + ")"
+
+
 def _trigger() -> str:
-    """BASE_TRIGGER with so many words of the templates, longest first, that no paragraph without any covers MIN_COVERAGE of a template."""
-    out = BASE_TRIGGER
+    """The pattern of STEMS and WHOLE with so many words of the templates, longest first, that no lower-cased text without any covers MIN_COVERAGE of a template."""
+    whole = list(WHOLE)
     for template in (x for f in PAIRS.values() for x in f):
         words = sorted({w for g in template for w in g.split()}, key=lambda w: (w in ("cc",), len(w), w))
-        while sum(not re.search(out, g) for g in template) >= MIN_COVERAGE * len(template) - 1e-9:
+        while sum(not re.search(_pattern(STEMS, whole), g) for g in template) >= MIN_COVERAGE * len(template) - 1e-9:
             word = words.pop()
-            out += "" if re.search(out, word) else rf"|\b{re.escape(word)}\b"
-    return out
+            whole += [] if re.search(_pattern(STEMS, whole), word) else [word]
+    return _pattern(STEMS, whole)
 
 
 TRIGGER = _trigger()
-WRAP = 2 * max(len(words_of(t)) for texts in TEMPLATES.values() for t in texts)
-#: Words, at most WRAP, up to a blank line.
-FOLLOWING = r"^[^\S\n]*(?:\S+[^\S\n]*\n?[^\S\n]*){0,%d}" % WRAP
+#: Words of the longest template, which is how far apart windows start.
+STEP = max(len(words_of(t)) for texts in TEMPLATES.values() for t in texts)
 
 
 def train(unknown: list[str], p: Params) -> Model:
@@ -110,7 +126,7 @@ def train(unknown: list[str], p: Params) -> Model:
         for text in texts:
             for n in range(p.copies):
                 w = [x for x in text.split() if n < 3 or rng.random() > 0.06]
-                extra = [rng.choice(filler) for _ in range(rng.choice((0, 0, 1, 3, 8)))]
+                extra = [rng.choice(filler) for _ in range(rng.choice((0, 0, 1, 3, 8, 16, 2 * STEP - min(len(w), STEP))))]
                 cut = rng.randint(0, len(extra))
                 examples.append((" ".join(extra[:cut] + w + extra[cut:]), family))
     rng.shuffle(examples)
@@ -142,21 +158,29 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, params: Params | None = None) -> Model:
     """docs: (doc_id, text). Unknown paragraphs come from at most params.unknown documents, one of each, from a place that its hash chooses."""
     p = params or Params()
-    n = docs.count()
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, p.unknown / max(n, 1))))
-    lines = F.filter(F.split(F.col("text").cast("string"), "\n"), lambda x: F.trim(x) != "")
-    one = F.substring(F.try_element_at(lines, (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.size(lines), F.lit(1))) + 1).cast("int")), 1, 2000)
-    rows = some.select("doc_id", one.alias("p")).where("p is not null").limit(2 * p.unknown).collect()
-    return train(sorted(r.p for r in rows), p)
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    ids = least(docs.select("doc_id").where("doc_id is not null"), p.unknown, "doc_id").distinct()
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    one = F.try_element_at(lines, (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.size(lines), F.lit(1))) + 1).cast("int"))
+    rows = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", F.slice(F.regexp_extract_all(one, F.lit(r"\S+"), 0), 1, p.max_words).alias("p")).where("p is not null")
+    return train(sorted(" ".join(r.p) for r in least(rows.select("doc_id", F.array_join("p", " ").alias("j"), "p"), p.unknown, "doc_id", "j").collect()), p)
 
 
-def _grams(paragraph: Column) -> Column:
-    w = F.regexp_extract_all(F.lower(paragraph), F.lit(WORD), 0)
+def _grams(w: Column) -> Column:
     n = F.greatest(F.size(w) - 1, F.lit(0))
     pairs = F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
     return F.array_distinct(F.concat(w, pairs))
 
 
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(WORD), 0)
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with value worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def scan(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, family, probability, coverage and paragraph (from 0) of the best confirmed notice, and confirmed (families of all, sorted) of every row."""
     doubles = lambda values: F.array(*[F.lit(float(v)) for v in values])
@@ -175,15 +199,20 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
             out = F.when(family == name, F.greatest(*shares) if len(shares) > 1 else shares[0]).otherwise(out)
         return out
 
-    text = F.col("text").cast("string")
-    single = lambda all_lines: F.transform(all_lines, lambda x, i: F.struct(F.lit(True).alias("single"), i.alias("paragraph"), x.alias("text")))
-    after = lambda all_lines, i: F.regexp_extract(F.array_join(F.slice(all_lines, i + 2, F.lit(WRAP)), "\n"), FOLLOWING, 0)
-    wrapped = lambda all_lines: F.transform(all_lines, lambda x, i: F.struct(F.lit(False).alias("single"), i.alias("paragraph"), F.when(F.trim(x) != "", F.concat(x, F.lit("\n"), after(all_lines, i))).otherwise("").alias("text")))
-    # an array of one, so that the lines are split once
-    lines = F.flatten(F.transform(F.array(F.split(text, "\n")), lambda all_lines: F.concat(single(all_lines), wrapped(all_lines))))
-    found = F.filter(lines, lambda x: x["text"].rlike(TRIGGER))
+    def windows(paragraph: Column, number: Column) -> Column:
+        """The scored pieces of a paragraph: its lines of at most 2 * STEP words, then its windows."""
+        piece = lambda single, w: F.struct(F.lit(single).alias("single"), number.alias("paragraph"), w.alias("words"))
+        lines = F.transform(F.filter(F.split(paragraph, "\n"), lambda x: x.rlike(TRIGGER)), lambda x: piece(True, _words(x)))
+        starts = lambda w: F.sequence(F.lit(0), F.greatest(F.size(w) - STEP - 1, F.lit(0)), F.lit(STEP))
+        moving = lambda w: F.transform(starts(w), lambda i: piece(False, F.slice(w, i + 1, F.lit(2 * STEP))))
+        some = _let(_words(paragraph), lambda w: F.filter(moving(w), lambda x: F.exists(x["words"], lambda y: y.rlike(TRIGGER))))
+        return F.concat(F.filter(lines, lambda x: F.size(x["words"]) <= 2 * STEP), some)
+
+    text = F.lower(F.col("text").cast("string"))
+    paragraphs = F.split(text, BLANK)
+    found = F.flatten(F.transform(paragraphs, lambda x, i: F.when(x.rlike(TRIGGER), windows(x, i)).otherwise(F.array().cast("array<struct<single:boolean,paragraph:int,words:array<string>>>"))))
     rows = docs.select(F.col("doc_id"), F.when(text.rlike(TRIGGER), found).alias("lines"))
-    step = F.transform("lines", lambda x: F.struct(x["single"].alias("single"), x["paragraph"].alias("paragraph"), F.array_intersect(_grams(x["text"]), known).alias("grams")))
+    step = F.transform("lines", lambda x: F.struct(x["single"].alias("single"), x["paragraph"].alias("paragraph"), F.array_intersect(_grams(x["words"]), known).alias("grams")))
     rows = rows.select("doc_id", step.alias("lines"))
 
     def logits(own: Column) -> Column:
@@ -204,18 +233,3 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     best = F.array_max("lines")
     confirmed = F.coalesce(F.array_sort(F.array_distinct(F.transform("lines", lambda x: x["family"]))), F.array().cast("array<string>"))
     return rows.select("doc_id", best["family"].alias("family"), best["probability"].alias("probability"), best["coverage"].alias("coverage"), (-best["before"]).alias("paragraph"), confirmed.alias("confirmed"))
-
-
-def scan_text(text: str | None, model: Model) -> tuple[str | None, float | None, int | None]:
-    """What scan() gives for one text, by plain Python; for tests."""
-    best, all_lines = None, (text or "").split("\n")
-    following = [x + "\n" + re.match(FOLLOWING, "\n".join(all_lines[i + 1 : i + 1 + WRAP]), re.A)[0] if x.strip(" ") else "" for i, x in enumerate(all_lines)]
-    for single, i, line in [(True, i, x) for i, x in enumerate(all_lines)] + [(False, i, x) for i, x in enumerate(following)]:
-        if best and best[0] and not single or not re.search(TRIGGER, line):
-            continue
-        z = np.array(model.bias) + sum((np.array(model.weights[g]) for g in grams_of(line) if g in model.weights), np.zeros(len(model.bias)))
-        p = _softmax((z / model.temperature)[None])[0]
-        family = model.families[int(p.argmax())]
-        if family != UNKNOWN and p.max() >= MIN_PROBABILITY and coverage(line, family) >= MIN_COVERAGE and (best is None or p.max() > best[2] + 1e-12):
-            best = (single, family, float(p.max()), i)
-    return best[1:] if best else (None, None, None)
