@@ -2,7 +2,7 @@
 
 The items (a bounded block of them at a time, MAX_ITEMS) make an inverted index whose impacts are divided by the item's threshold, so that one
 threshold, 1, holds for all. An item's threshold is its full score less its heaviest quarter of words: a passage that holds
-three quarters of its grams can't score less, so retrieval loses nothing that verification would keep. Passages are windows of twice as many words as the
+three quarters of its grams can't score less, so retrieval loses nothing that verification would keep (where that leaves nothing, any word of the item will do). Passages are windows of twice as many words as the
 longest item has, one every item length, so that every place where an item can stand lies within one. Items are ordered so that alike ones
 (same commonest word, similar length) are neighbours, and cut into groups; a group in which the largest impacts of a passage's terms sum to less
 than 1 needs no search. In the others WAND finds the items, skipping by the group's and the blocks' maxima.
@@ -13,7 +13,7 @@ an answer of fewer than 5 words is a single gram.
 
 Words are lower-cased (A-Z) and parted by white space and ASCII punctuation. Defined cases: an item without words matches nothing; one of fewer than
 5 words is a single gram; null and empty texts match nothing; repeated rows match alike; items alike match each. Repeated item
-ids are told apart only by what they match.
+ids are told apart only by what they match. Very long texts are searched whole, passage by passage; further columns change nothing.
 """
 
 from __future__ import annotations
@@ -76,7 +76,7 @@ def build(items: list[tuple[int, bytes]]) -> Index:
         per_word = np.sort(np.repeat(impact / tf, tf))[::-1]
         # a word that is missing once may take its term's whole impact with it
         heavy = np.sort(impact)[::-1]
-        threshold = max(impact.sum() - max(heavy[:missing].sum(), per_word[:missing].sum()), 0.2 * impact.sum())
+        threshold = max(impact.sum() - max(heavy[:missing].sum(), per_word[:missing].sum()), 1e-6 * impact.sum())  # never 0, even if all may be missing
         for t, x in zip(terms.tolist(), (impact / threshold).tolist(), strict=True):
             lists[t].append((i, x * (1 + 1e-9)))
         cut = len(hash_words([text[: text.rfind(b"?") + 1]], lower=True, breaks=BREAKS)[0])
