@@ -399,7 +399,8 @@ def classes(docs: DataFrame, *keep) -> DataFrame:
     """doc_id, n, node (null for an empty set), comp, component_id, n_links, and the columns keep of every row of docs (doc_id, text)."""
     docs = docs.select(*text_keys(), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
     every = stored(nodes(docs), "jaccard-nodes")
-    node_table = every.where("node is not null").groupBy("node").agg(F.min("k1").alias("k1"), F.min_by("k2", "k1").alias("k2"), F.min("doc_id").alias("least"))
+    first = [F.min("k1").alias("k1"), F.min_by("k2", "k1").alias("k2"), F.min("doc_id").alias("least"), F.any_value("n").alias("n"), F.any_value("signature").alias("signature")]
+    node_table = stored(every.where("node is not null").groupBy("node").agg(*first), "jaccard-sets")  # a row for each set, however many copies it has
     grams = every.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     got = found(docs, *frequencies(docs, table_bits(grams)))
     hot = got.where(f"kind = {HOT_GRAM}").select("a", F.col("b").alias("node"))
@@ -410,7 +411,7 @@ def classes(docs: DataFrame, *keep) -> DataFrame:
     pairs = got.where(f"kind = {PAIR}").select("a", "b").distinct().join(of_a, "a", "left").join(of_b, "b", "left")
     pairs = stored(pairs.where("not coalesce(arrays_overlap(ha, hb), false)").select("a", "b"), "jaccard-candidates")
     met = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select("node")).distinct()
-    marks = stored(every.select("node", "n", "signature").join(met, "node", "left_semi").dropDuplicates(["node"]), "jaccard-marks")
+    marks = stored(node_table.select("node", "n", "signature").join(met, "node", "left_semi"), "jaccard-marks")
     close, near = suffix_filter(pairs, marks), possible(members, marks)
     wanted = close.select(F.explode(F.array("a", "b")).alias("node")).unionByName(near.select("node")).distinct()
     wanted = stored(wanted.join(node_table.select("node", "k1", "k2"), "node"), "jaccard-wanted")
@@ -422,7 +423,7 @@ def classes(docs: DataFrame, *keep) -> DataFrame:
     named = node_table.select("node", "least").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     lowest = named.groupBy("comp").agg(F.min("least").alias("component_id"))
     by_node = stored(named.join(lowest, "comp").join(degree, "node", "left").select("node", "comp", "component_id", "n_links"), "jaccard-classes")
-    discard(got, members, hubs, pairs, marks, close, near, wanted, texts, links, groups, comp)
+    discard(got, members, hubs, pairs, marks, close, near, wanted, texts, links, groups, comp, node_table)
     out = every.drop("k1", "k2", "signature").join(by_node, "node", "left")
     return out.withColumns({"component_id": F.coalesce("component_id", "doc_id"), "n_links": F.coalesce("n_links", F.lit(0))})
 
