@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batched, discard, free_name, gram_hash, hash_words, members, pack, ranges, stored, text_keys, unpack, whole_groups
+from .common import as_bytes, batched, discard, free_name, gram_hash, hash_words, members, mix, pack, ranges, stored, text_keys, unpack, whole_groups
 
 WINDOW, SEED = 35, 8
 BATCH_BYTES = 6 << 20
@@ -86,10 +86,8 @@ def extensions(texts: list[bytes], live: list[np.ndarray], whole: np.ndarray, wi
     every = np.repeat(np.arange(len(live)), [len(x) for x in live])
     alive = np.zeros(len(anchor), bool)
     if len(every):
-        # pairs of text and anchor, compared as two values
-        key = np.rec.fromarrays([np.concatenate([doc[: len(anchor)], every]), np.concatenate([anchor, np.concatenate(live)])], names="d,a")
-        _, which = np.unique(key, return_inverse=True)
-        alive = np.isin(which[: len(anchor)], which[len(anchor) :])
+        # a false hit of these hashes of text and anchor only sends windows that nothing matches
+        alive = np.isin(mix(anchor ^ mix(doc[: len(anchor)].astype(np.uint64))), mix(np.concatenate(live) ^ mix(every.astype(np.uint64))))
     at = np.flatnonzero((anchor > 0) & (alive | whole[doc[: len(anchor)]]))
     if not len(at):
         return [], []
