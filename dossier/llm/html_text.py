@@ -4,7 +4,7 @@ A linear scan over a page's words and tags finds the run with the largest sum (K
 what was learned from labelled pages, those that mark their own content with one <article> or <main>, for its name and for the words of its class and id:
 minus the log of how much larger their share is outside the content than inside. Where a page marks one content element, a run that crosses its edge loses EDGE.
 
-Elements that by structure hold no content (navigation, forms, scripts, hidden ones) count as one tag and give no text. So do those with a
+Elements that by structure hold no content (navigation, forms, scripts, hidden ones) count as one tag (within marked content MOST) and give no text. So do those with a
 word of class or id that was learned to stand outside content: its odds, with the word lists below as prior counts, reach SKIP. Words are compared whole, so
 `page-header` isn't `header`. An element that marks content, and an article's own headings and sections, are kept whatever their words say; but reader
 comments in them go.
@@ -85,12 +85,15 @@ class Model:
 
     def scores(self, tokens: list[Token]) -> list[float]:
         edge = EDGE if sum(t.kind == "enter" for t in tokens) == 1 else MOST
-        out = []
+        out, inside = [], False
         for t in tokens:
             if t.kind == "text":
                 out.append(WORD * len(t.value.split()))
             elif t.kind in ("enter", "leave"):
                 out.append(edge)
+                inside = t.kind == "enter"
+            elif inside and t.kind == "skipped":
+                out.append(MOST)
             else:
                 out.append(max(LEAST, self.weights.get(t.value, PLAIN) + sum(self.weights.get(n, 0.0) for n in t.names)))
         return out

@@ -552,7 +552,8 @@ def test_html_text_of_marked_pages():
     pages = [f'<div class="wrap"><div class="teaser x{i % 3}">buy</div><article><div class="note">a b</div></article></div>' for i in range(30)]
     model = html_text.learn(sum((html_text.counts_of(p) for p in pages), Counter()))
     assert ".teaser" in model.hides and not {".note", ".wrap"} & model.hides
-    assert model.text('<div class="wrap"><p>some words</p><div class="teaser">gone</div><div class="note">kept</div></div>') == "some words\nkept"
+    assert model.text('<div class="wrap"><p>so many words that the run goes on</p><div class="teaser">gone</div><div class="note">kept</div></div>') == "so many words that the run goes on\nkept"
+    assert model.text('<article><p>short</p><div class="teaser">gone</div><div class="note">kept</div></article>') == "short\nkept"
 
 
 def test_best_run_is_brute_force():
