@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by randomly rotated one-bit codes (Gao and Long, 2024), reranked exactly.
 
-Every vector is scaled to length 1, rotated by one random orthogonal matrix and kept as the signs of its components, packed to 64-bit words, with two
+Every vector is scaled to length 1, rotated by one random orthogonal matrix (after zeros that fill it up to LEAST_BITS) and kept as the signs of its components, packed to 64-bit words, with two
 scalars: what corrects the code's inner products, and the error that they then have. A query, rotated alike, is cut into BITS bit planes; an inner product
-is estimated by counting the bits that a code shares with each plane. The error of cutting the query is added to the bounds. With EPSILON = 3 the bounds fail for a vector about
+is estimated by counting the bits that a code shares with each plane. The error of cutting the query (ROUNDING standard deviations of it) is added to the bounds. With EPSILON = 3 the bounds fail for a vector about
 once in four hundred times.
 
 Codes are made of all rows, in blocks; queries come in blocks too, and each block of queries meets each block of codes twice. Full vectors aren't in them. First the
@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 from .common import pack, shuffle_parts, stored, unpack
 
 BLOCK, MOST_IN_BLOCK, QUERIES = 4096, 65536, 512
-BITS = 8  #: of a query's component
+LEAST_BITS = 512  #: of a code
+BITS = 4  #: of a query's component
+ROUNDING = 5.0  #: standard deviations of the error that cutting a query makes, which are allowed for
 FIRST = 4
 EPSILON = 3.0
 SEED = 11
@@ -34,15 +36,21 @@ ASKED = (np.int64, np.int64, np.float64, np.uint64, np.float32, np.float32, np.f
 _rotations: dict[int, np.ndarray] = {}
 
 
+def length(d: int) -> int:
+    """Bits of a code: short vectors are filled up with zeros before they are rotated, as the error falls with the root of the length."""
+    return max(d, LEAST_BITS)
+
+
 def rotation(d: int) -> np.ndarray:
-    """A random orthogonal matrix, the same everywhere."""
+    """The first d columns of a random orthogonal matrix, the same everywhere."""
     if d not in _rotations:
-        q, r = np.linalg.qr(np.random.default_rng(SEED + d).normal(size=(d, d)))
+        q, r = np.linalg.qr(np.random.default_rng(SEED + d).normal(size=(length(d), d)))
         _rotations[d] = q * np.sign(np.diag(r))
     return _rotations[d]
 
 
 def rotated(vectors: np.ndarray) -> np.ndarray:
+    vectors = vectors.astype(np.float64)
     return vectors / np.sqrt((vectors * vectors).sum(axis=1))[:, None] @ rotation(vectors.shape[1]).T
 
 
@@ -54,7 +62,8 @@ def words(bits: np.ndarray) -> np.ndarray:
 
 def encode(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Packed codes, correction scalars and error widths of the rows."""
-    d, x = vectors.shape[1], rotated(vectors)
+    x = rotated(vectors)
+    d = x.shape[1]
     factor = np.abs(x).sum(axis=1) / np.sqrt(d)
     width = EPSILON * np.sqrt(np.maximum(1 - factor**2, 0) / np.maximum(factor**2, 1e-12) / max(d - 1, 1))
     return words(x > 0), factor.astype(np.float32), (width + 1e-5).astype(np.float32)
@@ -72,17 +81,20 @@ def planes(queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 
 def estimates(codes: np.ndarray, factor: np.ndarray, width: np.ndarray, plane: np.ndarray, low: float, step: float, total: float, d: int) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated cosines of one query with the codes, and how far they may be off, from packed bits."""
+    """Estimated cosines of one query with the codes of d bits, and how far they may be off, from packed bits."""
     ones = np.bitwise_count(codes).sum(axis=1, dtype=np.int64)
     shared = np.bitwise_count(codes[:, None, :] & plane[None]).sum(axis=2, dtype=np.int64) @ (1 << np.arange(BITS))
-    return (2 * (low * ones + step * shared) - total) / np.sqrt(d) / factor, width + np.sqrt(d) * step / 2 / factor + 1e-5
+    return (2 * (low * ones + step * shared) - total) / np.sqrt(d) / factor, width + ROUNDING * step / np.sqrt(12) / factor + 1e-5
 
 
 def valid(vectors: DataFrame, column: str = "embedding") -> DataFrame:
-    """vec_id, v (doubles) and dim of the rows that take part."""
-    v = F.col(column).cast("array<double>")
+    """vec_id, v (floats as they are, else doubles) and dim of the rows that take part."""
+    floats = vectors.schema[column].dataType.simpleString() == "array<float>"
+    v = F.col(column) if floats else F.col(column).cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"), F.size(v).alias("dim")).where("vec_id is not null and v is not null").where(fine)
+    if floats:  # their squares are no trouble in double precision
+        return rows
     largest = F.array_max(F.transform("v", F.abs))
     power = F.pow(F.lit(2.0), F.greatest(F.lit(-1000.0), F.least(F.lit(1000.0), -F.floor(F.log2(largest)).cast("double"))))
     return rows.withColumn("v", F.when(largest.between(1e-100, 1e100), F.col("v")).otherwise(F.transform("v", lambda x: x * power)))
@@ -130,7 +142,7 @@ def candidates(index: DataFrame, asked: DataFrame, first: int | None) -> DataFra
                 codes, plane = codes.reshape(len(ids), -1), plane.reshape(len(qid), BITS, -1)
                 rows, found, value = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
                 for i in range(len(qid)):
-                    estimate, off = estimates(codes, factor, width, plane[i], float(low[i]), float(step[i]), float(total[i]), dim)
+                    estimate, off = estimates(codes, factor, width, plane[i], float(low[i]), float(step[i]), float(total[i]), length(dim))
                     other = ids != qid[i]
                     if first is None:
                         at = np.flatnonzero(other & (estimate + off >= reach[i]))
@@ -147,7 +159,7 @@ def candidates(index: DataFrame, asked: DataFrame, first: int | None) -> DataFra
 
 
 def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
 def best(found: DataFrame, base: DataFrame, queries: DataFrame, k: int) -> DataFrame:
