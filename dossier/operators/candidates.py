@@ -26,7 +26,7 @@ def label(context: Column, table: list[tuple[str, str]], otherwise: str) -> Colu
 def amounts(texts: DataFrame) -> DataFrame:
     """doc_id, line_no, value, label and score of every amount of 100 or more; noise lines, addresses and references are skipped."""
     rows = lines(texts).where(~F.col("line").rlike(rules.NOISE_LINE))
-    found = F.regexp_extract_all("line", F.lit(r"[¥￥$€£]?\s*([0-9][0-9,，Oo Il]*(?:\.[0-9]+)?)(?!\s{0,3}[号室楼层栋]|\s*/[Vv])"), 1)
+    found = F.regexp_extract_all("line", F.lit(r"[¥￥$€£]?\s*([0-9][0-9,，Oo Il]*+(?:\.[0-9]+)?+)(?!\s{0,3}[号室楼层栋]|\s*/[Vv])"), 1)
     each = rows.select("doc_id", "line_no", "line", "context", F.posexplode(found).alias("n", "raw")).withColumn("value", C.normalize_amount(F.col("raw")))
     bare = (F.length(F.trim("line")) < 15) & ~F.col("line").rlike("[元年月日￥¥$€£]|CNY|USD|EUR|RMB")
     score = C.first_of([(bare, 0.35), (F.col("line").rlike(rules.HIGH_CONTEXT), 0.95), (F.col("context").rlike(rules.HIGH_CONTEXT), 0.75), (F.col("context").rlike(rules.MEDIUM_CONTEXT), 0.8)], 0.6)
@@ -42,6 +42,7 @@ def dates(texts: DataFrame, last_year: int) -> DataFrame:
     parts = [F.regexp_extract("fixed", r"([0-9]{4})\s*[-/.年]\s*([0-9]{1,2})\s*[-/.月]\s*([0-9]{1,2})", i) for i in (1, 2, 3)]
     each = each.withColumn("value", C.make_date(*parts))
     each = each.where(F.year("value").between(1990, last_year)).withColumn("label", label(F.col("context"), rules.DATE_LABELS, "date_generic"))
+    each = each.withColumn("label", F.when((F.col("label") == "sign_date") & F.col("context").rlike(rules.CONDITION), "date_condition").otherwise(F.col("label")))
     base = F.when(F.col("fixed") == F.col("raw"), 0.7).otherwise(0.55)
     strong = (F.col("label") == "sign_date") & F.col("context").rlike("(?i)签署|签订|签字|盖章|Authorized|order\\s*date")
     score = F.when(strong, F.least(base + 0.15, F.lit(0.95))).otherwise(base)
@@ -75,3 +76,23 @@ def first_valid(value: Column, field: Column, others: Column) -> Column:
     """The value if it is valid, else the first valid one of others (an array, best first)."""
     fine = F.filter(others, lambda x: C.amount_problem(x, field) == "")
     return F.when(C.amount_problem(value, field) == "", value).otherwise(F.get(fine, F.lit(0)))
+
+
+def stitched(texts: DataFrame) -> DataFrame:
+    """Lines of texts joined with the next one where that makes a date of two halves: doc_id, line_no (of the first) and line."""
+    rows = texts.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("l"))
+    pairs = F.transform(F.slice("l", F.lit(1), F.greatest(F.size("l") - 1, F.lit(0))), lambda x, i: F.concat(F.regexp_replace(x, r"\s+$", ""), F.regexp_replace(F.get(F.col("l"), i + 1), r"^\s+", "")))
+    each = rows.select("doc_id", F.posexplode(pairs).alias("line_no", "line"))
+    return each.where(F.col("line").rlike("[0-9]{4}年[0-9]{1,2}月|[0-9]{4}[-/.][0-9]{1,2}[-/.]"))
+
+
+def ranked(candidates: DataFrame, order: list[str]) -> DataFrame:
+    """Candidates of several sources (doc_id, source, pos, value, ...), those of earlier sources first: source_rank and place in the document."""
+    rank = C.first_of([(F.col("source") == s, i) for i, s in enumerate(order)], len(order))
+    return candidates.withColumn("source_rank", rank).withColumn("place", F.row_number().over(W.partitionBy("doc_id").orderBy("source_rank", "pos")))
+
+
+def evidence_amount(text: Column, low: float = 100, high: float = 1e8) -> Column:
+    """The largest whole part of the numbers in a text that lie within bounds."""
+    numbers = F.transform(F.regexp_extract_all(text, F.lit(r"([0-9,]+(?:\.[0-9]+)?)"), 1), lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("double"))
+    return F.array_max(F.transform(F.filter(numbers, lambda v: v.between(low, high)), lambda v: F.floor(v).cast("long")))

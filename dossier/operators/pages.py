@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -65,9 +67,26 @@ def doc_type_scores(text: Column) -> Column:
     return F.transform(table, lambda r: F.struct(r["type"].alias("type"), score(r).alias("score")))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with the value worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _holds(low: Column, word: str) -> Column:
+    if len(word) <= 3 and word.isascii() and word.isupper():
+        return F.rlike(low, F.lit(f"(?:^|[^0-9a-z_]){word.lower()}(?:$|[^0-9a-z_])"))
+    return low.contains(word.lower())
+
+
 def detect_doc_type(text: Column, file_name: Column) -> Column:
     """By the first 15 lines, types in order; else by most keywords, the first type on ties; else by file name; else UNKNOWN."""
+    def any_of(low):
+        return C.first_of([(reduce(lambda a, b: a | b, [_holds(low, w) for w in words]), t) for t, words in rules.TYPE_WORDS])
+
+    def most(low):
+        scores = F.array(*[reduce(lambda a, b: a + b, [_holds(low, w).cast("int") for w in words]) for _, words in rules.TYPE_WORDS])
+        return _let(scores, lambda s: F.when(F.array_max(s) > 0, F.element_at(F.array(*[F.lit(t) for t, _ in rules.TYPE_WORDS]), F.array_position(s, F.array_max(s)).cast("int"))))
+
+    whole = F.lower(F.coalesce(text, F.lit("")))
     head = F.array_join(F.slice(F.split(F.coalesce(text, F.lit("")), "\n"), 1, 15), "\n")
-    any_of = lambda t: F.get(F.filter(doc_type_scores(t), lambda x: x["score"] > 0), F.lit(0))["type"]
-    most = F.array_max(F.transform(doc_type_scores(text), lambda x: F.struct(x["score"].alias("score"), (-F.array_position(F.array(*[F.lit(t) for t, _ in rules.TYPE_WORDS]), x["type"])).alias("place"), x["type"].alias("type"))))
-    return F.coalesce(any_of(head), F.when(most["score"] > 0, most["type"]), any_of(file_name), F.lit("UNKNOWN"))
+    return F.coalesce(_let(F.lower(head), any_of), _let(whole, most), _let(F.lower(F.coalesce(file_name, F.lit(""))), any_of), F.lit("UNKNOWN"))

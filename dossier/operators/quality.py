@@ -95,9 +95,33 @@ def full_audit(ledger: DataFrame, report: DataFrame) -> DataFrame:
 def conflicts(ledger: DataFrame, least: float = 0.5) -> DataFrame:
     """Records whose file name says another company than the ledger, with the size of their group."""
     named = C.group(F.col("file_name"), "_([^_]+)_")
-    sized = ledger.withColumn("group_size", F.count("*").over(W.partitionBy("detected_group")))
-    rows = sized.withColumns({"says": named, "similarity": F.round(C.char_similarity(named, F.coalesce("detected_company", F.lit(""))), 6)})
-    return rows.where(F.col("says").isNotNull() & (F.col("similarity") < least)).select("pos", F.col("detected_group").alias("group_name"), "group_size", "file_name", "says", "similarity")
+    rows = ledger.withColumns({"says": named, "similarity": F.round(C.char_similarity(named, F.coalesce("detected_company", F.lit(""))), 6)}).where(F.col("says").isNotNull() & (F.col("similarity") < least))
+    sizes = ledger.groupBy(F.col("detected_group").alias("g")).agg(F.count("*").alias("group_size"))
+    return rows.join(sizes, F.col("detected_group").eqNullSafe(F.col("g"))).select("pos", F.col("detected_group").alias("group_name"), "group_size", "file_name", "says", "similarity")
+
+
+def ordered_conflicts(rows: DataFrame) -> DataFrame:
+    """Conflicts, those of large groups first."""
+    return rows.orderBy(F.desc("group_size"), "group_name", "file_name", "pos")
+
+
+def cross_checks(vendors: list[str] = rules.VENDORS) -> list[tuple[str, Column]]:
+    """What a file name says (says, says_version) against the record: another company, one where the record has none, a vendor where the file names nobody, another version, no amount."""
+    company, version = F.trim(F.coalesce("detected_company", F.lit(""))), F.trim(F.coalesce("software_version", F.lit("")))
+    says = F.col("says")
+    return [
+        ("COMPANY_MISMATCH", says.isNotNull() & (company != "") & (C.char_similarity(says, company) < 0.5)), ("COMPANY_MISSING_IN_AUDIT", says.isNotNull() & (company == "")),
+        ("VENDOR_IN_AUDIT", says.isNull() & C.has_any(F.lower(company), vendors, lower=True)), ("VERSION_MISMATCH", F.col("says_version").isNotNull() & (version != "") & (F.col("says_version") != version)),
+        ("AMOUNT_EMPTY", F.coalesce(*[C.filled(F.col(c)) for c, _ in rules.AMOUNTS]).isNull()),
+    ]
+
+
+def audit_examples(audit: DataFrame, n: int = 5) -> DataFrame:
+    """Of full_audit(): kind of finding (before any colon), how often, and the first n file names by pos."""
+    each = audit.select("pos", "file_name", F.explode(F.split("issues", "\\|")).alias("issue")).where("issue <> ''").select("pos", "file_name", F.substring_index("issue", ":", 1).alias("kind"))
+    first = each.withColumn("k", F.row_number().over(W.partitionBy("kind").orderBy("pos"))).where(F.col("k") <= n)
+    names = first.groupBy("kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "file_name"))), lambda x: x["file_name"]), "|").alias("examples"))
+    return each.groupBy("kind").agg(F.count("*").alias("n")).join(names, "kind")
 
 
 def misplaced_files(files: DataFrame, keywords: DataFrame) -> DataFrame:

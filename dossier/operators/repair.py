@@ -23,10 +23,10 @@ def first_replacement(text: Column, pairs: list[tuple[str, str]]) -> Column:
 
 
 def rule_match(df: DataFrame, column: str, table: DataFrame) -> DataFrame:
-    """df with target: of the rules (pos, pattern, target) whose pattern the column contains, the first by pos."""
+    """df with target: of the rules (pos, pattern, target) whose pattern the column contains, the longest, the first by pos on ties."""
     names = table.select("pos", F.col("pattern").alias("name"), F.col("target").alias("group_name"))
     texts = df.select(F.col(column).alias("text")).distinct()
-    hit = resolve.contained(texts, names).groupBy("text").agg(F.min_by("group_name", "pos").alias("target"))
+    hit = resolve.contained(texts, names).groupBy("text").agg(F.min_by("group_name", F.struct(-F.length("name"), "pos")).alias("target"))
     return df.join(hit.withColumnRenamed("text", column), column, "left")
 
 
@@ -70,17 +70,76 @@ def company_from_file(df: DataFrame) -> DataFrame:
 
 
 def unique_names(df: DataFrame) -> DataFrame:
-    """Target names without clashes: further files of a folder and name get _1, _2 and so on, by pos."""
-    n = F.row_number().over(W.partitionBy("folder", "file_name").orderBy("pos")) - 1
-    stem, ending = F.regexp_extract("file_name", r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("file_name", r"^(.*?)(\.[^.]*)?$", 2)
-    return df.withColumn("n", n).withColumn("target", F.when(F.col("n") == 0, F.col("file_name")).otherwise(F.concat(stem, F.lit("_"), F.col("n").cast("string"), ending))).drop("n")
+    """Target names without clashes: by pos, a file whose name is taken in its folder gets _1, _2 and so on, whichever is free first.
+
+    Only names of one root (the stem without numbers at its end) can clash, so folders are split by root, and where a name repeats the part is worked through in order.
+    """
+    parts = r"^(.*?)(?:_[0-9]+)*(\.[^.]*)?$"
+    rooted = df.withColumn("__root", F.concat_ws("\n", F.regexp_extract("file_name", parts, 1), F.regexp_extract("file_name", parts, 2)))
+    same = F.count("*").over(W.partitionBy("folder", "file_name"))
+    rooted = rooted.withColumn("__same", same).withColumn("__clash", F.max("__same").over(W.partitionBy("folder", "__root")) > 1).drop("__same")
+    free = rooted.where(~F.col("__clash")).select(*df.columns, F.col("file_name").alias("target"))
+
+    def run(rows):
+        taken, after, out = set(), {}, []
+        rows = rows.sort_values("pos", kind="stable")
+        for name in rows["file_name"]:
+            stem, dot, ending = name.rpartition(".")
+            stem, ending = (stem, dot + ending) if dot else (name, "")
+            target, n = name, after.get(name, 0)
+            while target in taken:
+                n += 1
+                target = f"{stem}_{n}{ending}"
+            after[name] = n
+            taken.add(target)
+            out.append(target)
+        return rows.drop(columns=["__root", "__clash"]).assign(target=out)
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return free.unionByName(rooted.where("__clash").groupBy("folder", "__root").applyInPandas(run, f"{kinds}, target string"))
+
+
+def exact_fixes(df: DataFrame, fixes: DataFrame) -> DataFrame:
+    """Companies set by exact file name (file_name, company): in the summary too, and a flag of a group conflict goes."""
+    both = df.join(fixes.select("file_name", F.col("company").alias("__company")), "file_name", "left")
+    old, new = F.coalesce("detected_company", F.lit("")), F.col("__company")
+    summary = F.when(new.isNotNull() & (old != "") & F.col("summary").contains(old), F.replace(F.col("summary"), old, new)).otherwise(F.col("summary"))
+    return both.withColumns({"summary": summary, "flags": F.when(new.isNotNull(), without_flags(F.col("flags"), "group_conflict")).otherwise(F.col("flags")), "detected_company": F.coalesce(new, "detected_company")}).select(*df.columns)
+
+
+def without_flags(flags: Column, word: str) -> Column:
+    return F.filter(flags, lambda f: ~f.contains(word))
+
+
+def shown_flags(flags: Column, words: list[str]) -> Column:
+    """The flags that hold one of the words, joined."""
+    return F.array_join(F.filter(F.coalesce(flags, F.array().cast("array<string>")), lambda f: C.has_any(f, words)), "; ")
+
+
+def without_prefix(name: Column, prefixes: list[str] = rules.NAME_PREFIXES) -> Column:
+    """Without the longest of the prefixes that it starts with, once."""
+    either = "|".join(sorted(prefixes, key=lambda p: (-len(p), p)))
+    return F.trim(F.regexp_replace(name, f"^(?:{either})", ""))
+
+
+def company_by_group(df: DataFrame, named: Column) -> DataFrame:
+    """The company that the file names where that holds the group's name (without 集团, two characters or more) and the ledger's doesn't."""
+    token = F.trim(F.replace(F.coalesce("detected_group", F.lit("")), F.lit("集团"), F.lit("")))
+    take = named.isNotNull() & (F.length(token) >= 2) & named.contains(token) & ~F.coalesce("detected_company", F.lit("")).contains(token)
+    return df.withColumn("detected_company", F.when(F.coalesce(take, F.lit(False)), named).otherwise(F.col("detected_company")))
 
 
 def move_plan(before: DataFrame, after: DataFrame) -> DataFrame:
     """pos, source and target folder (group and year; no year for 其他 and 内部文件) of the records whose folder changes."""
-    def place(df, name):
-        g = C.safe_name(F.col("detected_group"), "未分组")
-        flat = F.col("detected_group").isin("其他", "内部文件")
-        return df.select("pos", F.when(flat, g).otherwise(F.concat(g, F.lit("/"), F.coalesce(F.col("report_year").cast("string"), F.lit("未知年份")))).alias(name))
+    return before.select("pos", _folder().alias("source")).join(after.select("pos", _folder().alias("target")), "pos").where("source <> target")
+
+
+def year_moves(df: DataFrame) -> DataFrame:
+    """move_plan() of the year repair, in one pass: both folders of a record stand in its row."""
+    rows = fix_years(df.withColumn("__year", F.col("report_year")))
+    return rows.select("pos", _folder("__year").alias("source"), _folder().alias("target")).where("source <> target")
+
 
-    return place(before, "source").join(place(after, "target"), "pos").where("source <> target")
+def _folder(year: str = "report_year") -> Column:
+    g = C.safe_name(F.col("detected_group"), "未分组")
+    return F.when(F.col("detected_group").isin("其他", "内部文件"), g).otherwise(F.concat(g, F.lit("/"), F.coalesce(F.col(year).cast("string"), F.lit("未知年份"))))

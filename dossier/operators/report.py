@@ -89,10 +89,48 @@ def type_counts(ledger: DataFrame) -> DataFrame:
 
 def unmapped(ledger: DataFrame) -> DataFrame:
     """Groups that are named like one of their companies, with their size."""
-    g = ledger.groupBy("detected_group").agg(F.count("*").alias("n"), F.collect_set("detected_company").alias("names"))
-    return g.where(F.array_contains("names", F.col("detected_group"))).select(F.col("detected_group").alias("group_name"), "n")
+    own = F.bool_or(F.col("detected_group") == F.col("detected_company")).alias("own")
+    return ledger.groupBy("detected_group").agg(F.count("*").alias("n"), own).where("own").select(F.col("detected_group").alias("group_name"), "n")
 
 
 def group_sizes(ledger: DataFrame) -> DataFrame:
     """How many groups have each number of records."""
     return ledger.groupBy("detected_group").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("n_groups"))
+
+
+def ordered(rows: DataFrame) -> DataFrame:
+    """Report rows as a reader gets them: by year (unknown first), category, company."""
+    return rows.orderBy(F.coalesce("year", F.lit(0)), "category", F.coalesce("company", F.lit("")), "path")
+
+
+def places(rows: DataFrame) -> DataFrame:
+    """Report rows with their place among their group's, in that order."""
+    order = [F.coalesce("year", F.lit(0)), F.col("category"), F.coalesce("company", F.lit("")), F.col("path"), F.col("pos")]
+    return rows.withColumn("place", F.row_number().over(W.partitionBy("group_name").orderBy(*order)))
+
+
+def first_seen(ledger: DataFrame) -> DataFrame:
+    """Groups with the position where each appears first."""
+    return ledger.groupBy(F.col("detected_group").alias("group_name")).agg(F.min("pos").alias("first_pos"))
+
+
+def run_summary(ledger: DataFrame) -> DataFrame:
+    """One row: records, those without error, with one, and without a group."""
+    return ledger.agg(F.count("*").alias("total"), F.count_if(F.coalesce("error", F.lit("")) == "").alias("done"), F.count_if(F.coalesce("error", F.lit("")) != "").alias("failed"), F.count_if(F.coalesce(F.trim("detected_group"), F.lit("")) == "").alias("no_group"))
+
+
+def summary_text(category, summary, file_name, period, duration, srf_number):
+    """A report row's text: without a leading [..]; contracts with length and period in brackets, service requests with kind, number and period.
+
+    A number over 30 characters or with three Chinese characters in a row is a misreading. Columns in, a Column out.
+    """
+    text = F.trim(F.regexp_replace(F.coalesce(summary, F.lit("")), r"^\[[^\]]+\]\s*", ""))
+    has_period = F.coalesce(period, F.lit("")) != ""
+    said = text.contains("服务期") | text.contains("至")
+    parts = F.array_compact(F.array(F.when(F.coalesce(duration, F.lit("")) != "", F.concat(duration, F.lit("合同"))), F.when(has_period & ~said, F.concat(F.lit("维护期 "), period))))
+    contract = F.when(F.size(parts) > 0, F.concat(text, F.lit("（"), F.array_join(parts, "；"), F.lit("）"))).otherwise(text)
+    number = F.when((F.length(srf_number) <= 30) & ~srf_number.rlike("[一-龥]{3,}") & (srf_number != ""), srf_number)
+    kind = C.first_of([(file_name.contains(k), v) for k, v in rules.SERVICE_KINDS], "服务")
+    request = F.array_join(F.array_compact(F.array(kind, F.concat(F.lit("编号 "), number), F.when(has_period, F.concat(F.lit("服务期 "), period)))), "；")
+    request = F.when(text != "", F.concat(text, F.lit("（"), request, F.lit("）"))).otherwise(request)
+    return F.when(category.isin("维护合同", "项目合同", "升级合同"), contract).when(category == "SRF", request).otherwise(text)

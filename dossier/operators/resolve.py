@@ -75,11 +75,21 @@ def group_members(mapping: DataFrame) -> DataFrame:
     return mapping.groupBy("group_name").agg(F.array_join(F.array_sort(F.collect_set("name")), "|").alias("companies"), F.array_join(F.array_sort(F.collect_set("short_name")), "|").alias("aliases"))
 
 
-def similar_names(a: DataFrame, b: DataFrame, least: float, width: int = 2) -> DataFrame:
-    """Pairs (left, right) that share a prefix of some width and whose characters' Jaccard similarity is at least so much."""
-    left, right = a.select(F.col("name").alias("left"), F.substring("name", 1, width).alias("k")), b.select(F.col("name").alias("right"), F.substring("name", 1, width).alias("k"))
-    s = F.round(C.char_similarity(F.col("left"), F.col("right")), 6)
-    return left.join(right, "k").where(F.col("left") < F.col("right")).withColumn("similarity", s).where(F.col("similarity") >= least).select("left", "right", "similarity")
+def similar_names(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """Pairs (left, right), left before right, whose characters' Jaccard similarity is at least so much, none lost.
+
+    Sets of n characters that similar share one of their first n - ceil(least * n) + 1 in any one order, so names are joined on these.
+    """
+    t = max(least - 1e-9, 1e-9)
+
+    def rows(df, name):
+        letters = F.array_sort(F.array_distinct(F.array_remove(F.split(F.translate(F.col("name"), "（）", "()"), ""), "")))
+        n = F.size("s")
+        keep = F.greatest(n - F.ceil(F.lit(t) * n).cast("int") + 1, F.lit(1))
+        return df.select(F.col("name").alias(name), letters.alias("s")).where(n > 0).select(name, n.alias(f"n_{name}"), F.explode(F.slice("s", F.lit(1), keep)).alias("k"))
+
+    pairs = rows(a, "left").join(rows(b, "right"), "k").where((F.col("left") < F.col("right")) & (F.least("n_left", "n_right") >= t * F.greatest("n_left", "n_right"))).select("left", "right").distinct()
+    return pairs.withColumn("similarity", F.round(C.char_similarity(F.col("left"), F.col("right")), 6)).where(F.col("similarity") >= least)
 
 
 def lcs_ratio(a: str, b: str) -> float:

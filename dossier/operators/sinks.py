@@ -21,6 +21,43 @@ def flat_rows(ledger: DataFrame) -> DataFrame:
     )
 
 
+#: Columns of the wide export and what stands in for a missing one.
+WIDE = [
+    ("report_year", None), ("detected_group", ""), ("detected_company", ""), ("detected_counterparty", ""), ("doc_type", ""), ("doc_subtype", ""), ("is_primary_doc", "否"), ("sign_date", ""), ("effective_date", ""),
+    ("service_period_start", ""), ("service_period_end", ""), ("annual_maintenance_fee", None), ("tax_rate", ""), ("tax_included_amount", None), ("tax_excluded_amount", None), ("contract_total_amount", None),
+    ("currency", "CNY"), ("po_number", ""), ("quote_number", ""), ("file_name", ""), ("file_path", ""), ("file_md5", ""), ("summary", ""), ("confidence_overall", 0.0), ("flags", ""), ("error", ""),
+]
+
+
+def wide_rows(ledger: DataFrame) -> DataFrame:
+    """The 26 columns of the wide export: yes and no as words, confidence to three digits, flags joined; columns that a ledger lacks get their defaults."""
+    def column(name, default):
+        if name not in ledger.columns:
+            return F.lit(default).cast("int" if name == "report_year" else "double" if default is None else "string" if isinstance(default, str) else "double")
+        c = F.col(name)
+        if name == "is_primary_doc":
+            return F.when(c, "是").otherwise("否")
+        if name == "confidence_overall":
+            return F.bround(F.coalesce(c, F.lit(0.0)), 3)
+        if name == "flags":
+            return F.coalesce(F.array_join(c, "|"), F.lit(""))
+        return c if default is None else F.coalesce(c, F.lit(default))
+
+    return ledger.select("pos", *[column(n, x).alias(n) for n, x in WIDE])
+
+
+def packet_rows(documents: DataFrame) -> DataFrame:
+    """A row for each packet of documents (doc_id, file_name, group_name, packets), titles cut to 100 characters."""
+    rows = documents.select("doc_id", "file_name", "group_name", F.explode("packets").alias("p"))
+    return rows.select("doc_id", "file_name", "group_name", "p.packet_id", "p.start_page", "p.end_page", "p.packet_type", "p.doc_type", F.substring("p.title_hint", 1, 100).alias("title_hint"))
+
+
+def legacy_rows(ledger: DataFrame) -> DataFrame:
+    """The older export of each group: file, company, year (the unknown last), type, and an empty column for notes."""
+    rows = ledger.select("pos", F.coalesce(C.blank(F.col("detected_group")), F.lit("未分组")).alias("group_name"), "file_name", "detected_company", "report_year", "doc_type", F.lit("").alias("notes"))
+    return rows.orderBy("group_name", F.asc_nulls_last("report_year"), "pos")
+
+
 def with_amount(ledger: DataFrame) -> DataFrame:
     return flat_rows(ledger).where("has_amount = '是'")
 

@@ -374,16 +374,16 @@ def longest_match(spark, d):
     return resolve.longest_match(texts, names)
 
 
-@query("WITH f AS (SELECT DISTINCT substr(p_name, 3, 6) AS fragment FROM part WHERE p_partkey % 20 = 0), h AS (SELECT fragment, arg_min(p_name, {'a': length(p_name), 'b': -p_partkey}) AS name FROM f JOIN part ON contains(p_name, fragment) GROUP BY 1) SELECT fragment, name FROM f LEFT JOIN h USING (fragment)")
+@query("WITH f AS (SELECT DISTINCT substr(p_name, 3, 6) AS fragment FROM part), h AS (SELECT fragment, arg_min(p_name, {'a': length(p_name), 'b': -p_partkey}) AS name FROM f JOIN part ON contains(p_name, fragment) GROUP BY 1) SELECT fragment, name FROM f LEFT JOIN h USING (fragment)")
 def shortest_fragment(spark, d):
     part = table(spark, d, "part")
-    return resolve.shortest_holding(part.where("p_partkey % 20 = 0").select(F.substring("p_name", 3, 6).alias("fragment")).distinct(), part.select(F.col("p_partkey").alias("pos"), F.col("p_name").alias("name")))
+    return resolve.shortest_holding(part.select(F.substring("p_name", 3, 6).alias("fragment")).distinct(), part.select(F.col("p_partkey").alias("pos"), F.col("p_name").alias("name")))
 
 
-@query("""WITH m AS (SELECT p_name AS name, p_brand AS group_name FROM part), g AS (SELECT group_name, unnest(list_distinct(flatten(list_transform(range(5, 9), lambda k: list_transform(range(1, length(name) - k + 2), lambda i: substr(name, i, k)))))) AS keyword FROM m)
+@query("""WITH m AS (SELECT concat(p_brand, ' ', p_type) AS name, p_brand AS group_name FROM part), g AS (SELECT group_name, unnest(list_distinct(flatten(list_transform(range(5, 9), lambda k: list_transform(range(1, length(name) - k + 2), lambda i: substr(name, i, k)))))) AS keyword FROM m)
 SELECT keyword, min(group_name) AS group_name, count(*) AS n FROM g GROUP BY 1 HAVING min(group_name) = max(group_name) AND count(*) >= 3""")
 def keyword_build(spark, d):
-    return resolve.keywords(table(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("group_name")))
+    return resolve.keywords(table(spark, d, "part").select(F.concat("p_brand", F.lit(" "), "p_type").alias("name"), F.col("p_brand").alias("group_name")))
 
 
 @query(f"WITH m AS ({_MAP}) SELECT group_name, string_agg(DISTINCT name, '|' ORDER BY name) AS companies, string_agg(DISTINCT short_name, '|' ORDER BY short_name) AS aliases FROM m GROUP BY 1")
@@ -391,9 +391,9 @@ def legacy_map(spark, d):
     return resolve.group_members(_mapping(spark, d))
 
 
-@query(f"WITH n AS (SELECT DISTINCT p_type AS name FROM part), x AS (SELECT a.name AS l, b.name AS r, a.name AS a, b.name AS b FROM n a JOIN n b ON substr(a.name, 1, 2) = substr(b.name, 1, 2) AND a.name < b.name), y AS (SELECT l AS \"left\", r AS \"right\", round({_SIM}, 6) AS similarity FROM x) SELECT * FROM y WHERE similarity >= 0.8")
+@query(f"WITH n AS (SELECT DISTINCT s_name AS name FROM supplier), x AS (SELECT a.name AS l, b.name AS r, a.name AS a, b.name AS b FROM n a JOIN n b ON a.name < b.name), y AS (SELECT l AS \"left\", r AS \"right\", round({_SIM}, 6) AS similarity FROM x) SELECT * FROM y WHERE similarity >= 0.8")
 def jaccard_match(spark, d):
-    names = table(spark, d, "part").select(F.col("p_type").alias("name")).distinct()
+    names = table(spark, d, "supplier").select(F.col("s_name").alias("name")).distinct()
     return resolve.similar_names(names, names, 0.8)
 
 
@@ -453,7 +453,7 @@ def company_from_file(spark, d):
 _RULES = [(0, "财务8.0升级_", "升级"), (1, "SRF", "服务"), (2, "合同", "合同"), (3, "_", "其他")]
 
 
-@query(f"WITH {LEDGER}, r(pos, pattern, target) AS (VALUES {', '.join(map(str, _RULES))}), t AS (SELECT DISTINCT file_name FROM ledger), h AS (SELECT file_name, arg_min(target, r.pos) AS target FROM t JOIN r ON contains(file_name, pattern) GROUP BY 1) SELECT l.pos, h.target FROM ledger l LEFT JOIN h USING (file_name)")
+@query(f"WITH {LEDGER}, r(pos, pattern, target) AS (VALUES {', '.join(map(str, _RULES))}), t AS (SELECT DISTINCT file_name FROM ledger), h AS (SELECT file_name, arg_min(target, {{'a': -length(pattern), 'b': r.pos}}) AS target FROM t JOIN r ON contains(file_name, pattern) GROUP BY 1) SELECT l.pos, h.target FROM ledger l LEFT JOIN h USING (file_name)")
 def rule_override(spark, d):
     table_ = spark.createDataFrame(_RULES, "pos long, pattern string, target string")
     return repair.rule_match(ledger(spark, d), "file_name", table_).select("pos", "target")
@@ -471,8 +471,7 @@ _PLACE = "CASE WHEN g IN ('其他', '内部文件') THEN {0} ELSE {0} || '/' ||
 @query(f"""WITH {LEDGER}, y0 AS (SELECT *, CAST(nullif(regexp_extract(file_name, '((?:19|20)[0-9]{{2}})', 1), '') AS INT) AS fy FROM ledger), z AS (SELECT pos, detected_group AS g, report_year, coalesce(CASE WHEN fy BETWEEN 1995 AND 2026 THEN fy END, report_year) AS y2 FROM y0),
 b AS (SELECT pos, g, report_year AS y FROM z), a AS (SELECT pos, g, y2 AS y FROM z), s AS (SELECT pos, {_PLACE} AS source FROM b), t AS (SELECT pos, {_PLACE} AS target FROM a) SELECT pos, source, target FROM s JOIN t USING (pos) WHERE source <> target""")
 def move_plan(spark, d):
-    rows = ledger(spark, d)
-    return repair.move_plan(rows, repair.fix_years(rows))
+    return repair.year_moves(ledger(spark, d))
 
 
 @query(f"WITH {TYPED} SELECT DISTINCT r.file_name, r.group_name AS reported, l.detected_group AS recorded FROM report r JOIN ledger l ON r.file_name = l.file_name WHERE r.group_name <> l.detected_group AND l.detected_group NOT IN ('', '其他')")
@@ -556,10 +555,9 @@ def _notes(spark, d):
     return spark.sql(_NOTES.replace("FROM orders", "FROM {orders}").replace("NL", "char(10)"), orders=table(spark, d, "orders"))
 
 
-@query("SELECT o_orderkey AS doc_id, 1 AS line_no, 0 AS n, CAST(floor(o_totalprice) AS DOUBLE) AS value, 'annual_maintenance_fee' AS label, 0.95::DOUBLE AS score FROM orders WHERE floor(o_totalprice) >= 100")
+@query("SELECT o_orderkey AS doc_id, 1 AS line_no, 0 AS n, CAST(floor(o_totalprice) AS DOUBLE) AS value, 'annual_maintenance_fee' AS label, 0.95::DOUBLE AS score FROM orders WHERE floor(o_totalprice) >= 100 UNION ALL SELECT o_orderkey, 3, 0, CAST(year(o_orderdate) AS DOUBLE), 'annual_maintenance_fee', 0.75 FROM orders UNION ALL SELECT o_orderkey, 6, 0, CAST(year(o_orderdate) AS DOUBLE), 'amount_generic', 0.6 FROM orders")
 def amount_candidates(spark, d):
-    found = candidates.amounts(_notes(spark, d))
-    return found.where("line_no = 1")
+    return candidates.amounts(_notes(spark, d))
 
 
 @query("SELECT o_orderkey AS doc_id, 3 AS line_no, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS value, 'sign_date' AS label, 0.85::DOUBLE AS score FROM orders UNION ALL SELECT o_orderkey, 6, CAST(CAST(o_orderdate AS DATE) AS VARCHAR), 'service_period', 0.7 FROM orders")

@@ -22,6 +22,29 @@ def scan_files(spark: SparkSession, path: str, glob: str = "*.[pP][dD][fF]") ->
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("size"), F.md5("content").alias("file_md5"))
 
 
+def fenced_json(text, schema: str):
+    """The first {...} of a model's answer as a struct, code fences aside; null if it can't be read. Columns in, a Column out. Braces are matched three levels deep."""
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"```(?:json)?\s*", "")
+    inner = r"[^{}]*"
+    for _ in range(2):
+        inner = rf"(?:[^{{}}]|\{{{inner}\}})*"
+    found = F.nullif(F.regexp_extract(bare, rf"(?s)\{{{inner}\}}", 0), F.lit(""))
+    return F.when(F.try_parse_json(found).isNotNull(), F.from_json(found, schema, {"mode": "PERMISSIVE"}))
+
+
+def default_fields(fields, keys: list[str], kind: str, kinds: list[str], otherwise: str):
+    """A map of texts with all the keys: words for nothing and missing values become empty, a kind that isn't known becomes the other one."""
+    value = lambda k: F.trim(F.coalesce(F.try_element_at(fields, F.lit(k)), F.lit("")))
+    clean = lambda k: F.when(F.lower(value(k)).isin("null", "none", "nan"), "").otherwise(value(k))
+    known = lambda k: F.when(clean(k).isin(kinds), clean(k)).otherwise(otherwise) if k == kind else clean(k)
+    return F.create_map(*[x for k in keys for x in (F.lit(k), known(k))])
+
+
+def field_of(flat, nested):
+    """A field that stands at the top or, if that is blank, in the nested struct's value."""
+    return F.coalesce(F.nullif(flat, F.lit("")), nested["value"], F.lit(""))
+
+
 def read_through(pages: DataFrame, cached: DataFrame, provider) -> DataFrame:
     """Cached pages of the documents of pages (file_md5, ...), and what provider(DataFrame) makes of those that the cache lacks."""
     known = cached.join(pages.select("file_md5").distinct(), "file_md5", "left_semi")

@@ -3,13 +3,15 @@
 import glob
 import json
 import os
+import random
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from dossier.operators import merge, pages, repair, report, resolve, sinks
-from dossier.plans import queries
+from dossier.functions import names as N
+from dossier.plans import names, queries, records  # noqa: F401  (they register their queries)
 from dossier.sources import ledger as source
 from dossier.streaming import incremental
 
@@ -95,6 +97,22 @@ def test_fuzzy_match_is_every_pair(spark):
 def test_names_that_clash_and_passes(spark):
     rows = spark.createDataFrame([(1, "f", "a.pdf"), (2, "f", "a.pdf"), (3, "f", "b"), (4, "f", "b")], "pos long, folder string, file_name string")
     assert [r.target for r in repair.unique_names(rows).orderBy("pos").collect()] == ["a.pdf", "a_1.pdf", "b", "b_1"]
+    every = ["a.pdf", "a.pdf", "a_1.pdf", "a.pdf", "a_1.pdf", "a_1_1.pdf", "c", "c", "c_2", "c", ".x", ".x", "a.pdf"]
+    taken, want = set(), []
+    for name in every:  # one after another, as a file system would
+        stem, dot, ending = name.rpartition(".")
+        stem, ending = (stem, dot + ending) if dot else (name, "")
+        n, target = 0, name
+        while target in taken:
+            n += 1
+            target = f"{stem}_{n}{ending}"
+        taken.add(target)
+        want.append(target)
+    rows = spark.createDataFrame([(i, "f", x) for i, x in enumerate(every)] + [(99, "g", "a.pdf")], "pos long, folder string, file_name string")
+    assert [r.target for r in repair.unique_names(rows).orderBy("pos").collect()] == [*want, "a.pdf"]
+    table = spark.createDataFrame([(0, "ab", "short"), (1, "abc", "long"), (2, "xbc", "same")], "pos long, pattern string, target string")
+    asked = spark.createDataFrame([("abc",), ("ab",), ("zabc xbc",), (None,)], "t string")
+    assert {r.t: r.target for r in repair.rule_match(asked, "t", table).collect()} == {"abc": "long", "ab": "short", "zabc xbc": "long", None: None}
     a, b = (spark.createDataFrame(x, "key long, amount double") for x in ([(1, 5.0), (2, 6.0)], [(2, 7.0), (3, 8.0)]))
     assert sorted(map(tuple, merge.merge_passes(a, b).collect())) == [(1, 5.0, False), (2, 7.0, True), (3, 8.0, True)]
 
@@ -128,3 +146,28 @@ def test_runs_resume(spark, tmp_path):
         (tmp_path / f"in/{n}.json").write_text(json.dumps({"k": n}))
         incremental.process_new(spark, str(tmp_path / "in"), "k long", target, check, lambda rows: rows.withColumn("twice", F.col("k") * 2)).awaitTermination()
     assert sorted(map(tuple, spark.read.parquet(target).collect())) == [(0, 0), (1, 2)]
+
+
+def test_similar_names_lose_no_pair(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdef（）()") for _ in range(rng.randrange(0, 9))) for _ in range(120)]
+    words = sorted({*words, "上海示例", "示例上海"})
+    df = spark.createDataFrame([(w,) for w in [*words, None]], "name string")
+
+    def similarity(a, b):
+        a, b = (set(x.replace("（", "(").replace("）", ")")) for x in (a, b))
+        return len(a & b) / len(a | b) if a and b else 0.0
+
+    for least in (0.5, 0.8, 1.0):
+        got = {(r.left, r.right) for r in resolve.similar_names(df, df, least).collect()}
+        assert got == {(a, b) for a in words for b in words if a < b and round(similarity(a, b), 6) >= least}
+
+
+def test_names_of_nothing(spark):
+    df = spark.createDataFrame([(None,), ("",), (" ",), ("\u3000（）",)], "raw string")
+    c = F.col("raw")
+    got = df.select(N.normal_text(c).alias("a"), N.legacy_company(c).alias("b"), N.legacy_key(c).alias("c"), N.is_bad_candidate(c).alias("bad"), N.has_chinese(c).alias("chinese"), N.is_chinese_company(c).alias("firm"), N.cleaned_ocr(c).alias("ocr"), N.date_problem(c).alias("date")).collect()
+    assert [r.a for r in got] == ["", "", "", "()"] and all(r.b == "" and r.bad and not r.chinese and not r.firm for r in got)
+    assert got[0].ocr == "" and got[1].date == "empty" and got[2].date == "no date"
+    text = spark.createDataFrame([("A\u030a  b",), ("甲 方 ( 乙 ) c",)], "raw string")
+    assert [tuple(r) for r in text.select(N.normal_text(c), N.compact_cjk(c)).collect()] == [("\u00c5 b", "A\u030a  b"), ("甲 方 ( 乙 ) c", "甲方(乙) c")]
