@@ -1,11 +1,16 @@
-"""The corpus pipeline: documents without toxic ones, one of each group of near copies, repeated passages and test items taken out, mixed to targets."""
+"""The corpus pipeline: documents without toxic ones, one of each group of near copies, repeated passages and test items taken out, mixed to targets.
+
+Defined cases: rows with a null, empty or blank text are no toxic ones (unless the classifier's bias says so), no copies and no leaks, so all stages keep them, and the mix takes nothing of
+them; of rows alike in all columns one stays, of rows with equal texts the one with the least id (null ids count as largest, rows with equal ids by a hash of their columns); very long texts are read whole; a row that
+loses all its words to repeats goes; further columns pass through unchanged, whatever their names, up to the mix; an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from dossier.llm import decontamination, jaccard_join, mixing, substring_dedup, toxicity
-from dossier.llm.common import stored, table
+from dossier.llm.common import discard, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,14 +46,15 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: Trained models and shingle components can't be said in SQL; tests hold run() against brute-force versions.
+#: Trained models and shingle components can't be said in SQL; tests/llm/test_pipeline.py holds every stage, and run(), against plain versions (the mix against its SQL).
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for n, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if n < len(STAGES) - 1:
             docs = stored(docs, f"pipeline-{name.replace(' ', '-')}")
+        discard(before)  # the mix, too, has written what it needs
     return docs
