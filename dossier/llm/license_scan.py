@@ -31,7 +31,7 @@ from .common import least
 
 # How notices of each family are usually worded.
 TEMPLATES = {
-    "AGPL": ["licensed under the GNU Affero General Public License version 3", "This program is free software you can redistribute it and or modify it under the terms of the GNU Affero General Public License"],
+    "AGPL": ["licensed under the GNU Affero General Public License version 3", "This program is free software you can redistribute it and or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"],
     "Apache": ["Licensed under the Apache License Version 2.0", "you may not use this file except in compliance with the License You may obtain a copy of the License at http www.apache.org licenses LICENSE-2.0", "released under the terms of the Apache License 2.0"],
     "BSD": ["licensed under the BSD 3-Clause License", "released under the BSD license", "Redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
     "CC-BY": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", "available under the Creative Commons Attribution license"],
@@ -39,7 +39,7 @@ TEMPLATES = {
     "CC-BY-SA": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "Text is available under the Creative Commons Attribution-ShareAlike License"],
     "CC0": ["released under CC0 1.0 Universal public domain dedication", "To the extent possible under law the author has waived all copyright and related rights to this work", "dedicated to the public domain under CC0"],
     "GPL": ["This work is licensed under the GNU General Public License version 3", "This program is free software you can redistribute it and or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "released under the GPL license version 2 or later"],
-    "LGPL": ["licensed under the GNU Lesser General Public License version 2.1", "you can redistribute it and or modify it under the terms of the GNU Lesser General Public License"],
+    "LGPL": ["licensed under the GNU Lesser General Public License version 2.1", "This library is free software you can redistribute it and or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
     "MIT": ["Released under the MIT License", "licensed under the MIT license", "Permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"],
     "MPL": ["This Source Code Form is subject to the terms of the Mozilla Public License v 2.0", "licensed under the Mozilla Public License 2.0"],
     "Proprietary": ["All rights reserved no part of this work may be reproduced without prior written permission", "Copyright all rights reserved unauthorized copying of this file is strictly prohibited"],
