@@ -146,7 +146,7 @@ def normalize_amount(text: Column) -> Column:
     fixed = F.trim(F.translate(ocr_digits(s), ",，", ""))
     dotted = F.concat(F.regexp_extract(fixed, r"^([0-9]{1,3})\.([0-9]{3})$", 1), F.regexp_extract(fixed, r"^([0-9]{1,3})\.([0-9]{3})$", 2)).try_cast("double")
     plain = group(fixed, r"([0-9]+(?:\.[0-9]+)?)").try_cast("double")
-    return F.coalesce(F.translate(wan, ",，", "").try_cast("double") * 10000, chinese_number(s), F.when(dotted >= 500, dotted), plain)
+    return F.coalesce(F.translate(wan, ",，", "").try_cast("double") * 10000, F.when(s.rlike("[" + "".join([*CHINESE_DIGITS, *CHINESE_UNITS]) + "]"), chinese_number(s)), F.when(dotted >= 500, dotted), plain)
 
 
 def amount_problem(value: Column, field: Column, ranges: dict = rules.AMOUNT_RANGES) -> Column:

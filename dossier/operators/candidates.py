@@ -25,7 +25,7 @@ def label(context: Column, table: list[tuple[str, str]], otherwise: str) -> Colu
 
 def amounts(texts: DataFrame) -> DataFrame:
     """doc_id, line_no, value, label and score of every amount of 100 or more; noise lines, addresses and references are skipped."""
-    rows = lines(texts).where(~F.col("line").rlike(rules.NOISE_LINE))
+    rows = lines(texts).where(F.col("line").rlike("[0-9][0-9OoIlSB,，. ]{2}") & ~F.col("line").rlike(rules.NOISE_LINE))
     found = F.regexp_extract_all("line", F.lit(r"[¥￥$€£]?\s*([0-9][0-9,，Oo Il]*+(?:\.[0-9]+)?+)(?!\s{0,3}[号室楼层栋]|\s*/[Vv])"), 1)
     each = rows.select("doc_id", "line_no", "line", "context", F.posexplode(found).alias("n", "raw")).withColumn("value", C.normalize_amount(F.col("raw")))
     bare = (F.length(F.trim("line")) < 15) & ~F.col("line").rlike("[元年月日￥¥$€£]|CNY|USD|EUR|RMB")
@@ -96,3 +96,18 @@ def evidence_amount(text: Column, low: float = 100, high: float = 1e8) -> Column
     """The largest whole part of the numbers in a text that lie within bounds."""
     numbers = F.transform(F.regexp_extract_all(text, F.lit(r"([0-9,]+(?:\.[0-9]+)?)"), 1), lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("double"))
     return F.array_max(F.transform(F.filter(numbers, lambda v: v.between(low, high)), lambda v: F.floor(v).cast("long")))
+
+
+#: Field of a document of unknown type by kind of candidate, and what its score counts for.
+UNKNOWN_FIELDS = [("company", "detected_company", 0.5), ("date", "sign_date", 0.5), ("amount", "contract_total_amount", 0.4)]
+
+
+def unknown_fields(documents: DataFrame, candidates: DataFrame) -> DataFrame:
+    """doc_id, field, value and confidence of documents (doc_id) of unknown type: of each kind the candidate (doc_id, kind, pos, value, score) of the largest score, the first by pos on ties, and
+    a flag that the type is unknown."""
+    best = candidates.groupBy("doc_id", "kind").agg(F.min_by(F.struct("value", "score"), F.struct(-F.col("score"), "pos")).alias("b"))
+    field = C.first_of([(F.col("kind") == k, name) for k, name, _ in UNKNOWN_FIELDS])
+    share = C.first_of([(F.col("kind") == k, w) for k, _, w in UNKNOWN_FIELDS])
+    rows = best.select("doc_id", field.alias("field"), F.col("b.value").alias("value"), F.round(F.col("b.score") * share, 6).alias("confidence")).where("field is not null")
+    flags = documents.select("doc_id", F.lit("_flag_unknown_type").alias("field"), F.lit("UNKNOWN_DOC_TYPE").alias("value"), F.lit(1.0).alias("confidence"))
+    return rows.unionByName(flags)

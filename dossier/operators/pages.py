@@ -57,16 +57,6 @@ def leading_text(pages: DataFrame, n: int = 3) -> DataFrame:
     return few.select("doc_id", F.array_join(F.transform("t", lambda x: x["text"]), "\n").alias("text"))
 
 
-def doc_type_scores(text: Column) -> Column:
-    """Array of (type, score): how many of a type's keywords the text holds, types in the order of the rules. Short upper-case keywords must stand alone."""
-    alone = lambda w: len(w) <= 3 and w.isascii() and w.isupper()
-    texts = lambda words: F.array(*map(F.lit, words)).cast("array<string>")
-    table = F.array(*[F.struct(F.lit(t).alias("type"), texts([w.lower() for w in words if not alone(w)]).alias("within"), texts([f"(?:^|[^0-9a-z_]){w.lower()}(?:$|[^0-9a-z_])" for w in words if alone(w)]).alias("alone")) for t, words in rules.TYPE_WORDS])
-    low = F.lower(F.coalesce(text, F.lit("")))
-    score = lambda r: F.size(F.filter(r["within"], lambda w: low.contains(w))) + F.size(F.filter(r["alone"], lambda w: F.rlike(low, w)))
-    return F.transform(table, lambda r: F.struct(r["type"].alias("type"), score(r).alias("score")))
-
-
 def _let(value: Column, body) -> Column:
     """body(value), with the value worked out once."""
     return F.transform(F.array(value), body)[0]
@@ -74,7 +64,7 @@ def _let(value: Column, body) -> Column:
 
 def _holds(low: Column, word: str) -> Column:
     if len(word) <= 3 and word.isascii() and word.isupper():
-        return F.rlike(low, F.lit(f"(?:^|[^0-9a-z_]){word.lower()}(?:$|[^0-9a-z_])"))
+        return low.contains(word.lower()) & F.rlike(low, F.lit(f"(?:^|[^0-9a-z_]){word.lower()}(?:$|[^0-9a-z_])"))
     return low.contains(word.lower())
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from dossier import rules
 from dossier.functions import columns as C
+from dossier.functions import names as N
 from dossier.operators import resolve
 
 
@@ -122,6 +123,16 @@ def without_prefix(name: Column, prefixes: list[str] = rules.NAME_PREFIXES) -> C
     return F.trim(F.regexp_replace(name, f"^(?:{either})", ""))
 
 
+def company_from_name(df: DataFrame, named: Column, vendors: list[str] = rules.VENDORS) -> DataFrame:
+    """The company that the file names, in place of a vendor, of words that are no name, or of an English name if the other isn't; the summary follows. reason says which."""
+    company = F.trim(F.coalesce("detected_company", F.lit("")))
+    wrong = N.is_vendor(F.lower(company), vendors) | N.is_vendor_shaped(company) | company.rlike(rules.NO_COMPANY)
+    reason = C.first_of([((company != "") & wrong, F.when(named != company, "VENDOR_OR_NOISE")), (C.mostly_english(company, 0.65, 1), F.when(~C.mostly_english(named, 0.65, 1), "EN_TO_CN"))])
+    rows = df.withColumns({"reason": F.when(named.isNotNull(), reason), "__old": company, "__new": named})
+    summary = F.when(F.col("reason").isNotNull() & F.col("summary").contains(F.col("__old")), F.replace(F.col("summary"), F.col("__old"), F.col("__new"))).otherwise(F.col("summary"))
+    return rows.withColumns({"summary": summary, "detected_company": F.when(F.col("reason").isNotNull(), F.col("__new")).otherwise(F.col("detected_company"))}).drop("__old", "__new")
+
+
 def company_by_group(df: DataFrame, named: Column) -> DataFrame:
     """The company that the file names where that holds the group's name (without 集团, two characters or more) and the ledger's doesn't."""
     token = F.trim(F.replace(F.coalesce("detected_group", F.lit("")), F.lit("集团"), F.lit("")))

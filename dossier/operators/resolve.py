@@ -29,6 +29,20 @@ def map_to_group(names: DataFrame, mapping: DataFrame) -> DataFrame:
     return names.join(hit, "name", "left")
 
 
+def map_changed(names: DataFrame, mapping: DataFrame) -> DataFrame:
+    """As map_to_group(), with null where the group is called like the name itself."""
+    return map_to_group(names, mapping).withColumn("group_name", F.nullif("group_name", "name"))
+
+
+def checked_mapping(mapping: DataFrame, required: tuple[str, ...] = ("name", "group_name")) -> DataFrame:
+    """A mapping with pos and all columns, rows without name or group left out; a missing required column is an error, a missing short name is blank."""
+    lacking = [c for c in required if c not in mapping.columns]
+    if lacking:
+        raise ValueError(f"the mapping lacks {', '.join(lacking)}")
+    short = F.col("short_name") if "short_name" in mapping.columns else F.lit(None).cast("string")
+    return mapping.withColumn("short_name", short).where(C.blank(F.col("name")).isNotNull() & C.blank(F.col("group_name")).isNotNull())
+
+
 def _grams(text: Column) -> Column:
     n = F.greatest(F.length(text) - LENGTH + 1, F.lit(0))
     return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(text, i, LENGTH)))).otherwise(F.array().cast("array<string>"))

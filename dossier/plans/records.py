@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from dossier import rules
 from dossier.functions import columns as C
-from dossier.operators import candidates, pages, quality, repair, report, sinks
+from dossier.functions import dates as D
+from dossier.operators import candidates, pages, quality, repair, report, resolve, sinks
 from dossier.plans.names import _rows
-from dossier.plans.queries import _AUDIT, _PACKETS, _SIM, LEDGER, TYPED, _report_with, _typed_pages, has, ledger, query, table
+from dossier.plans.queries import _ASKED, _AUDIT, _ENGLISH, _PACKETS, _SIM, LEDGER, ORACLE, TYPED, _mapping, _report_with, _typed_pages, has, ledger, query, table
 from dossier.sources import ledger as source
 
 # -- exports ----------------------------------------------------------------------------------------------------------
@@ -223,3 +224,50 @@ def summary_text(spark, d):
 def nested_field(spark, d):
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 3 == 0, "top").otherwise("").alias("flat"), F.when(F.col("c_custkey") % 3 == 1, F.struct(F.col("c_name").alias("value"))).alias("nested"))
     return c.select("id", source.field_of(F.col("flat"), F.col("nested")).alias("value"))
+
+
+# -- dates and years --------------------------------------------------------------------------------------------------
+
+_DATED = """SELECT o_orderkey AS id, CASE o_orderkey % 7 WHEN 0 THEN concat('签署日期：', CAST(CAST(o_orderdate AS date) AS string), ' 合同') WHEN 1 THEN concat('始 20', CAST(o_custkey % 60 + 10 AS string), '年', CAST(o_custkey % 14 AS string), '月', CAST(o_custkey % 33 AS string), '日 日期: 2009.1.', CAST(o_custkey % 40 AS string)) WHEN 2 THEN concat('DATE: 2011/', CAST(o_custkey % 13 AS string), '/5') WHEN 3 THEN concat('year 2040 then 20', CAST(o_custkey % 45 + 10 AS string))
+WHEN 4 THEN concat('日期：20', CAST(o_custkey % 60 + 10 AS string), '-3-4 签订: ', CAST(CAST(o_orderdate AS date) AS string)) WHEN 5 THEN CAST(CAST(o_orderdate AS date) AS string) ELSE '' END AS text, CASE o_orderkey % 4 WHEN 0 THEN '1998-5-6.pdf' WHEN 1 THEN concat('a20', CAST(o_custkey % 50 + 10 AS string), '.pdf') ELSE 'x.pdf' END AS file_name, concat('in/', CAST(1990 + o_custkey % 60 AS string), '/20', CAST(o_custkey % 40 + 10 AS string), '/x2001/f.pdf') AS path FROM orders"""
+_REST = "[.\\-/年](?:0?[1-9]|1[0-2])[.\\-/月](?:0?[1-9]|[12][0-9]|3[01])"
+_PLAIN = _REST.replace("年", "").replace("月", "")
+_WHOLE = "(file_name || chr(10) || text)"
+_FIRST_DATE = f"coalesce(regexp_extract_all({_WHOLE}, '20[0-9]{{2}}{_REST}日?')[1], regexp_extract_all({_WHOLE}, '19[0-9]{{2}}{_REST}日?')[1], '')"
+
+
+@query(f"""WITH d AS ({_DATED}), f AS (SELECT *, {_FIRST_DATE} AS first FROM d) SELECT id, first, coalesce(nullif(regexp_extract(text, '签[字署订][日期]*[：:]\\s*(20[0-9]{{2}}{_REST}日?)', 1), ''), nullif(regexp_extract(text, '日期[：:]\\s*(20[0-9]{{2}}{_REST}日?)', 1), ''), nullif(regexp_extract(text, '(?i)Date[：:]\\s*(20[0-9]{{2}}{_PLAIN})', 1), ''), first) AS signed,
+coalesce(CASE WHEN TRY_CAST(substr(first, 1, 4) AS INT) BETWEEN 2000 AND 2035 THEN substr(first, 1, 4) END, list_filter(regexp_extract_all({_WHOLE}, '(?:19|20)[0-9]{{2}}'), lambda y: CAST(y AS INT) BETWEEN 2000 AND 2035)[1], '') AS year,
+coalesce(list_filter(string_split(path, '/'), lambda p: regexp_matches(p, '^(?:19|20)[0-9]{{2}}$') AND TRY_CAST(p AS INT) BETWEEN 2000 AND 2035)[1], '') AS path_year, CASE WHEN id % 7 = 5 THEN strftime(TRY_CAST(text AS DATE), '%Y-%m-%d') ELSE text END AS iso FROM f""")
+def legacy_dates(spark, d):
+    text, name = F.col("text"), F.col("file_name")
+    return _rows(spark, d, _DATED, a="orders").select("id", D.first_date(text, name).alias("first"), D.signing_date(text, name).alias("signed"), D.legacy_year(text, name).alias("year"), D.path_year(F.col("path")).alias("path_year"), D.iso_or_text(text).alias("iso"))
+
+
+_SCORED = "SELECT o_orderkey % 3000 AS doc_id, CASE o_orderkey % 4 WHEN 0 THEN 'company' WHEN 1 THEN 'date' WHEN 2 THEN 'amount' ELSE 'tax_rate' END AS kind, o_orderkey AS pos, concat('v', CAST(o_custkey AS string)) AS value, CAST(o_custkey % 10 AS double) / 10.0 AS score FROM orders"
+
+
+@query(f"""WITH c AS ({_SCORED}), b AS (SELECT doc_id, kind, arg_min({{'v': value, 's': score}}, {{'a': -score, 'b': pos}}) AS b FROM c GROUP BY 1, 2)
+SELECT doc_id, CASE kind WHEN 'company' THEN 'detected_company' WHEN 'date' THEN 'sign_date' ELSE 'contract_total_amount' END AS field, b.v AS value, round(b.s * CASE kind WHEN 'amount' THEN 0.4 ELSE 0.5 END, 6)::DOUBLE AS confidence FROM b WHERE kind <> 'tax_rate' UNION ALL SELECT DISTINCT doc_id, '_flag_unknown_type', 'UNKNOWN_DOC_TYPE', 1.0 FROM c""")
+def unknown_fields(spark, d):
+    rows = _rows(spark, d, _SCORED, a="orders")
+    return candidates.unknown_fields(rows.select("doc_id").distinct(), rows)
+
+
+_SAID = "CASE WHEN pos % 4 = 0 THEN concat('示例', CAST(pos % 100 AS string), '有限公司') ELSE nullif(regexp_extract(file_name, '_([^_]+)_', 1), '') END"
+_VENDOR_SQL = has("replace(lower(c), ' ', '')", [v.lower().replace(" ", "") for v in rules.VENDORS])
+_EN = _ENGLISH.replace("0.7", "0.65").replace(">= 3", ">= 1")
+
+
+@query(f"""WITH {LEDGER}, x AS (SELECT *, trim(coalesce(detected_company, '')) AS c, {_SAID} AS named FROM ledger), y AS (SELECT *, CASE WHEN c <> '' AND ({_VENDOR_SQL} OR regexp_matches(c, '(?i)^(?:上海|Shanghai)[^，,。]{{1,6}}[升维纬禾茵开达][^，,。]{{0,10}}(?:信息|软件|科技|技术|咨询|Information|Software)') OR regexp_matches(c, '{rules.NO_COMPANY}')) THEN CASE WHEN named <> c THEN 'VENDOR_OR_NOISE' END
+WHEN {_EN.format('c')} THEN CASE WHEN NOT {_EN.format('trim(named)')} THEN 'EN_TO_CN' END END AS r FROM x), z AS (SELECT *, CASE WHEN named IS NOT NULL THEN r END AS reason FROM y)
+SELECT pos, reason, CASE WHEN reason IS NOT NULL THEN named ELSE detected_company END AS company, CASE WHEN reason IS NOT NULL AND contains(summary, c) THEN replace(summary, c, named) ELSE summary END AS summary FROM z""")
+def company_from_name(spark, d):
+    named = F.when(F.col("pos") % 4 == 0, F.concat(F.lit("示例"), (F.col("pos") % 100).cast("string"), F.lit("有限公司"))).otherwise(C.group(F.col("file_name"), "_([^_]+)_"))
+    return repair.company_from_name(ledger(spark, d), named).select("pos", "reason", F.col("detected_company").alias("company"), "summary")
+
+
+@query(f"SELECT name, CASE WHEN group_name <> name THEN group_name END AS group_name FROM ({ORACLE['map_cascade']})")
+def map_changed(spark, d):
+    asked = spark.sql(_ASKED.replace("FROM supplier", "FROM {supplier}"), supplier=table(spark, d, "supplier"))
+    return resolve.map_changed(asked, resolve.checked_mapping(_mapping(spark, d)))

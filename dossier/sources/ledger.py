@@ -17,7 +17,10 @@ def read_jsonl(spark: SparkSession, path: str, drop_malformed: bool = True) -> D
 
 
 def scan_files(spark: SparkSession, path: str, glob: str = "*.[pP][dD][fF]") -> DataFrame:
-    """path, file_name, size and md5 of the files of a folder and those below it."""
+    """path, file_name, size and md5 of the files of a folder and those below it; none if there is no such folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], "path string, file_name string, size long, file_md5 string")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("size"), F.md5("content").alias("file_md5"))
 

@@ -125,6 +125,9 @@ def test_sources_and_sinks(spark, tmp_path):
     (folder / "c.txt").write_bytes(b"no")
     got = source.scan_files(spark, str(folder)).collect()
     assert sorted(r.file_name for r in got) == ["a.pdf", "b.PDF"] and len({r.file_md5 for r in got}) == 1
+    assert source.scan_files(spark, str(tmp_path / "nowhere")).count() == 0
+    with pytest.raises(ValueError, match="group_name"):
+        resolve.checked_mapping(spark.createDataFrame([(1, "a")], "pos long, name string"))
     lines = [json.dumps({"pos": 1, "file_name": "x.pdf", "doc_type": "SRF", "detected_group": "g/h", "contract_total_amount": 5.0}), "{broken"]
     (tmp_path / "ledger.jsonl").write_text("\n".join(lines))
     ledger = source.read_jsonl(spark, str(tmp_path / "ledger.jsonl"))
