@@ -203,10 +203,11 @@ def repair_date(text: Column) -> Column:
 
 def report_year(sign: Column, effective: Column, start: Column, file_name: Column) -> Column:
     """Year of signing, else of effect, else of the service's start, else in the file name; the start's if over 2 years after signing."""
-    years = [F.year(parse_date(x)) for x in (sign, effective, start)]
-    years = [F.when(y.between(1990, 2040), y) for y in years]
     named = group(file_name, "(20[0-9]{2}|19[0-9]{2})").try_cast("int")
-    return F.when(years[2] - years[0] > 2, years[2]).otherwise(F.coalesce(*years, F.when(named.between(1990, 2040), named)))
+    parsed = F.transform(F.array(sign, effective, start), lambda x: F.year(parse_date(x)))
+    years = F.transform(F.concat(parsed, F.array(named)), lambda y: F.when(y.between(1990, 2040), y))
+    # a list of one, so that each date is parsed once
+    return F.transform(F.array(years), lambda y: F.when(y[2] - y[0] > 2, y[2]).otherwise(F.coalesce(y[0], y[1], y[2], y[3])))[0]
 
 
 def period_of(file_name: Column) -> Column:

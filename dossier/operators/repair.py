@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -73,31 +74,43 @@ def company_from_file(df: DataFrame) -> DataFrame:
 def unique_names(df: DataFrame) -> DataFrame:
     """Target names without clashes: by pos, a file whose name is taken in its folder gets _1, _2 and so on, whichever is free first.
 
-    Only names of one root (the stem without numbers at its end) can clash, so folders are split by root, and where a name repeats the part is worked through in order.
+    Only names of one root (the stem without numbers at its end) can clash, so folders are split by root. Where a root has one name, its files are numbered by a window; only roots with
+    several names, one of them repeated, are worked through in order, as a sorted stream. A null name stays null.
     """
     parts = r"^(.*?)(?:_[0-9]+)*(\.[^.]*)?$"
     rooted = df.withColumn("__root", F.concat_ws("\n", F.regexp_extract("file_name", parts, 1), F.regexp_extract("file_name", parts, 2)))
-    same = F.count("*").over(W.partitionBy("folder", "file_name"))
-    rooted = rooted.withColumn("__same", same).withColumn("__clash", F.max("__same").over(W.partitionBy("folder", "__root")) > 1).drop("__same")
-    free = rooted.where(~F.col("__clash")).select(*df.columns, F.col("file_name").alias("target"))
-
-    def run(rows):
-        taken, after, out = set(), {}, []
-        rows = rows.sort_values("pos", kind="stable")
-        for name in rows["file_name"]:
-            stem, dot, ending = name.rpartition(".")
-            stem, ending = (stem, dot + ending) if dot else (name, "")
-            target, n = name, after.get(name, 0)
-            while target in taken:
-                n += 1
-                target = f"{stem}_{n}{ending}"
-            after[name] = n
-            taken.add(target)
-            out.append(target)
-        return rows.drop(columns=["__root", "__clash"]).assign(target=out)
+    same, root = W.partitionBy("folder", "file_name"), W.partitionBy("folder", "__root")
+    rooted = rooted.withColumns({"__same": F.count("*").over(same), "__nth": F.row_number().over(same.orderBy("pos")) - 1})
+    several = (F.max("__same").over(root) > 1) & (F.min("file_name").over(root) != F.max("file_name").over(root))
+    rooted = rooted.withColumn("__clash", F.coalesce(several, F.lit(False)))
+    dot = F.length("file_name") - F.length(F.substring_index("file_name", ".", -1))
+    numbered = F.when(dot > 0, F.concat(F.expr("left(file_name, length(file_name) - length(substring_index(file_name, '.', -1)) - 1)"), F.lit("_"), F.col("__nth"), F.lit("."), F.substring_index("file_name", ".", -1)))
+    target = F.when(F.col("__nth") == 0, F.col("file_name")).otherwise(F.coalesce(numbered, F.concat("file_name", F.lit("_"), "__nth")))
+    free = rooted.where(~F.col("__clash")).select(*df.columns, target.alias("target"))
+
+    names = df.columns
+
+    def run(batches):
+        at, taken, after = None, set(), {}
+        for batch in batches:
+            out = []
+            for key, name in zip(zip(batch["folder"].to_pylist(), batch["__root"].to_pylist(), strict=True), batch["file_name"].to_pylist(), strict=True):
+                if key != at:
+                    at, taken, after = key, set(), {}
+                stem, dot, ending = name.rpartition(".")
+                stem, ending = (stem, dot + ending) if dot else (name, "")
+                target, n = name, after.get(name, 0)
+                while target in taken:
+                    n += 1
+                    target = f"{stem}_{n}{ending}"
+                after[name] = n
+                taken.add(target)
+                out.append(target)
+            yield pa.record_batch([*(batch[c] for c in names), pa.array(out, pa.string())], names=[*names, "target"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return free.unionByName(rooted.where("__clash").groupBy("folder", "__root").applyInPandas(run, f"{kinds}, target string"))
+    ordered = rooted.where("__clash").select(*df.columns, "__root").repartition("folder", "__root").sortWithinPartitions("folder", "__root", "pos")
+    return free.unionByName(ordered.mapInArrow(run, f"{kinds}, target string"))
 
 
 def exact_fixes(df: DataFrame, fixes: DataFrame) -> DataFrame:
