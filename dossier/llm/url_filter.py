@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import least
+from .common import least_values
 
 # Words of host names that weak labels take for unwanted.
 UNWANTED = ["casino", "bet", "bets", "betting", "poker", "pills", "pharma", "viagra", "adult", "porn", "xxx", "sex", "escort", "spam", "ads", "adserver", "track", "tracker", "clickbait", "warez", "crack", "keygen", "phishing", "malware"]
@@ -182,13 +182,13 @@ def _split(binned, g, h, cuts, p: Params) -> tuple[int, int] | None:
 
 
 def fit(labelled: DataFrame, params: Params | None = None) -> Model:
-    """labelled: (url, blocked). Of each class the params.max_labelled rows with the least hashes, weighted to the class's share of all."""
+    """labelled: (url, blocked). Of each class the params.max_labelled distinct URLs with the least hashes, weighted to the class's share of all."""
     p = params or Params()
     rows = labelled.select(F.col("url").cast("string").alias("url"), F.col("blocked").cast("int").alias("blocked")).where("url is not null and blocked is not null")
     n = {r["blocked"]: r["n"] for r in rows.groupBy("blocked").agg(F.count("*").alias("n")).collect()}
     label: dict[str, int] = {}
     for c in sorted(n):
-        label |= {r.url: c for r in least(rows.where(F.col("blocked") == c), p.max_labelled, "url").collect()}
+        label |= {r.url: c for r in least_values(rows.where(F.col("blocked") == c), p.max_labelled, "url").collect()}
     urls = sorted(label)
     taken = Counter(label.values())
     share = {c: n[c] / taken[c] for c in taken}

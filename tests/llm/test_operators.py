@@ -453,6 +453,18 @@ def test_samples_are_the_least_places(spark):
     assert common.bound(10**10, 600, 2**62) == 2**62 + 1
 
 
+def test_samples_of_values_count_each_once(spark):
+    rows = frame(spark, [(f"u{i}",) for i in range(3000)] + [("hot",)] * 3000, "url string")
+    place = {r.url: r.p for r in rows.select("url", common.place_of("url").alias("p")).distinct().collect()}
+    want = sorted(place, key=lambda u: (place[u], u))
+    for k in (1, 50, 400, 9000):
+        assert [r.url for r in common.least_values(rows.repartition(5), k, "url").collect()] == want[:k]
+    least = min(place, key=place.get)  # the value of the least place, in most rows
+    hot = rows.unionByName(frame(spark, [(least,)] * 9000, "url string"))
+    assert [r.url for r in common.least_values(hot, 50, "url").collect()] == want[:50]
+    assert common.least_values(rows.limit(0), 5, "url").collect() == []
+
+
 def test_member_tables_hold_all_their_keys(spark):
     keys = spark.range(5000).select(F.xxhash64("id").alias("k1"), F.xxhash64("id", F.lit(1)).alias("k2"))
     other = spark.range(5000, 25000).select(F.xxhash64("id").alias("k1"), F.xxhash64("id", F.lit(1)).alias("k2"))
