@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on: its arrays stay in a processor's cache.
 CHUNK_BYTES = 1 << 17
+#: Bytes of an Arrow batch, about; a longer row is a batch by itself.
+BATCH_LIMIT, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**64, 256, dtype=np.uint64) | np.uint64(1)
@@ -40,12 +42,19 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches that Python workers get by their bytes, unless the session does. Spark's default counts rows only, so 10,000 long texts would be one batch."""
+    if spark.conf.get(BATCH_LIMIT, None) is None:
+        spark.conf.set(BATCH_LIMIT, str(ARROW_BYTES))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again, so that lost executors cost no more than one step.
 
     What discard() hasn't deleted before goes when the application ends.
     """
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -95,6 +104,7 @@ def least_values(df: DataFrame, k: int, key: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

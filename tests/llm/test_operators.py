@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -465,6 +466,24 @@ def test_samples_of_values_count_each_once(spark):
     assert common.least_values(rows.limit(0), 5, "url").collect() == []
 
 
+def test_arrow_batches_are_bounded_by_bytes(spark):
+    common.bound_batches(spark)
+    limit = spark.conf.get(common.BATCH_LIMIT)
+    assert int(limit) == common.ARROW_BYTES
+    texts = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("word "), 2000).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.nbytes])], ["n"])
+
+    got = [r.n for r in texts.mapInArrow(sizes, "n long").collect()]
+    assert len(got) >= 8 and max(got) <= 2 * common.ARROW_BYTES
+    spark.conf.set(common.BATCH_LIMIT, "1000000")  # what a session says stays
+    common.bound_batches(spark)
+    assert spark.conf.get(common.BATCH_LIMIT) == "1000000"
+    spark.conf.set(common.BATCH_LIMIT, limit)
+
+
 def test_member_tables_hold_all_their_keys(spark):
     keys = spark.range(5000).select(F.xxhash64("id").alias("k1"), F.xxhash64("id", F.lit(1)).alias("k2"))
     other = spark.range(5000, 25000).select(F.xxhash64("id").alias("k1"), F.xxhash64("id", F.lit(1)).alias("k2"))
