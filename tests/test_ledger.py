@@ -110,6 +110,8 @@ def test_names_that_clash_and_passes(spark):
         want.append(target)
     rows = spark.createDataFrame([(i, "f", x) for i, x in enumerate(every)] + [(99, "g", "a.pdf")], "pos long, folder string, file_name string")
     assert [r.target for r in repair.unique_names(rows).orderBy("pos").collect()] == [*want, "a.pdf"]
+    rows = spark.createDataFrame([(1, "f", None), (2, "f", None), (3, None, "a.pdf"), (4, None, "a.pdf")], "pos long, folder string, file_name string")
+    assert [r.target for r in repair.unique_names(rows).orderBy("pos").collect()] == [None, None, "a.pdf", "a_1.pdf"]
     table = spark.createDataFrame([(0, "ab", "short"), (1, "abc", "long"), (2, "xbc", "same")], "pos long, pattern string, target string")
     asked = spark.createDataFrame([("abc",), ("ab",), ("zabc xbc",), (None,)], "t string")
     assert {r.t: r.target for r in repair.rule_match(asked, "t", table).collect()} == {"abc": "long", "ab": "short", "zabc xbc": "long", None: None}
