@@ -14,16 +14,16 @@ lesser phrase in the order of its UTF-8 bytes.
 from __future__ import annotations
 
 import hashlib
-import re
 import zlib
 from itertools import islice
+from operator import itemgetter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import as_bytes, chunks, discard, hash_words, mix, shuffle_parts, stored
+from .common import as_bytes, chunks, discard, mix, shuffle_parts, stored
 
 #: Cells of each of the sketch's two rows, and of a block that is added at a time.
 CELLS, BLOCK = 1 << 23, 1 << 14
@@ -32,28 +32,60 @@ AUTOMATA_BYTES = 4 << 20
 #: Phrases a task remembers having written.
 MOST_WRITTEN = 1 << 20
 
+#: Bytes of pieces that one step works on: its arrays stay in a processor's cache.
+STEP = 1 << 17
+
+#: To lower case, a space for a tab and a line feed for every end of a piece.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
-_BREAKS = np.zeros(256, bool)
-_BREAKS[[10, 32]] = True
+_END = b"\n"
+_RNG = np.random.default_rng(20250711)
+_VALUES = _RNG.integers(1, 2**64, 256, dtype=np.uint64) | np.uint64(1)
+_VALUES[[10, 32]] = 0
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
+_P = 0x9E3779B97F4A7C15
+#: Powers of an odd number and of its inverse, from the zeroth.
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _power_tables(n: int) -> list[np.ndarray]:
+    if len(_powers[0]) < n:
+        n = max(n, 2 * STEP)
+        _powers[:] = [np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, x, np.uint64))]) for x in (_P, pow(_P, -1, 1 << 64))]
+    return _powers
 
 
 def _seed(lang: str) -> np.uint64:
     return np.uint64(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little"))
 
 
-class Words:
-    """The words of folded texts of one language: where they stand, which piece they are in, and hashes of their runs."""
+def steps(texts: list[bytes]):
+    """Folded texts, joined, in parts of about STEP bytes that end where pieces do."""
+    for a, b in chunks(texts, STEP):
+        whole, at = _END.join(texts[a:b]), 0
+        while len(whole) - at > 2 * STEP and (end := whole.find(_END, at + STEP)) >= 0:
+            yield whole[at:end]
+            at = end + 1
+        yield whole[at:]
+
 
-    def __init__(self, texts: list[bytes], lang: str):
-        self.text = b"\n".join(texts)
-        at = np.frombuffer(self.text, np.uint8)
-        gap = np.concatenate([[True], _BREAKS[at], [True]])
+class Words:
+    """The words of folded pieces of one language: where they stand, which piece each is in, and hashes of their runs."""
+
+    def __init__(self, text: bytes, lang: str):
+        self.text, self.seed = text, _seed(lang)
+        at = np.frombuffer(text, np.uint8)
+        values = _VALUES.take(at)
+        gap = np.ones(len(at) + 2, bool)
+        np.equal(values, 0, out=gap[1:-1])
         edge = np.flatnonzero(gap[1:] != gap[:-1])
         self.starts, self.ends = edge[0::2], edge[1::2]
-        self.piece = np.cumsum(at == 10)[self.starts] if len(self.starts) else self.starts
-        self.hashes = hash_words([self.text], breaks=_BREAKS)[0] if len(self.starts) else np.zeros(0, np.uint64)
-        self.seed = _seed(lang)
+        if len(self.starts):
+            self.piece = np.searchsorted(np.flatnonzero(at == 10), self.starts)
+            power, inverse = _power_tables(len(at))
+            values *= power[: len(at)]
+            self.hashes = mix(np.add.reduceat(values, self.starts) * inverse[self.starts])
+        else:
+            self.piece, self.hashes = self.starts, np.zeros(0, np.uint64)
 
     def runs(self, longest: int):
         """(k, where each run of k words starts, its hash) for k from 1; runs lie within a piece."""
@@ -79,11 +111,11 @@ def folded(batch) -> dict[str, list[bytes]]:
 
 
 def worded(batches):
-    """(lang, Words) of all batches, in chunks that stay in a processor's cache."""
+    """(lang, Words) of all batches, step by step."""
     for batch in batches:
         for lang, texts in folded(batch).items():
-            for a, b in chunks(texts):
-                yield lang, Words(texts[a:b], lang)
+            for text in steps(texts):
+                yield lang, Words(text, lang)
 
 
 def cells(hashes: np.ndarray, n: int) -> list[np.ndarray]:
@@ -194,12 +226,12 @@ def candidates(texts: DataFrame, least: int, longest: int, n: int = CELLS) -> Da
     return texts.mapInArrow(write, "lang string, phrase string, words int").distinct()
 
 
-_PIECE_ENDS, _SPACES = re.compile(rb" *\n[ \n]*"), re.compile(rb"  +")
-
-
-def guarded(text: bytes) -> str:
-    """A folded text with one space before and after each word."""
-    return (b" " + _SPACES.sub(b" ", _PIECE_ENDS.sub(b" \n ", text)) + b" ").decode()
+def guarded(text: bytes) -> bytes:
+    """Folded pieces with one space before and after each word, and a line feed between pieces."""
+    text = b" " + text.replace(_END, b" \n ") + b" "
+    while b"  " in text:
+        text = text.replace(b"  ", b" ")
+    return text
 
 
 def count_matches(texts: DataFrame, phrases: dict[str, list[str]], with_words: bool) -> DataFrame:
@@ -219,14 +251,13 @@ def count_matches(texts: DataFrame, phrases: dict[str, list[str]], with_words: b
                         a.add_word(f" {p} ", i)
                     a.make_automaton()
                     automata[lang], sums[lang] = a, np.zeros(len(shared.value[lang]), np.int64)
-                for text in some:
+                for text in map(guarded, steps(some)):
                     if with_words:
-                        totals[lang] = totals.get(lang, 0) + len(text.replace(b"\n", b" ").translate(_ONE_SPACE).split())
+                        totals[lang] = totals.get(lang, 0) + text.count(b" ") - 1 - text.count(_END)  # a space after each word and each line feed
                     if lang in automata:
-                        found = (i for _, i in automata[lang].iter(guarded(text)))
+                        found = map(itemgetter(1), automata[lang].iter(text.decode()))
                         while len(ids := np.fromiter(islice(found, 1 << 18), np.int64)):
-                            some_ids, many = np.unique(ids, return_counts=True)
-                            sums[lang][some_ids] += many
+                            np.add.at(sums[lang], ids, 1)
         for lang, n in totals.items():
             yield pa.record_batch([pa.array([lang]), pa.array([""]), pa.array([n], pa.int64())], ["lang", "phrase", "n"])
         for lang, n in sums.items():
@@ -238,10 +269,6 @@ def count_matches(texts: DataFrame, phrases: dict[str, list[str]], with_words: b
     return texts.mapInArrow(scan, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
-#: For counting with bytes.split(), which parts at more bytes than words do.
-_ONE_SPACE = bytes(b if b == 32 or not chr(b).isspace() and b not in (28, 29, 30, 31) else 65 for b in range(256))
-
-
 def counts(texts: DataFrame, least: int, longest: int, n: int = CELLS, automata_bytes: int = AUTOMATA_BYTES) -> DataFrame:
     """(lang, phrase, n) of all runs of 1 to `longest` words that stand in their language's texts `least` times or more, and, under an empty phrase, of all words. Stored."""
     spark = texts.sparkSession
