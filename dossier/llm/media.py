@@ -36,13 +36,13 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
 
 
 def filtered(rows: np.ndarray) -> np.ndarray:
-    """Rows of grey samples, each after the number of its filter. A row keeps its samples unless differences to the left or to the row above sum to less than half: letters are packed better as they are."""
+    """Rows of grey samples, each after the number of its filter. A row keeps its samples unless differences to the left or to the row above sum to less than an eighth: letters are packed better as they are."""
     height, width = rows.shape
     left, up = rows.copy(), rows.copy()
     left[:, 1:] -= rows[:, :-1]
     up[1:] -= rows[:-1]
     sizes = [np.abs(x.view(np.int8).astype(np.int32)).sum(1) for x in (rows, left, up)]
-    kind = np.where(2 * np.minimum(sizes[1], sizes[2]) < sizes[0], np.where(sizes[1] < sizes[2], 1, 2), 0)
+    kind = np.where(8 * np.minimum(sizes[1], sizes[2]) < sizes[0], np.where(sizes[1] < sizes[2], 1, 2), 0)
     out = np.empty((height, width + 1), np.uint8)
     out[:, 0] = kind
     out[:, 1:] = np.where(kind[:, None] == 1, left, np.where(kind[:, None] == 2, up, rows))
