@@ -4,7 +4,7 @@ A text is lower-cased in A-Z and parted at `[.,;:!?\\x0A-\\x0D]` into pieces, th
 
 1. a count-min sketch of single words and pairs, 2. one of longer runs all of whose pairs reach `least` in the first: upper bounds, so that nothing frequent is missed;
 3. the phrases whose bounds reach `least`, written out: the candidates; 4. automata of the candidates, with a space before and after each so that they meet whole words only, count all matches, overlapping ones included.
-Sums over all tasks are exact counts, and what is under `least` goes. A task's sketch is an array of fixed size; sketches are added block by block as they stream through a task. Automata hold a bounded number of bytes; where the
+Sums over all tasks are exact counts, and what is under `least` goes. What tasks send is packed: blocks of a sketch of fixed size, phrases by bucket, counts by block; blocks are added as they stream through a task. Automata hold a bounded number of bytes; where the
 candidates need more, there is another reading for each further set. With very much text the sketch lets more candidates through, which costs readings, never results.
 
 A null or empty text has no words, a null language is `und`. Any length is read whole, repeated rows count each, an empty table gives no rows, further columns are ignored; ties of scores go to the larger count, then to the
@@ -29,8 +29,8 @@ from .common import as_bytes, chunks, discard, mix, shuffle_parts, stored
 CELLS, BLOCK = 1 << 23, 1 << 14
 #: Bytes of candidates in one set of automata.
 AUTOMATA_BYTES = 4 << 20
-#: Phrases a task remembers having written.
-MOST_WRITTEN = 1 << 20
+#: Phrases a task remembers having written, and bytes of them that it packs together.
+MOST_WRITTEN, HELD_BYTES = 1 << 20, 8 << 20
 
 #: Bytes of pieces that one step works on: its arrays stay in a processor's cache.
 STEP = 1 << 17
@@ -205,25 +205,49 @@ def candidates(texts: DataFrame, least: int, longest: int, n: int = CELLS) -> Da
     short = spark.sparkContext.broadcast(sketch(texts, least, lambda words: words.runs(2), n))
     long = spark.sparkContext.broadcast(sketch(texts, least, lambda words: longer_runs(words, longest, short.value), n)) if longest > 2 else None
 
+    buckets = 4 * shuffle_parts(spark)
+
     def write(batches):
         written: set[int] = set()
+        held: dict[tuple[str, int], list[bytes]] = {}
+        size = 0
+
+        def packed():
+            keys = list(held)
+            for i in range(0, len(keys), 1 << 12):
+                part = keys[i : i + (1 << 12)]
+                yield pa.record_batch([pa.array([x for x, _ in part], pa.string()), pa.array([x for _, x in part], pa.int32()), pa.array([zlib.compress(_END.join(held[x]), 1) for x in part], pa.binary())], ["lang", "bucket", "phrases"])
+
         for lang, words in worded(batches):
-            rows = []
             levels = [(k, at, h, short) for k, at, h in words.runs(2)] + ([(k, at, h, long) for k, at, h in longer_runs(words, longest, short.value)] if long else [])
             for k, at, hashes, table in levels:
                 keep = reaches(table.value, hashes)
                 some, first = np.unique(hashes[keep], return_index=True)
-                at = at[keep][first]
-                for h, start in zip(some.tolist(), at.tolist(), strict=True):
+                for h, start in zip(some.tolist(), at[keep][first].tolist(), strict=True):
                     if h not in written:
                         written.add(h)
-                        rows.append((words.phrase(start, k), k))
-            if len(written) > MOST_WRITTEN:
-                written.clear()
-            if rows:
-                yield pa.record_batch([pa.array([lang] * len(rows), pa.string()), pa.array([p for p, _ in rows], pa.binary()).cast(pa.string()), pa.array([k for _, k in rows], pa.int32())], ["lang", "phrase", "words"])
+                        held.setdefault((lang, h % buckets), []).append(phrase := words.phrase(start, k))
+                        size += len(phrase)
+            if len(written) > MOST_WRITTEN or size > HELD_BYTES:
+                yield from packed()
+                held, size = {}, 0
+                if len(written) > MOST_WRITTEN:
+                    written.clear()
+        yield from packed()
+
+    def once(batches):
+        every: dict[str, set[bytes]] = {}
+        for batch in batches:
+            for lang, blob in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                every.setdefault(lang, set()).update(zlib.decompress(blob).split(_END))
+        for lang, phrases in every.items():
+            found = list(phrases)
+            for i in range(0, len(found), 1 << 14):
+                part = found[i : i + (1 << 14)]
+                yield pa.record_batch([pa.array([lang] * len(part), pa.string()), pa.array(part, pa.binary()).cast(pa.string()), pa.array([x.count(b" ") + 1 for x in part], pa.int32())], ["lang", "phrase", "words"])
 
-    return texts.mapInArrow(write, "lang string, phrase string, words int").distinct()
+    packed = texts.mapInArrow(write, "lang string, bucket int, phrases binary").repartition(shuffle_parts(spark), "bucket")
+    return packed.mapInArrow(once, "lang string, phrase string, words int")
 
 
 def guarded(text: bytes) -> bytes:
@@ -259,14 +283,30 @@ def count_matches(texts: DataFrame, phrases: dict[str, list[str]], with_words: b
                         while len(ids := np.fromiter(islice(found, 1 << 18), np.int64)):
                             np.add.at(sums[lang], ids, 1)
         for lang, n in totals.items():
-            yield pa.record_batch([pa.array([lang]), pa.array([""]), pa.array([n], pa.int64())], ["lang", "phrase", "n"])
+            yield pa.record_batch([pa.array([lang]), pa.array([-1]), pa.array([np.int64(n).tobytes()], pa.binary())], ["lang", "block", "counts"])
         for lang, n in sums.items():
+            for i in range(0, len(n), BLOCK):
+                if n[i : i + BLOCK].any():
+                    yield pa.record_batch([pa.array([lang]), pa.array([i // BLOCK]), pa.array([zlib.compress(n[i : i + BLOCK].tobytes(), 1)], pa.binary())], ["lang", "block", "counts"])
+
+    def add(batches):
+        words: dict[str, int] = {}
+        sums: dict[tuple[str, int], np.ndarray] = {}
+        for batch in batches:
+            for lang, block, blob in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+                if block < 0:
+                    words[lang] = words.get(lang, 0) + int(np.frombuffer(blob, np.int64)[0])
+                else:
+                    n = np.frombuffer(zlib.decompress(blob), np.int64)
+                    sums[lang, block] = sums[lang, block] + n if (lang, block) in sums else n
+        for lang, n in words.items():
+            yield pa.record_batch([pa.array([lang]), pa.array([""]), pa.array([n], pa.int64())], ["lang", "phrase", "n"])
+        for (lang, block), n in sums.items():
             at = np.flatnonzero(n)
-            for i in range(0, len(at), 1 << 14):
-                part = at[i : i + (1 << 14)]
-                yield pa.record_batch([pa.array([lang] * len(part), pa.string()), pa.array([shared.value[lang][j] for j in part], pa.string()), pa.array(n[part], pa.int64())], ["lang", "phrase", "n"])
+            yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array([shared.value[lang][block * BLOCK + j] for j in at], pa.string()), pa.array(n[at], pa.int64())], ["lang", "phrase", "n"])
 
-    return texts.mapInArrow(scan, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    packed = texts.mapInArrow(scan, "lang string, block long, counts binary").repartition(shuffle_parts(texts.sparkSession), "lang", "block")
+    return packed.mapInArrow(add, "lang string, phrase string, n long")
 
 
 def counts(texts: DataFrame, least: int, longest: int, n: int = CELLS, automata_bytes: int = AUTOMATA_BYTES) -> DataFrame:
