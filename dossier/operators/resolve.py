@@ -1,7 +1,7 @@
 """Resolution of names to groups: equi-joins first, substring matches for what they leave.
 
-mapping is (pos, name, group_name, short_name). Dictionaries are joined by key. Substring matches meet a dictionary on shared n-grams of LENGTH characters, an
-equi-join, so that texts don't meet every name; names shorter than that are met on their own length.
+mapping is (pos, name, group_name, short_name). Dictionaries are joined by key. Substring matches meet a dictionary on n-grams, an equi-join: each name under the one
+of its n-grams of up to LENGTH characters that the fewest names have, so that a start or an ending that all names share brings nothing together. Similar names meet on the rarest of their characters or n-grams.
 """
 
 from __future__ import annotations
@@ -43,23 +43,18 @@ def checked_mapping(mapping: DataFrame, required: tuple[str, ...] = ("name", "gr
     return mapping.withColumn("short_name", short).where(C.blank(F.col("name")).isNotNull() & C.blank(F.col("group_name")).isNotNull())
 
 
-def _grams(text: Column) -> Column:
-    n = F.greatest(F.length(text) - LENGTH + 1, F.lit(0))
-    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(text, i, LENGTH)))).otherwise(F.array().cast("array<string>"))
+def _grams(text: Column, k: Column) -> Column:
+    n = F.length(text) - k + 1
+    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(text, i, k)))).otherwise(F.array().cast("array<string>"))
 
 
 def contained(texts: DataFrame, names: DataFrame) -> DataFrame:
-    """Pairs of texts (text) and names (name and more) where the text contains the name, joined on the name's first LENGTH characters.
-
-    Names under LENGTH characters are joined on all substrings of their lengths.
-    """
-    short = names.where(F.length("name") < LENGTH)
-    lengths = F.sequence(F.lit(1), F.lit(LENGTH - 1))
-    pieces = F.flatten(F.transform(lengths, lambda n: F.when(F.length("text") >= n, F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda i: F.substring(F.col("text"), i, n))).otherwise(F.array().cast("array<string>"))))
-    distinct = texts.select("text").distinct()
-    by_gram = distinct.withColumn("gram", F.explode(_grams(F.col("text")))).join(names.where(F.length("name") >= LENGTH).withColumn("gram", F.substring("name", 1, LENGTH)), "gram").where(F.expr("contains(text, name)")).drop("gram")
-    by_piece = distinct.withColumn("name", F.explode(F.array_distinct(pieces))).join(short, "name").select(*by_gram.columns)
-    return by_gram.unionByName(by_piece)
+    """Pairs of texts (text) and names (name and more) where the text contains the name, joined on the name's rarest n-gram of LENGTH characters, or of its own length if that is less."""
+    each = names.select("name").where(F.length("name") > 0).distinct().select("name", F.explode(_grams(F.col("name"), F.least(F.length("name"), F.lit(LENGTH)))).alias("gram"))
+    key = each.join(each.groupBy("gram").agg(F.count("*").alias("n")), "gram").groupBy("name").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    every = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(LENGTH)), lambda k: _grams(F.col("text"), k)))
+    pairs = texts.select("text").distinct().select("text", F.explode(every).alias("gram")).join(key, "gram").where(F.expr("contains(text, name)"))
+    return pairs.select("text", "name").join(names, "name").select("text", *names.columns)
 
 
 def longest_match(texts: DataFrame, names: DataFrame) -> DataFrame:
@@ -92,58 +87,121 @@ def group_members(mapping: DataFrame) -> DataFrame:
 def similar_names(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
     """Pairs (left, right), left before right, whose characters' Jaccard similarity is at least so much, none lost.
 
-    Sets of n characters that similar share one of their first n - ceil(least * n) + 1 in any one order, so names are joined on these.
+    Sets of n characters that similar share one of their first n - ceil(least * n) + 1 in any one order, so names are joined on these, the rarest characters first.
     """
     t = max(least - 1e-9, 1e-9)
 
-    def rows(df, name):
-        letters = F.array_sort(F.array_distinct(F.array_remove(F.split(F.translate(F.col("name"), "（）", "()"), ""), "")))
+    def letters(df, name):
+        return df.select(F.col("name").alias(name)).distinct().select(name, F.explode(F.array_distinct(F.array_remove(F.split(F.translate(F.col(name), "（）", "()"), ""), ""))).alias("k"))
+
+    one, other = letters(a, "left"), letters(b, "right")
+    frequency = one.select("k").unionAll(other.select("k")).groupBy("k").agg(F.count("*").alias("often"))
+
+    def rows(each, name):
+        sorted_ = each.join(frequency, "k").groupBy(name).agg(F.array_sort(F.collect_list(F.struct("often", "k"))).alias("s"))  # a name's characters
         n = F.size("s")
-        keep = F.greatest(n - F.ceil(F.lit(t) * n).cast("int") + 1, F.lit(1))
-        return df.select(F.col("name").alias(name), letters.alias("s")).where(n > 0).select(name, n.alias(f"n_{name}"), F.explode(F.slice("s", F.lit(1), keep)).alias("k"))
+        return sorted_.select(name, n.alias(f"n_{name}"), F.explode(F.slice("s", F.lit(1), F.greatest(n - F.ceil(F.lit(t) * n).cast("int") + 1, F.lit(1)))).alias("s")).select(name, f"n_{name}", "s.k")
 
-    pairs = rows(a, "left").join(rows(b, "right"), "k").where((F.col("left") < F.col("right")) & (F.least("n_left", "n_right") >= t * F.greatest("n_left", "n_right"))).select("left", "right").distinct()
+    pairs = rows(one, "left").join(rows(other, "right"), "k").where((F.col("left") < F.col("right")) & (F.least("n_left", "n_right") >= t * F.greatest("n_left", "n_right"))).select("left", "right").distinct()
     return pairs.withColumn("similarity", F.round(C.char_similarity(F.col("left"), F.col("right")), 6)).where(F.col("similarity") >= least)
 
 
 def lcs_ratio(a: str, b: str) -> float:
-    """100 times twice the longest common subsequence over the lengths' sum."""
+    """100 times twice the longest common subsequence over the lengths' sum; a bit of a number for each character of a."""
     if not a and not b:
         return 100.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        before = 0
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
-    return 200.0 * row[-1] / (len(a) + len(b))
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    every = open_ = (1 << len(a)) - 1
+    for y in b:
+        met = open_ & places.get(y, 0)
+        open_ = (open_ + met | open_ - met) & every
+    return 200.0 * (len(a) - open_.bit_count()) / (len(a) + len(b))
+
+
+#: Longest n-grams that names are compared on.
+MOST_GRAM = 3
 
 
 def may_match(names: DataFrame, candidates: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (name, pos, candidate) that can reach the threshold, none lost: by length, then by the characters that both have.
+    """Pairs (name, pos, candidate) that can reach the threshold, none lost; of equal candidates the first by pos.
 
-    A ratio of t needs 2 * lcs >= t * (n + m); the lcs has at most the shorter's length, and no character of name that candidate lacks.
+    A ratio of t needs a common subsequence of c >= t * (n + m) / 2 characters, so at most del of the name's n characters and ins of the candidate's m aren't in it. Each of these parts it once more, and a part of k characters
+    has k - q + 1 n-grams of q characters: at least c - (q - 1) * (1 + del + ins) n-grams stand in both, in order and moved by at most del or ins places. For each pair of lengths the largest q is taken of which over half are
+    shared, else 2 if that leaves any, else 1. Names are joined on as many of their rarest n-grams as must hold a shared one, and on places that near.
     """
-    t = min(max(threshold / 100 - 1e-9, 0.0), 1.0)
+    if threshold <= 0:
+        raise ValueError("the threshold must be over 0")
+    t = min(threshold / 100, 1.0) - 1e-9
     left = names.select("name").where("name is not null").distinct().withColumn("n", F.length("name"))
-    right = candidates.select("pos", F.col("name").alias("candidate"), F.length("name").alias("m")).where("candidate is not null")
-    lengths = left.select("n").distinct().crossJoin(right.select("m").distinct()).where(2 * F.least("n", "m") >= t * (F.col("n") + F.col("m")))
-    pairs = left.join(lengths, "n").join(right, "m")
-    chars = lambda c: F.array_remove(F.split(F.col(c), ""), "")
-    missing = F.size(F.array_except(chars("name"), chars("candidate")))
-    return pairs.where(2 * F.least(F.col("n") - missing, F.col("m")) >= t * (F.col("n") + F.col("m"))).select("name", "pos", "candidate")
-
-
-def fuzzy_match(names: DataFrame, candidates: DataFrame, threshold: float = 80.0) -> DataFrame:
-    """name with the best of all candidates at or over the threshold, the first by pos on ties. The ratio runs in Arrow batches."""
+    right = candidates.where("name is not null").groupBy(F.col("name").alias("candidate")).agg(F.min("pos").alias("pos")).withColumn("m", F.length("candidate"))
+
+    low, high = F.ceil(F.lit(t / (2 - t)) * F.col("n")).cast("int"), F.floor(F.lit((2 - t) / t) * F.col("n")).cast("int")
+    lengths = left.where("n > 0").select("n").distinct().select("n", F.explode(F.sequence(F.greatest(low, F.lit(1)), F.greatest(high, F.lit(1)))).alias("m")).join(right.select("m").distinct(), "m")
+    common = F.ceil(F.lit(t / 2) * (F.col("n") + F.col("m"))).cast("int")
+    lengths = lengths.select("n", "m", (F.col("n") - common).alias("del"), (F.col("m") - common).alias("ins")).where("del >= 0 and ins >= 0")
+    shared = lambda q: F.col("n") - F.col("del") - (q - 1) * (1 + F.col("del") + F.col("ins"))
+    lengths = lengths.withColumn("q", C.first_of([(F.greatest("del", "ins") <= 1, 0), *[((shared(q) > 0) & (2 * shared(q) >= F.greatest("n", "m") - q + 1), q) for q in range(MOST_GRAM, 1, -1)], (shared(2) > 0, 2)], 1))
+    lengths = lengths.withColumn("shared", C.first_of([(F.col("q") == q, shared(q)) for q in range(2, MOST_GRAM + 1)], shared(1)))
+
+    def grams(df, text):
+        each = lambda q: F.when(F.length(text) >= q, F.transform(F.sequence(F.lit(1), F.length(text) - q + 1), lambda i: F.struct(q.alias("q"), F.substring(F.col(text), i, q).alias("gram"), i.alias("at")))).otherwise(F.array().cast("array<struct<q:int,gram:string,at:int>>"))
+        return df.select(text, F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(MOST_GRAM)), each))).alias("g")).select(text, "g.*")
+
+    a, b = grams(left, "name"), grams(right, "candidate")
+    frequency = a.select("gram").unionAll(b.select("gram")).groupBy("gram").agg(F.count("*").alias("often"))
+
+    def rows(each, text, size):
+        """The first n-grams of each text for each pair of lengths, the rarest first."""
+        ranked = each.join(frequency, "gram").groupBy(text, "q").agg(F.array_sort(F.collect_list(F.struct("often", "gram", "at"))).alias("g")).withColumn(size, F.length(text))  # a text's n-grams
+        first = ranked.join(lengths, [size, "q"])
+        return first.select(text, "n", "m", "del", "ins", F.explode(F.slice("g", F.lit(1), F.size("g") - F.col("shared") + 1)).alias("g")).select(text, "n", "m", "del", "ins", "g.gram", F.col("g.at").alias(f"at_{size}"))
+
+    def spared(df, text, size, less):
+        """For pairs of lengths that leave a character or none out on either side: each text without that many characters, which a fitting one gives too."""
+        without = F.when(F.col(less) == 0, F.array(F.col(text))).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.col(size)), lambda i: F.concat(F.substring(F.col(text), F.lit(1), i - 1), F.substring(F.col(text), i + 1, F.col(size))))))
+        return df.join(lengths.where("q = 0"), size).select(text, "n", "m", "del", "ins", F.explode(without).alias("gram"), F.lit(0).alias(f"at_{size}"))
+
+    one = rows(a, "name", "n").unionByName(spared(left, "name", "n", "del"))
+    other = rows(b, "candidate", "m").unionByName(spared(right, "candidate", "m", "ins")).drop("del", "ins")
+    near = one.join(other, ["n", "m", "gram"]).where((F.col("at_n") - F.col("at_m")).between(-F.col("ins"), F.col("del")))
+    pairs = near.select("name", "candidate").distinct().join(right.select("candidate", "pos"), "candidate").select("name", "pos", "candidate")
+    empty = left.where("n = 0").select("name").crossJoin(right.where("m = 0").select("pos", "candidate"))  # a row each at most
+    return pairs.unionByName(empty)
+
+
+def best_matches(names: DataFrame, candidates: DataFrame, threshold: float) -> DataFrame:
+    """name and m (candidate, ratio, pos): the best candidate of each name that has one at or over the threshold. The ratio runs in Arrow batches."""
     import pyarrow as pa
 
-    pairs = may_match(names, candidates, threshold)
-
     def run(batches):
         for batch in batches:
             ratio = [lcs_ratio(a, b) for a, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.record_batch([*batch.columns, pa.array(ratio, pa.float64())], ["name", "pos", "candidate", "ratio"])
 
+    pairs = may_match(names, candidates.select(F.col("pos").cast("long"), "name"), threshold)
     scored = pairs.mapInArrow(run, "name string, pos long, candidate string, ratio double").where(F.col("ratio") >= threshold)
-    best = scored.groupBy("name").agg(F.max_by(F.struct("candidate", "ratio"), F.struct("ratio", -F.col("pos"))).alias("m"))
-    return names.join(best, "name", "left").select("name", F.col("m.candidate").alias("candidate"), F.round("m.ratio", 6).alias("ratio"))
+    return scored.groupBy("name").agg(F.max_by(F.struct("candidate", "ratio", "pos"), F.struct("ratio", -F.col("pos"))).alias("m"))
+
+
+#: Ratio from which on a name's best candidate is looked for first: few pairs can reach it.
+CLOSE = 95.0
+
+
+def _matched(names: DataFrame, candidates: DataFrame, threshold: float) -> DataFrame:
+    best = best_matches(names, candidates, max(threshold, CLOSE))
+    if threshold < CLOSE:  # what has a close candidate has its best one
+        best = best.unionByName(best_matches(names.join(best.select("name"), "name", "left_anti"), candidates, threshold))
+    return names.join(best, "name", "left")
+
+
+def fuzzy_match(names: DataFrame, candidates: DataFrame, threshold: float = 80.0) -> DataFrame:
+    """name with the best of all candidates at or over the threshold, the first by pos on ties."""
+    return _matched(names, candidates, threshold).select("name", F.col("m.candidate").alias("candidate"), F.round("m.ratio", 6).alias("ratio"))
+
+
+def fuzzy_group(names: DataFrame, candidates: DataFrame, threshold: float = 80.0) -> DataFrame:
+    """name with the group of the best of all candidates (pos, name, group_name), the first by pos on ties."""
+    group = candidates.select(F.col("pos").alias("__pos"), "group_name")
+    return _matched(names, candidates, threshold).join(group, F.col("m.pos") == F.col("__pos"), "left").select("name", "group_name", F.round("m.ratio", 6).alias("ratio"))

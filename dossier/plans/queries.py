@@ -23,6 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def query(sql: str | None = None):
     def add(f: Query) -> Query:
+        if f.__name__ in QUERIES:
+            raise ValueError(f"there is a query {f.__name__} already")
         QUERIES[f.__name__] = f
         if sql:
             ORACLE[f.__name__] = sql
@@ -614,7 +616,7 @@ CASE WHEN {_MONEY} IS NOT NULL THEN '¥' || format('{{:,.2f}}', {_MONEY}) END AS
 
 @query(f"""WITH {LEDGER}, x AS ({_PARTS}) SELECT pos, CASE doc_type WHEN 'CONTRACT' THEN p || '与' || c || '签订的' || y || '年度服务合同' || coalesce('，年度维护费 ' || m, '') || s WHEN 'PURCHASE_ORDER' THEN p || y || '年 ' || c || ' 采购订单' || coalesce('，总金额 ' || m, '')
 WHEN 'QUOTE' THEN p || '向 ' || c || ' 提供的' || y || '年报价单' || coalesce('，总额 ' || m, '') WHEN 'SRF' THEN p || c || ' 的' || y || '年服务需求表' ELSE '' END AS summary FROM x""")
-def summary_text(spark, d):
+def summary_sentence(spark, d):
     return ledger(spark, d).select("pos", extract.summary().alias("summary"))
 
 
