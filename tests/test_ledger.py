@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from dossier.operators import merge, pages, repair, report, resolve, sinks
 from dossier.functions import names as N
-from dossier.plans import matching, names, queries, records  # noqa: F401  (they register their queries)
+from dossier.plans import assembly, documents, matching, names, queries, records  # noqa: F401  (they register their queries)
 from dossier.sources import ledger as source
 from dossier.streaming import incremental
 
