@@ -201,13 +201,47 @@ def test_wand_is_exhaustive_scoring():
     items = [(i, " ".join(f"v{int(rng.paretovariate(0.7)) % 300}" for _ in range(rng.randrange(3, 40))).encode()) for i in range(300)]
     index = decontamination.build(items)
     for _ in range(60):
-        terms = sorted(rng.sample(range(len(index.words)), min(len(index.words), 40)))
-        sums = np.zeros(len(index.ids))
-        for t in terms:
-            for item, impact in zip(index.postings[t][0], index.postings[t][1], strict=True):
-                sums[item] += impact
-        found = {i for g in range(len(index.groups) - 1) for i, _ in decontamination.wand(index, terms, g)}
+        terms = sorted({*rng.sample(range(len(index.terms)), 40), *(t for i in rng.sample(range(300), 3) for t in np.searchsorted(index.terms, decontamination._named(index.grams[i][0], index.grams[i][2])).tolist())})
+        sums, by_group = np.zeros(len(index.ids)), {}
+        for e in (e for t in terms for e in range(index.entries[t], index.entries[t + 1])):
+            by_group.setdefault(int(index.group[e]), []).append(e)
+            for at in range(index.postings[e], index.postings[e + 1]):
+                sums[index.items[at]] += index.impacts[at]
+        found = {i for es in by_group.values() for i, _ in decontamination.wand(index, es)}
         assert found == set(np.flatnonzero(sums >= 1).tolist())
+        got = {i for _, some in decontamination.retrieve(index, np.full(len(terms), 7), np.array(terms)) for i, _ in some}
+        assert got == found
+
+
+def templated(n, seed=6):
+    rng = random.Random(seed)
+    fill = lambda: [f"n{rng.randrange(50_000)}" for _ in range(4)]
+    return ["In the year {} the town of {} on the river had how many mills ? The town of {} had as many as {} mills in that year".format(*fill()) for _ in range(n)]
+
+
+def test_decontamination_of_templated_items_is_selective(monkeypatch):
+    """Items that share all but four words: only those that stand in a text come to verification, and results are brute force's."""
+    items = templated(1000)
+    index = decontamination.build([(i, t.encode()) for i, t in enumerate(items)])
+    rng, texts = random.Random(7), []
+    for _ in range(12):
+        some = rng.sample(items, rng.randrange(0, 20))
+        texts.append(" . ".join([*some, *(" ".join(t.split()[: rng.randrange(8, 20)]) for t in rng.sample(items, 5))]))
+    tried = []
+    plain = decontamination.wand
+    monkeypatch.setattr(decontamination, "wand", lambda *a: tried.append(plain(*a)) or tried[-1])
+    for entries in (1 << 20, 50):
+        monkeypatch.setattr(decontamination, "ENTRIES", entries)
+        got = {(d, index.ids[i]) for d, i, *_ in decontamination.search(index, [t.encode() for t in texts])}
+        want = set()
+        for d, t in enumerate(texts):
+            w, _ = common.hash_words([t.encode()], lower=True, breaks=decontamination.BREAKS)
+            for item, (q, r, k), (a, ka) in zip(index.ids, index.grams, index.answers, strict=True):
+                q, r, a = np.isin(q, common.gram_hash(w, k)), np.isin(r, common.gram_hash(w, k)), np.isin(a, common.gram_hash(w, ka))
+                if (q.sum() + r.sum()) / (len(q) + len(r)) >= 0.75 and q.mean() >= 0.5 and a.mean() >= 0.5:
+                    want.add((d, item))
+        assert got == want and len(want) > 50
+    assert sum(map(len, tried)) < 20 * len(want)
 
 
 def test_mixing_meets_its_targets(spark):
