@@ -27,26 +27,44 @@ def amounts(texts: DataFrame) -> DataFrame:
     """doc_id, line_no, value, label and score of every amount of 100 or more; noise lines, addresses and references are skipped."""
     rows = lines(texts).where(F.col("line").rlike("[0-9][0-9OoIlSB,，. ]{2}") & ~F.col("line").rlike(rules.NOISE_LINE))
     found = F.regexp_extract_all("line", F.lit(r"[¥￥$€£]?\s*([0-9][0-9,，Oo Il]*+(?:\.[0-9]+)?+)(?!\s{0,3}[号室楼层栋]|\s*/[Vv])"), 1)
-    each = rows.select("doc_id", "line_no", "line", "context", F.posexplode(found).alias("n", "raw")).withColumn("value", C.normalize_amount(F.col("raw")))
     bare = (F.length(F.trim("line")) < 15) & ~F.col("line").rlike("[元年月日￥¥$€£]|CNY|USD|EUR|RMB")
     score = C.first_of([(bare, 0.35), (F.col("line").rlike(rules.HIGH_CONTEXT), 0.95), (F.col("context").rlike(rules.HIGH_CONTEXT), 0.75), (F.col("context").rlike(rules.MEDIUM_CONTEXT), 0.8)], 0.6)
-    return each.where(F.col("value") >= 100).select("doc_id", "line_no", "n", "value", label(F.col("context"), rules.AMOUNT_LABELS, "amount_generic").alias("label"), score.alias("score"))
+    # label and score depend on the line alone, so they are worked out once a line
+    judged = rows.select("doc_id", "line_no", label(F.col("context"), rules.AMOUNT_LABELS, "amount_generic").alias("label"), score.alias("score"), found.alias("found"))
+    each = judged.select("doc_id", "line_no", "label", "score", F.posexplode("found").alias("n", "raw")).withColumn("value", C.normalize_amount(F.col("raw")))
+    return each.where(F.col("value") >= 100).select("doc_id", "line_no", "n", "value", "label", "score")
+
+
+#: Forms of dates in the order in which they are tried: full ones, short years, a year's last digit read as a stroke, month first.
+DATE_FORMS = [
+    r"[0-9]{4}[-/.]\s*[0-9]{1,2}[-/.]\s*[0-9]{1,2}", r"[0-9]{4}\s*年\s*[0-9]{1,2}\s*月\s*[0-9]{1,2}\s*日?", r"[0-9]{2}[.-][0-9]{1,2}[.-][0-9]{1,2}", r"[0-9]{3}[/|lI][-/.][0-9]{1,2}[-/.]\s*[0-9]{1,2}",
+    r"(?<![0-9A-Za-z_一-龥])[0-9]{1,2}/[0-9]{2}/[0-9]{2}(?![0-9A-Za-z_一-龥])",
+]
 
 
 def dates(texts: DataFrame, last_year: int) -> DataFrame:
-    """doc_id, line_no, value (ISO), label and score of the first of each date and label; last_year bounds the years from above."""
-    rows = lines(texts)
-    forms = [r"[0-9]{4}[-/.]\s*[0-9]{1,2}[-/.]\s*[0-9]{1,2}", r"[0-9]{4}\s*年\s*[0-9]{1,2}\s*月\s*[0-9]{1,2}\s*日?", r"[0-9]{3}[/|lI][-/.][0-9]{1,2}[-/.]\s*[0-9]{1,2}"]
-    raw = F.flatten(F.array(*[F.regexp_extract_all("line", F.lit(f"({f})"), 1) for f in forms]))
-    each = rows.select("doc_id", "line_no", "context", F.posexplode(raw).alias("n", "raw")).withColumn("fixed", C.repair_date(F.col("raw")))
-    parts = [F.regexp_extract("fixed", r"([0-9]{4})\s*[-/.年]\s*([0-9]{1,2})\s*[-/.月]\s*([0-9]{1,2})", i) for i in (1, 2, 3)]
-    each = each.withColumn("value", C.make_date(*parts))
-    each = each.where(F.year("value").between(1990, last_year)).withColumn("label", label(F.col("context"), rules.DATE_LABELS, "date_generic"))
-    each = each.withColumn("label", F.when((F.col("label") == "sign_date") & F.col("context").rlike(rules.CONDITION), "date_condition").otherwise(F.col("label")))
+    """doc_id, line_no, value (ISO), label and score of the first of each date and label; last_year bounds the years from above.
+
+    Lines are read first, then lines joined with the next one where that makes a date of two halves; those count for their first line. Dates with a year of two digits and
+    without a label need a word for dates near them. Texts that are null or empty have no dates."""
+    single = lines(texts).withColumn("stage", F.lit(0))
+    joined = stitched(texts).withColumn("stage", F.lit(1)).join(single.select("doc_id", "line_no", "context"), ["doc_id", "line_no"])
+    rows = single.unionByName(joined)
+    found = F.flatten(F.array(*[F.regexp_extract_all("line", F.lit(f"({form})"), 1) for form in DATE_FORMS]))
+    rows = rows.withColumn("found", found).where(F.size("found") > 0)
+    name = label(F.col("context"), rules.DATE_LABELS, "date_generic")
+    strong = F.col("context").rlike(rules.SIGNED)
+    rows = rows.select("doc_id", "line_no", "stage", "found", name.alias("label"), F.col("context").rlike(rules.CONDITION).alias("condition"), strong.alias("strong"), F.col("context").rlike(rules.DATE_WORDS).alias("about_dates"))
+    # within the array, so that each date is repaired and parsed once
+    mended = F.transform("found", lambda x: F.struct(x.alias("raw"), C.repair_date(x).alias("fixed")))
+    read = F.transform(mended, lambda x: F.struct(x["raw"].alias("raw"), x["fixed"].alias("fixed"), C.parse_date(x["fixed"]).alias("value")))
+    each = rows.withColumn("found", read).select("*", F.posexplode("found").alias("n", "one")).select("*", "one.*")
+    each = each.withColumn("label", F.when((F.col("label") == "sign_date") & F.col("condition"), "date_condition").otherwise(F.col("label")))
+    short = F.col("raw").rlike("^[0-9]{2}[-/.]|^[0-9]{1,2}/[0-9]{2}/[0-9]{2}$")
+    each = each.where(F.year("value").between(1990, last_year) & ~(short & (F.col("label") == "date_generic") & ~F.col("about_dates")))
     base = F.when(F.col("fixed") == F.col("raw"), 0.7).otherwise(0.55)
-    strong = (F.col("label") == "sign_date") & F.col("context").rlike("(?i)签署|签订|签字|盖章|Authorized|order\\s*date")
-    score = F.when(strong, F.least(base + 0.15, F.lit(0.95))).otherwise(base)
-    first = F.row_number().over(W.partitionBy("doc_id", "value", "label").orderBy("line_no", "n"))
+    score = F.when((F.col("label") == "sign_date") & F.col("strong"), F.least(base + 0.15, F.lit(0.95))).otherwise(base)
+    first = F.row_number().over(W.partitionBy("doc_id", "value", "label").orderBy("stage", "line_no", "n"))
     return each.withColumns({"score": F.round(score, 2), "__n": first}).where("__n = 1").select("doc_id", "line_no", F.col("value").cast("string").alias("value"), "label", "score")
 
 
