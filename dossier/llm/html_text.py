@@ -6,8 +6,9 @@ minus the log of how much larger their share is outside the content than inside.
 
 Elements that by structure hold no content (navigation, forms, scripts, hidden ones) count as one tag (within marked content MOST) and give no text. So do those with a
 word of class or id that was learned to stand outside content: its odds, with the word lists below as prior counts, reach SKIP. Words are compared whole, so
-`page-header` isn't `header`. An element that marks content, and an article's own headings and sections, are kept whatever their words say; but reader
-comments in them go.
+`page-header` isn't `header`; only reader comments and newsletters are known by a dashed part of a container's word too (`post-comments`), unless it tells a state (`no-comments`).
+An element that marks content, and an article's own headings and sections, are kept whatever their words say; but reader comments in them go. Within a page's one
+marked content all tags count MOST (and the words of their class and id), so that no part at its edges is trimmed for its kind of tag.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are joined by one newline.
 
@@ -53,6 +54,9 @@ OUTSIDE = COMMENTS | set(
     " main-menu nav navbar nav-menu navigation site-nav footer site-footer header site-header page-footer masthead topbar login search search-form searchbox toolbar pagination pager copyright"
     " legal disclaimer skip-link".split()
 )
+TALK = {"comment", "comments", "newsletter"}
+STATES = {"no", "has", "with", "without", "open", "closed", "count", "link", "links", "on", "off", "enabled", "disabled"}
+CONTAINERS = {"div", "section", "ol", "ul", "li"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "textarea", "title", "xmp", "noembed", "noframes", "math"}
 NEVER = {"nav", "footer", "aside", "form", "button", "select", "option", "head", "dialog", "menu", "object", "embed", "audio", "video", "canvas", "fieldset", "datalist", "label"}
@@ -95,7 +99,8 @@ class Model:
             elif inside and t.kind == "skipped":
                 out.append(MOST)
             else:
-                out.append(max(LEAST, self.weights.get(t.value, PLAIN) + sum(self.weights.get(n, 0.0) for n in t.names)))
+                tag = MOST if inside and edge == EDGE else self.weights.get(t.value, PLAIN)
+                out.append(max(LEAST, tag + sum(self.weights.get(n, 0.0) for n in t.names)))
         return out
 
     def text(self, page: str | None) -> str:
@@ -126,19 +131,26 @@ def best_run(scores: list[float]) -> tuple[int, int]:
     return at
 
 
+def _is_talk(word: str) -> bool:
+    """Whether a class or id names reader comments or a newsletter by one of its dashed parts."""
+    parts = re.split("[-_]+", word)
+    return not TALK.isdisjoint(parts) and STATES.isdisjoint(parts)
+
+
 def _judged(name: str, attributes: str, inside: bool, hides: frozenset[str]) -> tuple[bool, tuple[str, ...]]:
     """Whether an element holds no content, and the names of its class and id. inside: it stands within marked content."""
-    skip, names, comments = name in NEVER or name == "header" and not inside, [], False
+    skip, names, comments, talk = name in NEVER or name == "header" and not inside, [], False, False
     for key, *values in ATTRIBUTE.findall(attributes) if attributes else ():
         key, value = key.lower(), next((v for v in values if v), "")
         if key in ("class", "id"):
             words = value.lower().split()
             names += [f".{w}" for w in words]
+            talk = talk or name in CONTAINERS and any(map(_is_talk, words))
             comments = comments or key == "class" and not COMMENTS.isdisjoint(words) or key == "id" and name in ("div", "section", "ol", "ul", "article") and not COMMENTS.isdisjoint(words)
         elif key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
             skip = skip or name not in ("html", "body")
     own = name in ("html", "body") or name in CONTENT or inside and (name in HEADINGS or name == "section")
-    if inside and comments and name not in HEADINGS or not own and any(n in hides for n in names):
+    if inside and (comments or talk) and name not in HEADINGS or not own and (talk or any(n in hides for n in names)):
         skip = True
     return skip, tuple(names)
 
@@ -146,11 +158,13 @@ def _judged(name: str, attributes: str, inside: bool, hides: frozenset[str]) ->
 def tokens_of(page: str, hides: frozenset[str] = frozenset()) -> Iterator[Token]:
     """The tokens of a page. An element that holds no content is one token, skipped."""
     stack: list[tuple[str, bool, tuple[str, ...]]] = []  # names of open elements, whether each is skipped, their keys
+    opened: Counter[str] = Counter()  # open elements by name
     hidden = depth = at = 0  # skipped and content elements that are open; how far the page was read
 
     def pop() -> str:
         nonlocal hidden, depth
         name, skipped, _ = stack.pop()
+        opened[name] -= 1
         hidden -= skipped
         depth -= name in CONTENT
         return name
@@ -172,7 +186,7 @@ def tokens_of(page: str, hides: frozenset[str] = frozenset()) -> Iterator[Token]
             continue
         name = name.lower()
         if closing:
-            if any(x == name for x, _, _ in stack):
+            if opened[name]:
                 while pop() != name:
                     pass
                 yield from leave(was)
@@ -189,7 +203,7 @@ def tokens_of(page: str, hides: frozenset[str] = frozenset()) -> Iterator[Token]
         ends = CLOSES.get(name, {"p"} if name in BLOCKS else ())
         while stack and (stack[-1][0] in ends or stack[-1][0] == "p" and name in BLOCKS):
             pop()
-        if name in BLOCKS and name != "p" and any(x == "p" for x, _, _ in stack) and not hidden:
+        if name in BLOCKS and name != "p" and opened["p"] and not hidden:
             while stack and pop() != "p":
                 pass
         if name == "body" or name in CONTENT and not depth:  # nothing unclosed before it hides it
@@ -210,6 +224,7 @@ def tokens_of(page: str, hides: frozenset[str] = frozenset()) -> Iterator[Token]
             yield Token("skipped" if skipped else "open", f"<{name}", skipped or name in BLOCKS, names)
         if not CLOSED.search(attributes):
             stack.append((name, skipped, (f"<{name}", *names)))
+            opened[name] += 1
             hidden += skipped
             depth += name in CONTENT
     was, depth = depth, 0

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import re
 from collections import Counter
 
@@ -621,6 +622,24 @@ def test_html_text_of_marked_pages():
     assert model.text('<article><p>short</p><div class="teaser">gone</div><div class="note">kept</div></article>') == "short\nkept"
 
 
+def test_html_text_keeps_whole_articles_without_comments():
+    heavy = html_text.Model({"<div": -6.0, "</div": -6.0, "<ul": -6.0, "</ul": -6.0, "<p": -1.0})
+    inner = '<div><h1>My Title</h1></div><div><p>Some words of the article</p></div>{}<div><p>Short last words.</p></div><div><ul><li>one</ul></div>'
+    comments = "".join(f'<{tag} class="{c}"><p>I liked this article very much. Thank you for it.</p></{tag}>' for tag, c in (("div", "post-comments"), ("section", "user-comments"), ("ul", "x comment-item"), ("div", "widget-newsletter")))
+    for mark in ("article", "main"):
+        assert heavy.text(f"<body><div>menu</div><{mark}>{inner.format(comments)}</{mark}><p>foot</p>") == "My Title\nSome words of the article\nShort last words.\none"
+    plain = html_text.Model().text(f'<div class="post no-comments"><p>words of a plain page that goes on for a while</p></div>{comments}')
+    assert plain == "words of a plain page that goes on for a while"
+    assert html_text.Model().text('<article><h2 class="comments-title">Comments on law</h2><p class="comment-note">kept text</p></article>') == "Comments on law\nkept text"
+
+
+def test_html_text_of_deep_nesting_is_linear():
+    began = time.process_time()
+    deep = 60_000
+    assert html_text.Model().text("<div>" * deep + "<b>" * deep + "inner words" + "</i>" * deep + "</b>" * deep + "</div>" * deep) == "inner words"
+    assert time.process_time() - began < 20
+
+
 def test_best_run_is_brute_force():
     rng = random.Random(12)
     for _ in range(300):
