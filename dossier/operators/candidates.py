@@ -10,13 +10,18 @@ from dossier import rules
 from dossier.functions import columns as C
 
 
-def lines(texts: DataFrame, around: int = 2) -> DataFrame:
-    """texts (doc_id, text) as lines (doc_id, line_no, line, context): a line and its neighbours, joined by newlines."""
+#: What two lines joined must hold to be read as one.
+HALVES = "[0-9]{4}年[0-9]{1,2}月|[0-9]{4}[-/.][0-9]{1,2}[-/.]"
+
+
+def lines(texts: DataFrame, around: int = 2, following: bool = False) -> DataFrame:
+    """texts (doc_id, text) as lines (doc_id, line_no, line, context): a line and its neighbours, joined by newlines; with the next line as following, if asked for."""
     every = texts.withColumn("__lines", F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "\n$", ""), "\n"))
     rows = every.select("doc_id", F.posexplode("__lines").alias("line_no", "line"), "__lines")
     start = F.greatest(F.col("line_no") - around, F.lit(0)) + 1
     size = F.col("line_no") + around + 2 - start
-    return rows.select("doc_id", "line_no", "line", F.array_join(F.slice("__lines", start, size), "\n").alias("context"))
+    more = [F.get("__lines", F.col("line_no") + 1).alias("following")] if following else []
+    return rows.select("doc_id", "line_no", "line", F.array_join(F.slice("__lines", start, size), "\n").alias("context"), *more)
 
 
 def label(context: Column, table: list[tuple[str, str]], otherwise: str) -> Column:
@@ -47,9 +52,9 @@ def dates(texts: DataFrame, last_year: int) -> DataFrame:
 
     Lines are read first, then lines joined with the next one where that makes a date of two halves; those count for their first line. Dates with a year of two digits and
     without a label need a word for dates near them. Texts that are null or empty have no dates."""
-    single = lines(texts).withColumn("stage", F.lit(0))
-    joined = stitched(texts).withColumn("stage", F.lit(1)).join(single.select("doc_id", "line_no", "context"), ["doc_id", "line_no"])
-    rows = single.unionByName(joined)
+    both = F.concat(F.regexp_replace("line", r"\s+$", ""), F.regexp_replace("following", r"^\s+", ""))
+    each = F.array(F.struct(F.lit(0).alias("stage"), F.col("line")), F.struct(F.lit(1).alias("stage"), F.when(both.rlike(HALVES), both).alias("line")))
+    rows = lines(texts, following=True).select("doc_id", "line_no", "context", F.inline(each))
     found = F.flatten(F.array(*[F.regexp_extract_all("line", F.lit(f"({form})"), 1) for form in DATE_FORMS]))
     rows = rows.withColumn("found", found).where(F.size("found") > 0)
     name = label(F.col("context"), rules.DATE_LABELS, "date_generic")
@@ -101,7 +106,7 @@ def stitched(texts: DataFrame) -> DataFrame:
     rows = texts.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("l"))
     pairs = F.transform(F.slice("l", F.lit(1), F.greatest(F.size("l") - 1, F.lit(0))), lambda x, i: F.concat(F.regexp_replace(x, r"\s+$", ""), F.regexp_replace(F.get(F.col("l"), i + 1), r"^\s+", "")))
     each = rows.select("doc_id", F.posexplode(pairs).alias("line_no", "line"))
-    return each.where(F.col("line").rlike("[0-9]{4}年[0-9]{1,2}月|[0-9]{4}[-/.][0-9]{1,2}[-/.]"))
+    return each.where(F.col("line").rlike(HALVES))
 
 
 def ranked(candidates: DataFrame, order: list[str]) -> DataFrame:
