@@ -3,9 +3,9 @@
 A text is lower-cased in A-Z and parted at `[.,;:!?\\x0A-\\x0D]` into pieces, these at spaces and tabs into words. Phrases are runs of 2 to `longest` words within a piece. They are found in four readings of the texts:
 
 1. a count-min sketch of single words and pairs, 2. one of longer runs all of whose pairs reach `least` in the first: upper bounds, so that nothing frequent is missed;
-3. the phrases whose bounds reach `least`, written out: the candidates; 4. automata of the candidates, with a space before and after each so that they meet whole words only, count all matches, overlapping ones included.
-Sums over all tasks are exact counts, and what is under `least` goes. What tasks send is packed: blocks of a sketch of fixed size, phrases by bucket, counts by block; blocks are added as they stream through a task. Automata hold a bounded number of bytes; where the
-candidates need more, there is another reading for each further set. With very much text the sketch lets more candidates through, which costs readings, never results.
+3. the phrases whose bounds reach `least`, written out: the candidates; 4. automata of the candidates, whose steps are whole words, count all matches, overlapping ones included.
+Sums over all tasks are exact counts, and what is under `least` goes. What tasks send is packed: blocks of a sketch, phrases by bucket, counts by block; blocks are added as they stream through a task. The sketch has cells in proportion to the texts, so that
+as small a share of it reaches `least` in much text as in little. Automata are sorted arrays, some 16 bytes a candidate; where the candidates need more than a bounded number of bytes, there is another reading for each further set.
 
 A null or empty text has no words, a null language is `und`. Any length is read whole, repeated rows count each, an empty table gives no rows, further columns are ignored; ties of scores go to the larger count, then to the
 lesser phrase in the order of its UTF-8 bytes.
@@ -15,8 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from itertools import islice
-from operator import itemgetter
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -25,10 +24,13 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, chunks, discard, mix, shuffle_parts, stored
 
-#: Cells of each of the sketch's two rows, and of a block that is added at a time.
-CELLS, BLOCK = 1 << 23, 1 << 14
+#: Cells of each of the sketch's two rows, at least and at most, bytes of text for each, and cells of a block that is added at a time, at least and at most.
+CELLS, MOST_CELLS, CELL_BYTES = 1 << 23, 1 << 28, 160
+BLOCK, MOST_BLOCK = 1 << 14, 1 << 16
+#: Hashes that a task counts before it sends them.
+HELD_HASHES = 1 << 22
 #: Bytes of candidates in one set of automata.
-AUTOMATA_BYTES = 4 << 20
+AUTOMATA_BYTES = 64 << 20
 #: Phrases a task remembers having written, and bytes of them that it packs together.
 MOST_WRITTEN, HELD_BYTES = 1 << 20, 8 << 20
 
@@ -143,10 +145,13 @@ def longer_runs(words: Words, longest: int, bits: np.ndarray):
             yield k, at[keep], hashes[keep]
 
 
-def _blob(counts: np.ndarray) -> bytes:
+def _blob(at: np.ndarray, counts: np.ndarray, block: int) -> bytes:
     """A block of small counts: the places and values of those over zero if they are few, else all, compressed."""
-    at = np.flatnonzero(counts)
-    return b"s" + at.astype(np.uint16).tobytes() + counts[at].tobytes() if len(at) * 16 < len(counts) else b"d" + zlib.compress(counts.tobytes(), 1)
+    if len(at) * 16 < block:
+        return b"s" + at.astype(np.uint16).tobytes() + counts.tobytes()
+    whole = np.zeros(block, np.uint8)
+    whole[at] = counts
+    return b"d" + zlib.compress(whole.tobytes(), 1)
 
 
 def _add(total: np.ndarray, blob: bytes) -> None:
@@ -164,22 +169,34 @@ def sketch(texts: DataFrame, least: int, runs, n: int = CELLS) -> np.ndarray:
     """
     import pyarrow as pa
 
-    top, block = min(least, 255), min(BLOCK, n)
+    top, block = min(least, 255), min(max(BLOCK, n >> 9), MOST_BLOCK, n)
+
+    def packed(held):
+        some, many = (np.concatenate(x) for x in zip(*held, strict=True))
+        for at in cells(some, n):
+            keys = np.sort(at.astype(np.uint64) << np.uint64(8) | many)
+            at = (keys >> np.uint64(8)).astype(np.int64)
+            first = np.flatnonzero(np.diff(at, prepend=-1))
+            sums = np.minimum(np.add.reduceat((keys & np.uint64(255)).astype(np.int64), first), top).astype(np.uint8)
+            at = at[first]
+            used = np.unique(at // block)
+            edges = np.append(np.searchsorted(at, used * block), len(at))
+            for i in range(0, len(used), 64):
+                blobs = [_blob(at[x:y] - j * block, sums[x:y], block) for j, x, y in zip(used[i : i + 64].tolist(), edges[i:].tolist(), edges[i + 1 :].tolist())]
+                yield pa.record_batch([pa.array(used[i : i + 64], pa.int64()), pa.array(blobs, pa.binary())], ["block", "counts"])
 
     def count(batches):
-        table = np.zeros(2 * n, np.uint16)
+        held, size = [], 0
         for _, words in worded(batches):
             for _, _, hashes in runs(words):
                 some, many = np.unique(hashes, return_counts=True)
-                many = np.minimum(many, top).astype(np.uint16)
-                for at in cells(some, n):
-                    np.add.at(table, at, many)
-                    table[at] = np.minimum(table[at], top)
-        table = table.astype(np.uint8).reshape(-1, block)
-        used = np.flatnonzero(table.any(1))
-        for i in range(0, len(used), 64):
-            part = used[i : i + 64]
-            yield pa.record_batch([pa.array(part, pa.int64()), pa.array([_blob(table[j]) for j in part], pa.binary())], ["block", "counts"])
+                held.append((some, np.minimum(many, top).astype(np.uint64)))
+                size += len(some)
+            if size > HELD_HASHES:
+                yield from packed(held)
+                held, size = [], 0
+        if size:
+            yield from packed(held)
 
     def add(batches):
         totals: dict[int, np.ndarray] = {}
@@ -250,80 +267,132 @@ def candidates(texts: DataFrame, least: int, longest: int, n: int = CELLS) -> Da
     return packed.mapInArrow(once, "lang string, phrase string, words int")
 
 
-def guarded(text: bytes) -> bytes:
-    """Folded pieces with one space before and after each word, and a line feed between pieces."""
-    text = b" " + text.replace(_END, b" \n ") + b" "
-    while b"  " in text:
-        text = text.replace(b"  ", b" ")
-    return text
+def automaton(phrases) -> tuple[bytes, np.ndarray, list[np.ndarray]]:
+    """(words, own, levels) of phrases (an Arrow array, each once), whose first words' phrases are all there.
 
-
-def count_matches(texts: DataFrame, phrases: dict[str, list[str]], with_words: bool) -> DataFrame:
-    """(lang, phrase, n): all matches of the phrases of each language in its texts, summed; and, under an empty phrase, all words."""
-    import ahocorasick
+    A state of the first level is a word's number, own says which words are phrases by themselves. A state of a further level is the place of its key in that level: the state of all but its last word, and that word's number.
+    A phrase whose beginning is none isn't frequent and is left out.
+    """
+    import pyarrow.compute as pc
+
+    parts = pc.split_pattern(phrases, " ")
+    numbered = parts.flatten().dictionary_encode()
+    ids, starts, sizes = numbered.indices.to_numpy().astype(np.int64), parts.offsets.to_numpy()[:-1], pc.list_value_length(parts).to_numpy()
+    starts = starts - parts.offsets[0].as_py()
+    own = np.zeros(len(numbered.dictionary), bool)
+    own[ids[starts[sizes == 1]]] = True
+    levels: list[np.ndarray] = []
+    for k in range(2, int(sizes.max()) + 1):
+        at = starts[sizes == k]
+        state = ids[at]
+        for j, level in enumerate(levels, 1):
+            state, found = follow(level, state, ids[at + j])
+            at = at[found]
+        levels.append(np.unique(state << 32 | ids[at + k - 1]))
+    return _END.join(as_bytes(numbered.dictionary)), own, levels
+
+
+def follow(level: np.ndarray, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The states that states of the level before go to by words, where there are such, and for which there are."""
+    key = state << 32 | word
+    at = np.searchsorted(level, key)
+    found = np.flatnonzero(np.append(level, -1)[at] == key)
+    return at[found], found
+
+
+def count_matches(texts: DataFrame, automata: dict[str, tuple[bytes, np.ndarray, list[np.ndarray]]], least: int, with_words: bool) -> DataFrame:
+    """(lang, phrase, n): the matches of the phrases of each language's automaton in its texts, summed, from `least` on; and, under an empty phrase, all words."""
     import pyarrow as pa
 
-    shared = texts.sparkSession.sparkContext.broadcast(phrases)  # of AUTOMATA_BYTES or so
+    shared = texts.sparkSession.sparkContext.broadcast(automata)  # of AUTOMATA_BYTES or so
 
     def scan(batches):
-        automata, sums, totals = {}, {}, {}
+        numbers, sums, totals = {}, {}, {}
         for batch in batches:
             for lang, some in folded(batch).items():
-                if lang not in automata and lang in shared.value:
-                    a = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-                    for i, p in enumerate(shared.value[lang]):
-                        a.add_word(f" {p} ", i)
-                    a.make_automaton()
-                    automata[lang], sums[lang] = a, np.zeros(len(shared.value[lang]), np.int64)
-                for text in map(guarded, steps(some)):
+                words, own, levels = shared.value.get(lang, (b"", np.zeros(0, bool), []))
+                if lang not in numbers:
+                    numbers[lang] = {w: i for i, w in enumerate(words.split(_END))} | {b"": -2, _END: -3}
+                    sums[lang] = [np.zeros(len(x), np.int64) for x in (own, *levels)]
+                number, n = numbers[lang].get, sums[lang]
+                for text in steps(some):
+                    ids = np.fromiter(map(number, text.replace(_END, b" \n ").split(b" "), repeat(-1)), np.int64)
+                    ids = ids[ids != -2]
                     if with_words:
-                        totals[lang] = totals.get(lang, 0) + text.count(b" ") - 1 - text.count(_END)  # a space after each word and each line feed
-                    if lang in automata:
-                        found = map(itemgetter(1), automata[lang].iter(text.decode()))
-                        while len(ids := np.fromiter(islice(found, 1 << 18), np.int64)):
-                            np.add.at(sums[lang], ids, 1)
+                        totals[lang] = totals.get(lang, 0) + int(np.count_nonzero(ids != -3))
+                    ids = np.append(ids, np.full(len(levels), -3))
+                    at = np.flatnonzero(ids >= 0)
+                    state = ids[at]
+                    np.add.at(n[0], state, 1)
+                    for j, level in enumerate(levels, 1):
+                        known = ids[at + j] >= 0
+                        at, state = at[known], state[known]
+                        state, found = follow(level, state, ids[at + j])
+                        at = at[found]
+                        np.add.at(n[j], state, 1)
         for lang, n in totals.items():
             yield pa.record_batch([pa.array([lang]), pa.array([-1]), pa.array([np.int64(n).tobytes()], pa.binary())], ["lang", "block", "counts"])
         for lang, n in sums.items():
-            for i in range(0, len(n), BLOCK):
-                if n[i : i + BLOCK].any():
-                    yield pa.record_batch([pa.array([lang]), pa.array([i // BLOCK]), pa.array([zlib.compress(n[i : i + BLOCK].tobytes(), 1)], pa.binary())], ["lang", "block", "counts"])
+            if lang in shared.value:
+                n[0][~shared.value[lang][1]] = 0
+            every = np.concatenate(n)
+            for i in range(0, len(every), BLOCK):
+                if every[i : i + BLOCK].any():
+                    yield pa.record_batch([pa.array([lang]), pa.array([i // BLOCK]), pa.array([zlib.compress(every[i : i + BLOCK].tobytes(), 1)], pa.binary())], ["lang", "block", "counts"])
 
     def add(batches):
-        words: dict[str, int] = {}
+        totals: dict[str, int] = {}
         sums: dict[tuple[str, int], np.ndarray] = {}
         for batch in batches:
             for lang, block, blob in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
                 if block < 0:
-                    words[lang] = words.get(lang, 0) + int(np.frombuffer(blob, np.int64)[0])
+                    totals[lang] = totals.get(lang, 0) + int(np.frombuffer(blob, np.int64)[0])
                 else:
                     n = np.frombuffer(zlib.decompress(blob), np.int64)
                     sums[lang, block] = sums[lang, block] + n if (lang, block) in sums else n
-        for lang, n in words.items():
+        for lang, n in totals.items():
             yield pa.record_batch([pa.array([lang]), pa.array([""]), pa.array([n], pa.int64())], ["lang", "phrase", "n"])
+        texts_of = {lang: shared.value[lang][0].decode().split("\n") for lang in {x for x, _ in sums}}
         for (lang, block), n in sums.items():
-            at = np.flatnonzero(n)
-            yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array([shared.value[lang][block * BLOCK + j] for j in at], pa.string()), pa.array(n[at], pa.int64())], ["lang", "phrase", "n"])
+            levels, words, at = shared.value[lang][2], texts_of[lang], np.flatnonzero(n >= least)
+            first = np.cumsum([0, len(words), *map(len, levels)])
+            phrases = []
+            for state in (block * BLOCK + at).tolist():
+                k = int(np.searchsorted(first, state, "right")) - 1
+                state -= int(first[k])
+                last = []
+                for level in levels[:k][::-1]:
+                    key = int(level[state])
+                    last.append(words[key & 0xFFFFFFFF])
+                    state = key >> 32
+                phrases.append(" ".join([words[state], *last[::-1]]))
+            yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(phrases, pa.string()), pa.array(n[at], pa.int64())], ["lang", "phrase", "n"])
 
     packed = texts.mapInArrow(scan, "lang string, block long, counts binary").repartition(shuffle_parts(texts.sparkSession), "lang", "block")
     return packed.mapInArrow(add, "lang string, phrase string, n long")
 
 
-def counts(texts: DataFrame, least: int, longest: int, n: int = CELLS, automata_bytes: int = AUTOMATA_BYTES) -> DataFrame:
+def cells_for(texts: DataFrame) -> int:
+    """Cells of a sketch's row, a power of two, in proportion to the texts."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(max(CELLS, 1 << (size // CELL_BYTES).bit_length()), MOST_CELLS)
+
+
+def counts(texts: DataFrame, least: int, longest: int, n: int | None = None, automata_bytes: int = AUTOMATA_BYTES) -> DataFrame:
     """(lang, phrase, n) of all runs of 1 to `longest` words that stand in their language's texts `least` times or more, and, under an empty phrase, of all words. Stored."""
-    spark = texts.sparkSession
-    found = candidates(texts, least, longest, n)
+    import pyarrow.compute as pc
+
+    found = candidates(texts, least, longest, cells_for(texts) if n is None else n)
     found = stored(found, "candidates")
     size = found.agg(F.sum(F.octet_length("phrase") + 2)).first()[0] or 0
     sets = max(1, -(-size // automata_bytes))
-    found = found.withColumn("set", F.pmod(F.xxhash64("lang", "phrase"), F.lit(sets)))
+    found = found.withColumn("set", F.pmod(F.xxhash64("lang", F.substring_index("phrase", " ", 1)), F.lit(sets)))
     parts = []
     for i in range(sets):
-        phrases: dict[str, list[str]] = {}
-        for r in found.where(F.col("set") == i).select("lang", "phrase").toLocalIterator():  # of automata_bytes or so
-            phrases.setdefault(r.lang, []).append(r.phrase)
-        got = count_matches(texts, phrases, i == 0)
-        parts.append(stored(got.where((F.col("n") >= least) | (F.col("phrase") == "")), "counts"))
+        some = found.where(F.col("set") == i).select("lang", "phrase").toArrow().combine_chunks()  # of automata_bytes or so
+        automata = {lang: automaton(some.filter(pc.equal(some["lang"], lang))["phrase"].combine_chunks()) for lang in some["lang"].unique().to_pylist()}
+        got = count_matches(texts, automata, least, i == 0)
+        parts.append(stored(got, "counts"))
     discard(found)
     out = parts[0]
     for p in parts[1:]:
@@ -361,7 +430,7 @@ def score(counted: DataFrame, share: int = 100, most: int = 2000) -> DataFrame:
     return rank_first(worst, most, "lang", [F.col("score").desc(), F.col("a").desc(), F.col("phrase").asc()], F.col("phrase")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
-def mine(docs: DataFrame, least: int = 100, longest: int = 5, share: int = 100, most: int = 2000, cells: int = CELLS, automata_bytes: int = AUTOMATA_BYTES) -> DataFrame:
+def mine(docs: DataFrame, least: int = 100, longest: int = 5, share: int = 100, most: int = 2000, cells: int | None = None, automata_bytes: int = AUTOMATA_BYTES) -> DataFrame:
     """The best `most` phrases of each language's documents."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     return score(counts(texts, least, longest, cells, automata_bytes), share, most)

@@ -70,6 +70,27 @@ def test_collocations_of_nothing(spark):
     assert mined(spark, []) == [] and mined(spark, [("en", None), (None, "one two")]) == []
 
 
+def test_collocations_have_few_candidates_in_much_text_too(spark, monkeypatch):
+    """With a sketch of one size for any text, and sets of 4 MB, the readings of the texts grew with them."""
+    monkeypatch.setattr(collocations, "CELLS", 1 << 8)
+    monkeypatch.setattr(collocations, "CELL_BYTES", 2, raising=False)
+    rng = np.random.default_rng(1)
+    rows = [("en", "often seen " + " ".join(f"w{x}" for x in rng.integers(0, 10**6, 100))) for _ in range(200)]
+    found, real = [], collocations.candidates
+    monkeypatch.setattr(collocations, "candidates", lambda *a: found.append(real(*a)) or found[0])
+    assert mined(spark, rows, least=100) == phrases(rows, 100, 5, 100, 2000) and found[0].count() < 100
+    assert collocations.AUTOMATA_BYTES >= 64 << 20
+
+
+def test_an_automaton_leaves_out_what_has_no_beginning():
+    import pyarrow as pa
+
+    words, own, levels = collocations.automaton(pa.array(["a", "a b", "a b a", "b c", "b c a d", "é", "é a"]))
+    words = words.decode().split("\n")
+    assert sorted(words) == ["a", "b", "c", "d", "é"] and {w for w, o in zip(words, own, strict=True) if o} == {"a", "é"}
+    assert [len(x) for x in levels] == [3, 1, 0]
+
+
 def test_steps_end_at_pieces():
     text = b"\n".join(b"w%d x%d" % (i, i) for i in range(60_000))
     parts = list(collocations.steps([text, b"", b"end"]))
