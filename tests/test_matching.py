@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from dossier.operators import dictionary, resolve
+from dossier.operators import dictionary, repair, resolve
 from dossier.plans import queries
 
 
@@ -129,3 +129,30 @@ def test_names_of_one_start_and_length_hardly_meet(spark):
     assert resolve.contained(asked.select(F.col("name").alias("text")), known.where("pos = 7")).count() == 1
     with pytest.raises(ValueError, match="over 0"):
         resolve.may_match(asked, known, 0)
+
+
+def _below_generate(df):
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return [plan[i:] for i in range(len(plan)) if plan.startswith("Generate", i)]
+
+
+def test_equal_rows_are_cut_up_once(spark):
+    """One task sorted the n-grams of all rows of a small file."""
+    rows = spark.createDataFrame([(i, f"东方重工机械{'甲乙'[i % 2]}有限公司", "G", "东方重工机") for i in range(40)] + [(50, "东方重工机械甲有限公司", "H", None)], "pos long, name string, group_name string, short_name string")
+    got = resolve.keywords(rows, 5, 5, 3)
+    assert {(r.keyword, r.group_name, r.n) for r in got.collect()} == {(k, "G", 20) for k in ("重工机械乙", "工机械乙有", "机械乙有限", "械乙有限公", "乙有限公司")}
+    words = dictionary.keyword_rows(rows, 5, 5, 3)
+    assert {(r.key, r.group_name, tuple(r.place)) for r in words.collect()} == {("重工机械乙", "G", (2, 0, 1, 0, 5, 3))}
+    known = {r.key: (r.group_name, tuple(r.place)) for r in dictionary.known_names(rows).collect()}
+    assert known["东方重工机械甲有限公司"] == ("H", (0, 0)) and known["东方重工机械乙有限公司"] == ("G", (1, 0))
+    for df in (got, words, dictionary.known_names(rows)):
+        found = _below_generate(df)
+        assert found and all("Aggregate" in x for x in found[-1:])
+
+
+def test_rules_meet_texts_without_a_join_on_what_all_texts_hold(spark):
+    texts = spark.createDataFrame([(f"合同_{i}",) for i in range(9)] + [("合同书",), (None,)], "t string")
+    table = spark.createDataFrame([(0, "合同", "a"), (1, "_", "b"), (2, "合同_8", "c"), (3, "合同", "d")], "pos long, pattern string, target string")
+    got = repair.rule_match(texts, "t", table)
+    assert {r.t: r.target for r in got.collect()} == {**{f"合同_{i}": "a" for i in range(8)}, "合同_8": "c", "合同书": "a", None: None}
+    assert not _below_generate(got)
