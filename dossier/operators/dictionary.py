@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from dossier import rules
 from dossier.functions import columns as C
 from dossier.functions import names as N
+from dossier.operators.resolve import spread
 
 #: Bytes of keys in one automaton, which takes some fifty times as much.
 DICTIONARY_BYTES = 4 << 20
@@ -75,8 +76,9 @@ def longest_keys(texts: DataFrame, patterns: DataFrame, edges: bool = False, mos
 
 
 def _rows(mapping: DataFrame) -> DataFrame:
-    """The mapping's usable rows, with the place at which their group first stands."""
+    """The mapping's usable rows, equal ones once with how many (n) there are and where the first and the last stand (pos, last), with the place at which their group first stands."""
     rows = mapping.where(C.blank(F.col("name")).isNotNull() & C.blank(F.col("group_name")).isNotNull()).select("pos", "name", "group_name", C.blank(F.col("short_name")).alias("short"))
+    rows = rows.groupBy("name", "group_name", "short").agg(F.min("pos").alias("pos"), F.max("pos").alias("last"), F.count("*").alias("n"))
     return rows.join(rows.groupBy("group_name").agg(F.min("pos").alias("group_pos")), "group_name")
 
 
@@ -85,8 +87,9 @@ def known_names(mapping: DataFrame) -> DataFrame:
     n = F.col("name")
     plain, bare = N.without_code(n), C.strip_city(n)
     forms = F.array(n, C.normalize_company(n), plain, C.normalize_company(plain), bare, N.without_code(bare), C.normalize_company(N.without_code(bare)))
-    each = mapping.where(C.blank(n).isNotNull() & C.blank(F.col("group_name")).isNotNull()).select("pos", "group_name", F.posexplode(forms).alias("form", "key")).where(F.length("key") > 0)
-    return each.groupBy("key").agg(F.max_by("group_name", F.struct("pos", "form")).alias("group_name"), F.array(F.min(F.struct("pos", "form"))["pos"], F.min(F.struct("pos", "form"))["form"].cast("long")).alias("place"))
+    once = mapping.where(C.blank(n).isNotNull() & C.blank(F.col("group_name")).isNotNull()).groupBy("name", "group_name").agg(F.min("pos").alias("pos"), F.max("pos").alias("last"))  # equal rows are put into their forms once
+    each = spread(once, "name").select("pos", "last", "group_name", F.posexplode(forms).alias("form", "key")).where(F.length("key") > 0)
+    return each.groupBy("key").agg(F.max_by("group_name", F.struct("last", "form")).alias("group_name"), F.array(F.min(F.struct("pos", "form"))["pos"], F.min(F.struct("pos", "form"))["form"].cast("long")).alias("place"))
 
 
 def keyword_rows(mapping: DataFrame, low: int = 5, high: int = 8, least: int = 3) -> DataFrame:
@@ -97,20 +100,22 @@ def keyword_rows(mapping: DataFrame, low: int = 5, high: int = 8, least: int = 3
     rows = _rows(mapping)
     own = rows.select(F.lower("group_name").alias("key"), "group_name", F.array(F.lit(0), F.col("group_pos")).alias("place")).where(F.length("group_name") >= 3)
 
-    forms = rows.where("short is not null").select("pos", "group_name", F.posexplode(F.array("short", C.normalize_company(F.col("short")))).alias("form", "alias"))
-    alias = forms.groupBy("alias").agg(F.max_by("group_name", F.struct("pos", "form")).alias("group_name"), F.min(F.struct("pos", "form")).alias("first"))
+    forms = rows.where("short is not null").select("pos", "last", "group_name", F.posexplode(F.array("short", C.normalize_company(F.col("short")))).alias("form", "alias"))
+    alias = forms.groupBy("alias").agg(F.max_by("group_name", F.struct("last", "form")).alias("group_name"), F.min(F.struct("pos", "form")).alias("first"))
     key = F.lower(F.trim("alias"))
     short = alias.select(key.alias("key"), "group_name", F.array(F.lit(1), F.col("first.pos"), F.col("first.form").cast("long")).alias("place")).where((F.length("key") >= 3) & ~F.col("key").rlike(r"[^\x00-\x7F]"))
 
-    written = rows.select("pos", "group_pos", "group_name", F.posexplode(F.array(C.normalize_company(F.col("name")), F.col("short"))).alias("form", "text")).where("text is not null")
+    written = spread(rows, "name").select("pos", "n", "group_pos", "group_name", F.posexplode(F.array(C.normalize_company(F.col("name")), F.col("short"))).alias("form", "text")).where("text is not null")
     core = F.trim(N.without_code(F.col("text")))
     core = C.first_of([(core.endswith(e), F.substring(core, F.lit(1), F.length(core) - len(e))) for e in ENDINGS], core)
     starts = lambda k: F.when(F.length("core") >= k, F.transform(F.sequence(F.lit(1), F.length("core") - k + 1), lambda i: F.struct(k.cast("long").alias("k"), i.cast("long").alias("i"), F.substring(F.col("core"), i, k).alias("gram")))).otherwise(F.array().cast("array<struct<k:bigint,i:bigint,gram:string>>"))
-    grams = written.withColumn("core", core).select("pos", "group_pos", "group_name", "form", F.explode(F.flatten(F.transform(F.sequence(F.lit(low), F.lit(high)), starts))).alias("g"))
+    # texts that several rows give are cut up once, for the first row by pos and form
+    texts = written.withColumn("core", core).groupBy("group_name", "core").agg(F.min(F.struct("group_pos", "pos", "form")).alias("first"), F.sum("n").alias("n"))
+    grams = spread(texts, "core").select("first.*", "group_name", "n", F.explode(F.flatten(F.transform(F.sequence(F.lit(low), F.lit(high)), starts))).alias("g"))
     chinese = F.length(F.regexp_replace("g.gram", "[^一-龥]", ""))
     grams = grams.where(~F.col("g.gram").isin(NO_KEYWORDS) & (chinese >= 0.6 * F.length("g.gram")))
     place = F.array(F.lit(2), F.col("group_pos"), F.col("pos"), F.col("form").cast("long"), F.col("g.k"), F.col("g.i"))
-    shared = grams.groupBy(F.col("g.gram").alias("gram")).agg(F.min("group_name").alias("group_name"), F.max("group_name").alias("other"), F.count("*").alias("n"), F.min(place).alias("place"))
+    shared = grams.groupBy(F.col("g.gram").alias("gram")).agg(F.min("group_name").alias("group_name"), F.max("group_name").alias("other"), F.sum("n").alias("n"), F.min(place).alias("place"))
     shared = shared.where((F.col("group_name") == F.col("other")) & (F.col("n") >= least)).select(F.lower("gram").alias("key"), "group_name", "place")
 
     return own.unionByName(short).unionByName(shared).groupBy("key").agg(F.min_by("group_name", "place").alias("group_name"), F.min("place").alias("place"))
@@ -198,8 +203,8 @@ def by_fragment(fragments: DataFrame, names: DataFrame, least: int = 4) -> DataF
 
 def alias_rows(mapping: DataFrame) -> DataFrame:
     """(key, group_name): short names as they are and in their normal form; the last row of a key wins."""
-    rows = _rows(mapping).where("short is not null").select("pos", "group_name", F.posexplode(F.array("short", C.normalize_company(F.col("short")))).alias("form", "key"))
-    return rows.groupBy("key").agg(F.max_by("group_name", F.struct("pos", "form")).alias("group_name"))
+    rows = _rows(mapping).where("short is not null").select("last", "group_name", F.posexplode(F.array("short", C.normalize_company(F.col("short")))).alias("form", "key"))
+    return rows.groupBy("key").agg(F.max_by("group_name", F.struct("last", "form")).alias("group_name"))
 
 
 def map_to_group(names: DataFrame, mapping: DataFrame, keywords: DataFrame | None = None, most: int = DICTIONARY_BYTES) -> DataFrame:
