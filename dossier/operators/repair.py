@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from dossier import rules
 from dossier.functions import columns as C
 from dossier.functions import names as N
-from dossier.operators import resolve
+from dossier.operators import dictionary
 
 
 def rename(df: DataFrame, column: str, table: DataFrame) -> DataFrame:
@@ -26,10 +26,10 @@ def first_replacement(text: Column, pairs: list[tuple[str, str]]) -> Column:
 
 def rule_match(df: DataFrame, column: str, table: DataFrame) -> DataFrame:
     """df with target: of the rules (pos, pattern, target) whose pattern the column contains, the longest, the first by pos on ties."""
-    names = table.select("pos", F.col("pattern").alias("name"), F.col("target").alias("group_name"))
-    texts = df.select(F.col(column).alias("text")).distinct()
-    hit = resolve.contained(texts, names).groupBy("text").agg(F.min_by("group_name", F.struct(-F.length("name"), "pos")).alias("target"))
-    return df.join(hit.withColumnRenamed("text", column), column, "left")
+    # one pattern can stand in every text, so texts and patterns don't meet by what they share
+    hit = dictionary.longest_keys(df.select(F.col(column).alias("text")), table.select(F.col("pattern").alias("key"), F.array("pos").alias("place")))
+    first = table.groupBy(F.col("pattern").alias("key")).agg(F.min_by("target", "pos").alias("target"))
+    return df.join(hit.join(first, "key").select(F.col("text").alias(column), "target"), column, "left")
 
 
 def fix_amounts(df: DataFrame, columns: list[str], small: float = 10) -> DataFrame:
