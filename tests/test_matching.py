@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from dossier.operators import dictionary, repair, resolve
+from dossier.operators import companies, dictionary, repair, resolve
 from dossier.plans import queries
 
 
@@ -156,3 +156,29 @@ def test_rules_meet_texts_without_a_join_on_what_all_texts_hold(spark):
     got = repair.rule_match(texts, "t", table)
     assert {r.t: r.target for r in got.collect()} == {**{f"合同_{i}": "a" for i in range(8)}, "合同_8": "c", "合同书": "a", None: None}
     assert not _below_generate(got)
+
+
+def test_classes_of_similar_names_stand_for_all_pairs(spark):
+    """All pairs of names with the same characters grow with the square of a class."""
+    names = [f"Supplier#{i:09d}" for i in range(300)] + ["甲（乙）", "甲(乙)", "", None, "x"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    got = [tuple(r) for r in resolve.similar_classes(df, 0.8).collect()]
+    head = {right: left for left, right, s in got if s == 1.0}
+    classes = {}
+    for n in filter(None, names):
+        classes.setdefault(head.get(n, n), []).append(n)
+    pairs = {(min(a, b), max(a, b)): 1.0 for c in classes.values() for a in c for b in c if a != b}
+    pairs |= {(min(a, b), max(a, b)): s for left, right, s in got if s < 1.0 for a in classes[left] for b in classes[right]}
+    want = {(r.left, r.right): r.similarity for r in resolve.similar_names(df, df, 0.8).collect()}
+    assert pairs == want and len(got) < len(want) / 10
+
+
+def test_companies_of_equal_documents_and_aliases(spark):
+    """Every document met every alias of a key, so that rows grew with documents times aliases."""
+    aliases = spark.createDataFrame([(i, f"Standard {9 - i}", "东方1厂") for i in range(9)] + [(20, "S", "北方重工")], "pos long, standard string, alias string")
+    rows = [(i, "文本 东方1厂 内", "scan.pdf") for i in range(5)] + [(7, None, None), (8, "北方重工 和 东方1厂", None), (9, "", "北方重工.pdf")]
+    docs = spark.createDataFrame(rows, "id long, text string, file_name string")
+    got = {r.id: (r.company, r.alias, r.score) for r in companies.find(docs, aliases).collect()}
+    assert got == {**{i: ("Standard 9", "东方1厂", 72) for i in range(5)}, 7: ("", "", 0), 8: ("Standard 9", "东方1厂", 72), 9: ("S", "北方重工", 95)}
+    assert {r.id: r.score for r in companies.find_for_group(docs, aliases).collect()} == {**dict.fromkeys(range(5), 70), 7: 0, 8: 70, 9: 95}
+    assert companies._firsts(aliases).count() == 2
