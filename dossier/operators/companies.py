@@ -6,6 +6,8 @@ joined on shared n-grams (resolve.contained), so that texts don't meet every ali
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,24 @@ def _keyed(aliases: DataFrame, vendors: list[str]) -> DataFrame:
     return aliases.select("pos", "standard", "alias", key.alias("key")).where("key <> ''").withColumn("vendor", N.is_vendor(F.col("key"), vendors))
 
 
+def _firsts(aliases: DataFrame) -> DataFrame:
+    """Of the aliases with one key the first by pos: what all of them are found in is that one's."""
+    key = F.lower(N.legacy_company(F.col("alias")))
+    return aliases.select("pos", "standard", "alias").groupBy(key.alias("key")).agg(F.min_by(F.struct("pos", "standard", "alias"), "pos").alias("a")).select("a.*")
+
+
+def _contents(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """Documents (id, text, file_name) of equal text and file name once, under one of their ids, and what gives all of them what is found for that one."""
+    first = docs.groupBy("text", "file_name").agg(F.min("id").alias("id"))
+
+    def given(found: DataFrame) -> DataFrame:
+        each = first.join(found, "id").select(F.col("text").alias("__text"), F.col("file_name").alias("__file"), "company", "alias", "score")
+        rows = docs.join(each, F.col("text").eqNullSafe(F.col("__text")) & F.col("file_name").eqNullSafe(F.col("__file")), "left")
+        return rows.select("id", F.coalesce("company", F.lit("")).alias("company"), F.coalesce("alias", F.lit("")).alias("alias"), F.coalesce("score", F.lit(0)).alias("score"))
+
+    return resolve.spread(first, "text", "file_name"), given
+
+
 def _mutual(keys: DataFrame, names: DataFrame) -> DataFrame:
     """Pairs (key, name) of which one contains the other."""
     one = resolve.contained(keys.select(F.col("key").alias("text")), names.select("name")).select(F.col("text").alias("key"), "name")
@@ -32,7 +52,7 @@ def _mutual(keys: DataFrame, names: DataFrame) -> DataFrame:
 def match_alias(candidates: DataFrame, aliases: DataFrame) -> DataFrame:
     """candidates (candidate) with standard: that of the first alias that is, contains or lies in the candidate; null without one."""
     asked = candidates.select("candidate").distinct().withColumn("key", F.lower(N.legacy_company(F.col("candidate")))).where("key <> ''")
-    known = _keyed(aliases, [])
+    known = _keyed(_firsts(aliases), [])
     pairs = _mutual(asked.select("key").distinct(), known.select(F.col("key").alias("name")).distinct())
     hit = asked.join(pairs, "key").join(known.select(F.col("key").alias("name"), "pos", "standard"), "name").groupBy("candidate").agg(F.min_by("standard", "pos").alias("standard"))
     return candidates.join(hit, "candidate", "left")
@@ -82,18 +102,22 @@ def find(docs: DataFrame, aliases: DataFrame, vendors: list[str] = rules.VENDORS
     In turn: aliases in file name (95) and text (70), vendors' less 80, from 75 on; names in the file name; in bilingual contracts; by context; aliases in the text (72) from 50
     on; any name in the text.
     """
+    aliases = _firsts(aliases)
+    docs, given = _contents(docs)
     less = F.when(F.col("vendor"), 80).otherwise(0)
     first = _best(F.when(F.col("in_file"), 95).otherwise(0) + F.when(F.col("in_text"), 70).otherwise(0) - less, 75)
     later = _best(F.when(F.col("in_text"), 72).otherwise(0) - less, 50)
     hits = alias_hits(docs, aliases, vendors).groupBy("id").agg(first.alias("first"), later.alias("later"))
     by_alias = hits.select("id", F.explode(F.array(F.struct(F.lit(0).alias("step"), F.col("first").alias("b")), F.struct(F.lit(4).alias("step"), F.col("later").alias("b")))).alias("s")).select("id", "s.step", "s.b.*").where("company is not null")
     step = C.first_of([(F.col("layer") == n, i) for i, n in ((1, "file"), (2, "bilingual"), (3, "context"), (5, "general"))])
-    return _choice(docs, by_alias.unionByName(written(docs, aliases).select("id", step.alias("step"), "company", "alias", "score")))
+    return given(_choice(docs, by_alias.unionByName(written(docs, aliases).select("id", step.alias("step"), "company", "alias", "score"))))
 
 
 def find_for_group(docs: DataFrame, aliases: DataFrame, vendors: list[str] = rules.VENDORS) -> DataFrame:
     """As find(), for one group: aliases in the file's stem (95), else in the text (70), from 70 on; the file name's first name (80); the first by context (70); a piece
     of the stem that an alias holds (60)."""
+    aliases = _firsts(aliases)
+    docs, given = _contents(docs)
     stem = F.regexp_replace(F.col("file_name"), r"(?<=.)\.[^.]*$", "")
     score = F.when(F.col("in_file"), 95).otherwise(70) - F.when(F.col("vendor"), 80).otherwise(0)
     first = alias_hits(docs, aliases, vendors, F.translate(F.lower(stem), "（）", "()")).groupBy("id").agg(_best(score, 70).alias("b")).select("id", "b.*").where("company is not null")
@@ -104,7 +128,7 @@ def find_for_group(docs: DataFrame, aliases: DataFrame, vendors: list[str] = rul
     inside = resolve.contained(known.select(F.col("key").alias("text")), pieces.select(F.col("text").alias("name")).distinct()).select(F.col("text").alias("key"), F.col("name").alias("text"))
     by_piece = pieces.join(inside, "text").join(known.select("key", "pos", "standard"), "key").groupBy("id").agg(F.min_by(F.struct("standard", "part"), F.struct("i", "pos")).alias("p")).select("id", F.col("p.standard").alias("company"), F.col("p.part").alias("alias"), F.lit(60).alias("score"))
     each = [df.select("id", F.lit(i).alias("step"), "company", "alias", "score") for i, df in enumerate((first, by_name, by_piece))]
-    return _choice(docs, each[0].unionByName(each[1]).unionByName(each[2]))
+    return given(_choice(docs, each[0].unionByName(each[1]).unionByName(each[2])))
 
 
 def prefer_chinese(found: DataFrame, aliases: DataFrame) -> DataFrame:
