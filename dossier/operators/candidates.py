@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from dossier import rules
 from dossier.functions import columns as C
+from dossier.operators.resolve import spread
 
 
 #: What two lines joined must hold to be read as one.
@@ -47,14 +48,19 @@ DATE_FORMS = [
 ]
 
 
+#: What every form holds.
+MAY_DATE = r"[0-9]{2}\s*[-/.年|lI]|[0-9]/[0-9]"
+
+
 def dates(texts: DataFrame, last_year: int) -> DataFrame:
     """doc_id, line_no, value (ISO), label and score of the first of each date and label; last_year bounds the years from above.
 
     Lines are read first, then lines joined with the next one where that makes a date of two halves; those count for their first line. Dates with a year of two digits and
     without a label need a word for dates near them. Texts that are null or empty have no dates."""
-    both = F.concat(F.regexp_replace("line", r"\s+$", ""), F.regexp_replace("following", r"^\s+", ""))
+    blanks = F.lit(" \t\n\x0b\f\r")
+    both = F.concat(F.rtrim("line", blanks), F.ltrim("following", blanks))
     each = F.array(F.struct(F.lit(0).alias("stage"), F.col("line")), F.struct(F.lit(1).alias("stage"), F.when(both.rlike(HALVES), both).alias("line")))
-    rows = lines(texts, following=True).select("doc_id", "line_no", "context", F.inline(each))
+    rows = lines(spread(texts), following=True).select("doc_id", "line_no", "context", F.inline(each)).where(F.col("line").rlike(MAY_DATE))
     found = F.flatten(F.array(*[F.regexp_extract_all("line", F.lit(f"({form})"), 1) for form in DATE_FORMS]))
     rows = rows.withColumn("found", found).where(F.size("found") > 0)
     name = label(F.col("context"), rules.DATE_LABELS, "date_generic")
