@@ -123,14 +123,17 @@ def documents(pages: DataFrame, scans: DataFrame, least: float = 50) -> DataFram
 
     A document whose pages hold `least` characters on average is read from them, another one from its scans (doc_id, page_no, text). Pages follow their numbers, then their texts.
     """
-    from dossier.operators.pages import detect_doc_type, text_layer
+    from dossier.operators.pages import detect_doc_type
 
-    layer = text_layer(pages, least).join(pages.groupBy("doc_id").agg(F.min("file_name").alias("file_name")), "doc_id")
-    own = pages.select("doc_id", "page_no", "text").join(layer.where("has_text_layer").select("doc_id"), "doc_id")
-    read = own.unionByName(scans.select("doc_id", "page_no", "text").join(layer.where("not has_text_layer").select("doc_id"), "doc_id"))
-    text = read.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]), "\n").alias("text"))  # a document is one row
-    rows = layer.join(text, "doc_id", "left")
-    return rows.select("doc_id", "file_name", F.col("n_pages").alias("page_count"), "has_text_layer", "text", detect_doc_type(F.col("text"), F.col("file_name")).alias("doc_type"))
+    page = F.struct("page_no", F.coalesce("text", F.lit("")).alias("text"))
+    own = pages.select("doc_id", "file_name", F.lit(True).alias("own"), page.alias("page"))
+    each = own.unionByName(scans.select("doc_id", F.lit(None).cast("string").alias("file_name"), F.lit(False).alias("own"), page.alias("page"))).where("doc_id is not null")
+    # pages and scans of a document meet once, so that no side is thought small enough, by the size of its files, to be sent to all tasks
+    layer = each.groupBy("doc_id").agg(F.min("file_name").alias("file_name"), F.count_if("own").alias("page_count"), F.sum(F.when(F.col("own"), F.length("page.text"))).alias("n_chars"), *[F.collect_list(F.when(F.col("own") == x, F.col("page"))).alias(n) for n, x in (("pages", True), ("scans", False))])  # a document is one row
+    layer = layer.where("page_count > 0").withColumn("has_text_layer", F.col("n_chars") / F.col("page_count") >= least)
+    read = layer.withColumn("read", F.when(F.col("has_text_layer"), F.col("pages")).otherwise(F.col("scans")))
+    rows = read.withColumn("text", F.when(F.size("read") > 0, F.array_join(F.transform(F.array_sort("read"), lambda x: x["text"]), "\n")))
+    return rows.select("doc_id", "file_name", "page_count", "has_text_layer", "text", detect_doc_type(F.col("text"), F.col("file_name")).alias("doc_type"))
 
 
 def _written(df: DataFrame) -> DataFrame:
@@ -148,15 +151,17 @@ def records(pages: DataFrame, scans: DataFrame, mapping: DataFrame, alternatives
 
     alternatives (doc_id, field, alternatives) holds further values of a record's fields, best first. A document without any text has an error, a flag and what its file's name gives.
     """
-    docs = documents(pages, scans)
-    found = extract.fields(docs.where("text is not null"))
+    docs = _written(documents(pages, scans))
+    found = _written(extract.fields(docs.where("text is not null")))
     named = found.withColumn("field", C.first_of([(F.col("field") == k, v) for k, v in RECORD_FIELDS.items()])).where("field is not null")
+    # what is joined by document grows with the documents: merged, never sent whole to all tasks
     if alternatives is None:
         named = named.withColumn("alternatives", F.lit(None).cast("array<string>"))
     else:
-        named = named.join(alternatives.select("doc_id", "field", "alternatives"), ["doc_id", "field"], "left")
+        named = named.join(alternatives.select("doc_id", "field", "alternatives").hint("merge"), ["doc_id", "field"], "left")
     none = F.array().cast("array<string>")
-    lacking = F.coalesce(F.trim("text"), F.lit("")) == ""
-    rows = docs.join(results(named), "doc_id", "left").join(extract.confidence(found).select("doc_id", F.col("confidence").alias("confidence_overall")), "doc_id", "left")
+    lacking = F.col("lacking")
+    rows = docs.withColumn("lacking", F.coalesce(F.trim("text"), F.lit("")) == "").drop("text").join(results(named).hint("merge"), "doc_id", "left")
+    rows = rows.join(extract.confidence(found).select("doc_id", F.col("confidence").alias("confidence_overall")).hint("merge"), "doc_id", "left")
     rows = rows.withColumns({"error": F.when(lacking, "no text"), "flags": F.concat(F.coalesce("flags", none), F.when(lacking, F.array(F.lit("processing_error"))).otherwise(none)), "refused": F.coalesce("refused", none), "currency": F.coalesce("currency", F.lit("CNY")), "is_primary_doc": F.coalesce("is_primary_doc", F.lit(True))})
-    return dated(grouped(_written(rows.drop("text")), _written(mapping.select("pos", "name", "group_name", "short_name")), vendors))
+    return dated(grouped(_written(rows.drop("lacking")), _written(mapping.select("pos", "name", "group_name", "short_name")), vendors))

@@ -101,3 +101,12 @@ def test_first_valid_amount_and_flags(spark):
     assert got[2].contract_total_amount is None and got[2].flags == [] and got[3].tax_rate == "6%" and got[4].contract_total_amount is None and len(got[4].flags) == 1
     assert got[5].sign_date == "2021-03-05" and not got[5].is_primary_doc and got[6].is_primary_doc and got[6].currency == "CNY"
     assert assemble.results(spark.createDataFrame([], "doc_id long, field string, value string, alternatives array<string>")).count() == 0
+
+
+def test_documents_are_put_together_without_sending_them_to_all_tasks(spark):
+    pages = spark.createDataFrame([(1, "a.pdf", 1, "x" * 60), (1, "a.pdf", 0, None), (1, "a.pdf", 2, "y" * 120), (2, "b.pdf", 0, "thin"), (3, None, 0, None), (None, "c.pdf", 0, "z" * 90)], "doc_id long, file_name string, page_no int, text string")
+    scans = spark.createDataFrame([(1, 0, "unread"), (2, 1, "late"), (2, 0, "early"), (4, 0, "no pages")], "doc_id long, page_no int, text string")
+    docs = assemble.documents(pages, scans)
+    got = {r.doc_id: (r.file_name, r.page_count, r.has_text_layer, r.text) for r in docs.collect()}
+    assert got == {1: ("a.pdf", 3, True, "\n" + "x" * 60 + "\n" + "y" * 120), 2: ("b.pdf", 1, False, "early\nlate"), 3: (None, 1, False, None)}
+    assert "Join" not in docs._jdf.queryExecution().toString()  # pages of small files were broadcast with their texts
