@@ -15,6 +15,8 @@ from dossier import rules
 from dossier.functions import columns as C
 from dossier.functions import names as N
 from dossier.operators import resolve
+from dossier.operators.assemble import _written
+from dossier.operators.resolve import spread
 
 LAYERS = [("file", 92, 88), ("bilingual", 90, 84), ("context", 86, 80), ("general", 68, 60)]
 
@@ -142,24 +144,25 @@ def prefer_chinese(found: DataFrame, aliases: DataFrame) -> DataFrame:
 def legacy_group(names: DataFrame, mapping: DataFrame) -> DataFrame:
     """names (name) with group_name by the older matching: equal names (cities aside) or aliases, then names that contain each other (4 characters or more), then
     aliases and group names that do; within each the first group by its least pos. mapping: (pos, name, group_name, short_name)."""
+    n = F.col("name")
     groups = mapping.groupBy("group_name").agg(F.min("pos").alias("place"))
-    asked = names.select("name").distinct().withColumns({"key": N.legacy_key(F.col("name")), "bare": N.legacy_key(N.legacy_city(F.col("name")))}).where("key <> ''")
-    firms = mapping.select("group_name", N.legacy_key(F.col("name")).alias("k"), N.legacy_key(N.legacy_city(F.col("name"))).alias("b")).where("k <> ''").distinct()
-    short = mapping.select("group_name", N.legacy_key(F.col("short_name")).alias("k")).where(F.length("k") >= 4).distinct()
-    titles = mapping.select("group_name", N.legacy_key(F.col("group_name")).alias("k")).where(F.length("k") >= 4).distinct()
-
-    def within(left: DataFrame, right: DataFrame, rank: int) -> DataFrame:
-        pairs = _mutual(left.select("key").distinct(), right.select(F.col("k").alias("name")).distinct())
-        return left.select("name", "key").join(pairs.withColumnRenamed("name", "k"), "key").join(right.select("k", "group_name"), "k").select("name", "group_name", F.lit(rank).alias("rank"))
-
-    long = asked.where(F.length("key") >= 4)
-    equal = [asked.join(firms.select(F.col("k").alias("key"), "group_name"), "key"), asked.where("bare <> ''").join(firms.select(F.col("b").alias("bare"), "group_name"), "bare"), asked.join(short.select(F.col("k").alias("key"), "group_name"), "key")]
-    hits = [e.select("name", "group_name", F.lit(0).alias("rank")) for e in equal] + [within(long, firms.where(F.length("k") >= 4), 1), within(long, short, 2), within(asked, titles, 2)]
-    every = hits[0]
-    for h in hits[1:]:
-        every = every.unionByName(h)
-    best = every.join(groups, "group_name").groupBy("name").agg(F.min_by("group_name", F.struct("rank", "place")).alias("group_name"))
-    return names.join(best, "name", "left")
+    asked = _written(spread(names.select("name").distinct(), "name").withColumns({"key": N.legacy_key(n), "bare": N.legacy_key(N.legacy_city(n))}).where("key <> ''"))
+    forms = F.array(*[F.struct(F.lit(kind).alias("kind"), k.alias("k")) for kind, k in (("firm", N.legacy_key(n)), ("bare", F.when(N.legacy_key(n) != "", N.legacy_key(N.legacy_city(n)))), ("short", N.legacy_key(F.col("short_name"))), ("title", N.legacy_key(F.col("group_name"))))])
+    each = spread(mapping.select("name", "short_name", "group_name").distinct(), "name").select("group_name", F.explode(forms).alias("f")).select("group_name", "f.*").where("k <> '' and (kind in ('firm', 'bare') or length(k) >= 4)")
+    known = _written(each.distinct())
+
+    # texts and names are put into their forms once; what grows with the mapping is merged, never sent whole to all tasks
+    tried = asked.select("name", F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(c).alias("k")) for kind, c in (("firm", "key"), ("bare", "bare"), ("short", "key"))])).alias("t")).select("name", "t.*").where("k <> ''")
+    equal = tried.join(known.hint("merge"), ["kind", "k"]).select("name", "group_name", F.lit(0).alias("rank"))
+    within = known.where("kind <> 'bare' and length(k) >= 4")
+    long, few = F.length("key") >= 4, F.length("key") < 4
+    pairs = _mutual(asked.where(long).select("key").distinct(), within.select(F.col("k").alias("name")).distinct())
+    pairs = pairs.unionByName(_mutual(asked.where(few).select("key").distinct(), within.where("kind = 'title'").select(F.col("k").alias("name")).distinct()))
+    rank = F.when(F.col("kind") == "firm", 1).otherwise(2).alias("rank")
+    inside = pairs.withColumnRenamed("name", "k").join(within.hint("merge"), "k").where(long | (F.col("kind") == "title")).select("key", "group_name", rank).distinct()
+    hits = equal.unionByName(asked.select("name", "key").join(inside.hint("merge"), "key").select("name", "group_name", "rank"))
+    best = hits.join(groups.hint("merge"), "group_name").groupBy("name").agg(F.min_by("group_name", F.struct("rank", "place")).alias("group_name"))
+    return names.join(best.hint("merge"), "name", "left")
 
 
 def choose_group(asked: DataFrame, groups: DataFrame) -> DataFrame:

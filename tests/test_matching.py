@@ -182,3 +182,11 @@ def test_companies_of_equal_documents_and_aliases(spark):
     assert got == {**{i: ("Standard 9", "东方1厂", 72) for i in range(5)}, 7: ("", "", 0), 8: ("Standard 9", "东方1厂", 72), 9: ("S", "北方重工", 95)}
     assert {r.id: r.score for r in companies.find_for_group(docs, aliases).collect()} == {**dict.fromkeys(range(5), 70), 7: 0, 8: 70, 9: 95}
     assert companies._firsts(aliases).count() == 2
+
+
+def test_older_matching_sends_nothing_whole_to_all_tasks(spark):
+    mapping = spark.createDataFrame([(1, "大华制造厂", "甲组一二", ""), (2, "东方贸易公司", "乙组", "东方短名"), (3, "大华制造厂二部", "丙组", None), (4, "xy", "丁组三四", "xy")], "pos long, name string, group_name string, short_name string")
+    names = spark.createDataFrame([("大华制造厂",), ("我们的东方贸易公司",), ("大华制造",), ("东方短名",), ("甲组",), ("xy",), ("无关名字",), ("",)], "name string")
+    got = companies.legacy_group(names, mapping)
+    assert {r.name: r.group_name for r in got.collect()} == {"大华制造厂": "甲组一二", "我们的东方贸易公司": "乙组", "大华制造": "甲组一二", "东方短名": "乙组", "甲组": "甲组一二", "xy": "丁组三四", "无关名字": None, "": None}
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
