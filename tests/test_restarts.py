@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from dossier.functions import columns as C
 from dossier.operators import assemble
 from dossier.sources import cache
 from dossier.streaming import budget
@@ -110,3 +111,9 @@ def test_documents_are_put_together_without_sending_them_to_all_tasks(spark):
     got = {r.doc_id: (r.file_name, r.page_count, r.has_text_layer, r.text) for r in docs.collect()}
     assert got == {1: ("a.pdf", 3, True, "\n" + "x" * 60 + "\n" + "y" * 120), 2: ("b.pdf", 1, False, "early\nlate"), 3: (None, 1, False, None)}
     assert "Join" not in docs._jdf.queryExecution().toString()  # pages of small files were broadcast with their texts
+
+
+def test_amounts_that_are_not_dotted_are_not_cast_as_empty_texts(spark):
+    rows = spark.createDataFrame([("12000",), ("1.234",), ("123.45",), ("abc",), ("",), (None,), ("3万",), ("l2",), ("0.499",)], "x string").select("x", C.normalize_amount(F.col("x")).alias("v"))
+    assert {r.x: r.v for r in rows.collect()} == {"12000": 12000.0, "1.234": 1234.0, "123.45": 123.45, "abc": None, "": None, None: None, "3万": 30000.0, "l2": 2.0, "0.499": 0.499}
+    assert "cast(concat(" not in rows._jdf.queryExecution().analyzed().toString()  # a failed cast throws
