@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier import rules
@@ -136,13 +136,19 @@ def documents(pages: DataFrame, scans: DataFrame, least: float = 50) -> DataFram
     return rows.select("doc_id", "file_name", "page_count", "has_text_layer", "text", detect_doc_type(F.col("text"), F.col("file_name")).alias("doc_type"))
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """df from files in the shared folder, so that what follows starts from a table and a lost executor costs one step."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="dossier-"))
+    return context.getCheckpointDir()
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """df from files in the shared folder, so that what follows starts from a table and a lost executor costs one step."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

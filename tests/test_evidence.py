@@ -3,6 +3,7 @@
 import random
 from datetime import date
 
+import pytest
 from pyspark.sql import functions as F
 
 from dossier.operators import candidates, evidence
@@ -82,3 +83,45 @@ def test_reports_in_folders_are_read_back(spark, tmp_path):
     assert sorted(r.group_name for r in read.where("note = 'only here'").collect()) == sorted(groups)
     assert [(r.group_name, r.year) for r in read.where("amount is null and note is null").collect()] == [("plain", 7)]
     assert [(r.group_name, r.line, r.file.endswith("plain/one.json")) for r in rejected.collect()] == [("plain", "not a row", True)]
+
+
+def test_reports_of_many_folders_are_listed_and_opened_once(spark, tmp_path):
+    base = str(tmp_path / "many")
+    rows = spark.range(600).select(F.concat(F.lit("g"), (F.col("id") % 300).cast("string")).alias("group_name"), "id", (F.col("id") / 4).alias("amount"))
+    reports.write(rows, base)
+    assert sum(p.is_dir() for p in (tmp_path / "many").iterdir()) == 300
+    spark.sparkContext.setJobGroup("many", "")
+    tracker = spark.sparkContext.statusTracker()
+    read, rejected = reports.read(spark, base)
+    assert sorted(tuple(r) for r in read.select("group_name", "id", "amount").collect()) == sorted((f"g{i % 300}", i, i / 4) for i in range(600)) and rejected.count() == 0
+    stages = {s for j in tracker.getJobIdsForGroup("many") for s in tracker.getJobInfo(j).stageIds}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < sum(i.numTasks for i in map(tracker.getStageInfo, stages) if i) < 300  # a task a file lists them before
+
+
+def test_folders_have_the_names_that_spark_gives(spark, tmp_path):
+    groups = ["A b", "上海 集团", "a+b", "x%y", "k=v", "q\"#'*/:?\\{[]^}", "t\tn\nz", "", None, "_u", ".d", "é~!$&();,<>|@"]
+    rows = spark.createDataFrame([(g, i, None if i % 2 else "line \n\"x\"") for i, g in enumerate(groups)], "group_name string, n int, t string")
+    own, plain = str(tmp_path / "a b+c" / "own"), str(tmp_path / "plain")
+    reports.write(rows, f"file:{own}")
+    rows.write.partitionBy("group_name").json(plain)
+    found = lambda d: sorted((p.parent.name, p.read_text(encoding="utf-8")) for p in (tmp_path / d).glob("*/part*.json"))
+    merged = lambda d: {k: sorted(x for f, t in found(d) if f == k for x in t.split("\n")) for k, _ in found(d)}
+    assert {k: [x for x in v if x] for k, v in merged("a b+c/own").items()} == {k: [x for x in v if x] for k, v in merged("plain").items()}
+    read, _ = reports.read(spark, own)
+    assert sorted((r.group_name, r.n) for r in read.collect()) == sorted((g or "__HIVE_DEFAULT_PARTITION__", i) for i, g in enumerate(groups))
+
+
+def test_only_files_of_group_folders_are_reports(spark, tmp_path):
+    for place, text in {"g/a.json": '{"v": 1}', "_h/a.json": '{"v": 2}', "stray.json": '{"v": 3}', "g/m=1/a.json": '{"v": 4}', "g/a.txt": '{"v": 5}', "g/.b.json": '{"v": 6}'}.items():
+        (tmp_path / "in" / place).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / place).write_text(text + "\n")
+    read, _ = reports.read(spark, str(tmp_path / "in") + "/")
+    assert sorted((r.group_name, r.v) for r in read.collect()) == [("_h", 2), ("g", 1)]
+
+
+def test_a_failed_write_leaves_no_file(spark, tmp_path):
+    rows = spark.range(400).select(F.when(F.col("id") == 399, F.repeat(F.lit("x"), 300)).otherwise(F.concat(F.lit("g"), "id")).alias("group_name"), "id")
+    with pytest.raises(Exception, match="Task failed|too long"):
+        reports.write(rows, str(tmp_path / "bad"))
+    assert not [p for p in (tmp_path / "bad").rglob("*") if p.is_file()]
